@@ -23,8 +23,8 @@ from pyspark.sql.window import Window
 
 SCALE = 256
 #: Low slices of each attribute that the bitmap sum leaves out; the exact step makes good for them.
-DROP = 2
-BLOCK_ROWS = 32_768
+DROP = 3
+BLOCK_ROWS = 16_384
 QUERY_ROWS = 1024
 
 
@@ -167,8 +167,10 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     Candidates and queries are packed into blocks; each pair of blocks is one piece of work, dealt out over all tasks.
     Only k rows of each query and block are shuffled after that.
     """
-    rows = _blocks(quantised(candidates, id_col, vec_col), block_rows, "row")
-    asked = _blocks(quantised(queries, id_col, vec_col), query_rows, "query")
+    rows, asked = quantised(candidates, id_col, vec_col), quantised(queries, id_col, vec_col)
+    # small partitions are read together, so that blocks get full; large ones are cut into blocks where they are
+    rows = _blocks(rows.coalesce(max(1, -(-rows.count() // block_rows))), block_rows, "row")
+    asked = _blocks(asked.coalesce(max(1, -(-asked.count() // query_rows))), query_rows, "query")
     parts = max(1, candidates.sparkSession.sparkContext.defaultParallelism)
     pairs = rows.crossJoin(asked).repartition(parts)
 
