@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, chat, decontaminate, neardup, shards
+from . import bitslice, chat, crf, decontaminate, htmltext, neardup, shards
 from .common import table
 
 
@@ -21,6 +21,23 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.interleave(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def held_out() -> Column:
+    """Whether a document is kept from training: crc32(doc_id as text) mod 5 is 0."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = crf.fit(docs.where(~held_out()).select("text", "lang"))
+    named = crf.identify(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.words").alias("n_words"), F.col("language.switches").alias("n_switches"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltext.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return bitslice.search(rows, rows.where("vec_id % 50 = 0"), k=5)
@@ -41,6 +58,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_sharding": op2_sharding,
+    "op3_language_id": op3_language_id,
+    "op4_html_extraction": op4_html_extraction,
     "op6_exact_top_k": op6_exact_top_k,
     "op9_decontamination": op9_decontamination,
     "op10_chat_formatting": op10_chat_formatting,
