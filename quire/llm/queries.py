@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, chat, crf, decontaminate, htmltext, neardup, shards
+from . import bitslice, chat, crf, decontaminate, htmltext, neardup, pieces, shards
 from .common import table
 
 
@@ -38,6 +38,12 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.decode(pieces.encode(docs))
+    return coded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return bitslice.search(rows, rows.where("vec_id % 50 = 0"), k=5)
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_language_id": op3_language_id,
     "op4_html_extraction": op4_html_extraction,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_exact_top_k": op6_exact_top_k,
     "op9_decontamination": op9_decontamination,
     "op10_chat_formatting": op10_chat_formatting,
