@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, chat, crf, decontaminate, htmltext, neardup, packing, pieces, shards
+from . import bitslice, chat, crf, decontaminate, htmltext, neardup, packing, pieces, pii, shards
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.search(rows, rows.where("vec_id % 50 = 0"), k=5)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_rows(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_extraction": op4_html_extraction,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_exact_top_k": op6_exact_top_k,
+    "op7_pii": op7_pii,
     "op8_packing": op8_packing,
     "op9_decontamination": op9_decontamination,
     "op10_chat_formatting": op10_chat_formatting,
