@@ -171,7 +171,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     n_hit = F.aggregate(F.col(hits)["spans"], F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
     if drop_documents:
         return found.where(n_hit <= F.col(hits)["n_words"] * F.lit(max_share)).drop(hits)
-    cut = F.udf(cut_spans, "string")
+    cut = F.udf(lambda text, spans: cut_spans(text, spans) if spans else text, "string")
     return found.withColumn(text_col, F.when(n_hit > 0, cut(F.col(text_col), F.col(hits)["spans"])).otherwise(F.col(text_col))).drop(hits)
 
 
