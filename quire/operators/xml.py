@@ -17,7 +17,9 @@ def escape(x: Column) -> Column:
 def element(name: str, content: Column, **attributes: Column) -> Column:
     """<name a="..">content</name>; null attributes are left out, null or empty content makes no element."""
     given = [F.coalesce(F.concat(F.lit(f' {k.rstrip("_").replace("_", "-")}="'), escape(v.cast("string")), F.lit('"')), F.lit("")) for k, v in attributes.items()]
-    return F.when(F.coalesce(content, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit(f"<{name}"), *given, F.lit(">"), content, F.lit(f"</{name}>")))
+    start, end = F.concat(F.lit(f"<{name}"), *given, F.lit(">")), F.lit(f"</{name}>")
+    # the content stands in the expression once only, so that nested elements don't multiply it
+    return F.replace(F.concat(start, F.coalesce(content, F.lit("")), end), F.concat(start, end), F.lit(""))
 
 
 def text_element(name: str, x: Column, **attributes: Column) -> Column:

@@ -80,16 +80,16 @@ _ESC = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&
 
 
 @query(f"""
-WITH a AS (SELECT l_orderkey AS d, string_agg('<contrib contrib-type="author"><name><surname>S' || l_partkey || '</surname><given-names>G</given-names></name></contrib>', '' ORDER BY l_linenumber) AS x FROM lineitem GROUP BY l_orderkey),
-r AS (SELECT l_orderkey AS d, string_agg('<ref id="B' || l_linenumber || '"><mixed-citation>Ref &amp; ' || l_suppkey || '</mixed-citation><year>1999</year></ref>', '' ORDER BY l_linenumber) AS x, count(*) AS n FROM lineitem WHERE l_linenumber > 1 GROUP BY l_orderkey)
+WITH a AS (SELECT l_orderkey AS d, string_agg('<contrib contrib-type="author"><name><surname>S' || l_partkey || '</surname><given-names>G</given-names></name></contrib>', '' ORDER BY l_linenumber, l_partkey || '<') AS x FROM lineitem GROUP BY l_orderkey),
+r AS (SELECT l_orderkey AS d, string_agg('<ref id="B' || l_linenumber || '"><mixed-citation>Ref &amp; ' || l_suppkey || '</mixed-citation><year>1999</year></ref>', '' ORDER BY l_linenumber, l_suppkey || '<') AS x, count(*) AS n FROM lineitem WHERE l_linenumber > 1 GROUP BY l_orderkey)
 SELECT o_orderkey AS doc_id, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '{xml.DOCTYPE}' || chr(10) || '<article article-type="research-article" dtd-version="1.1" xml:lang="pt"><front><journal-meta><journal-id journal-id-type="publisher-id">j' || (o_custkey % 7) || '</journal-id></journal-meta><article-meta><article-id pub-id-type="doi">10.1/' || o_orderkey || '</article-id><title-group><article-title>A &lt;b&gt; ' || {_ESC.format('o_orderpriority')} || '</article-title></title-group>' ||
  coalesce('<contrib-group>' || a.x || '</contrib-group>', '') || '<pub-date><day>' || strftime(o_orderdate, '%d') || '</day><month>' || strftime(o_orderdate, '%m') || '</month><year>' || strftime(o_orderdate, '%Y') || '</year></pub-date><volume>' || (o_custkey % 50) || '</volume><fpage>10</fpage><lpage>25</lpage><counts>' || coalesce('<ref-count count="' || r.n || '"/>', '') || '<page-count count="16"/></counts></article-meta></front><body><sec sec-type="intro"><title>Introdução</title><p>' || o_orderstatus || '</p></sec></body>' || coalesce('<back><ref-list>' || r.x || '</ref-list></back>', '') || '</article>' AS xml
 FROM orders LEFT JOIN a ON a.d = o_orderkey LEFT JOIN r ON r.d = o_orderkey
 """)
 def article_xml(spark, sf_dir):
     o, li = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
-    docs = o.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("j"), F.col("o_custkey") % 7).alias("journal"), F.lit(None).cast("string").alias("issn"), F.concat(F.lit("10.1/"), "o_orderkey").alias("doi"), F.concat(F.lit("A <b> "), "o_orderpriority").alias("title"), F.lit("pt").alias("lang"), (F.col("o_custkey") % 50).cast("string").alias("volume"), F.lit("10").alias("fpage"), F.lit("25").alias("lpage"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("published"))
-    authors = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("S"), "l_partkey").alias("surname"), F.lit("G").alias("given"), F.lit(None).cast("string").alias("orcid"))
+    docs = o.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("j"), F.col("o_custkey") % 7).alias("journal"), F.when(F.col("o_orderkey") < 0, "").alias("issn"), F.concat(F.lit("10.1/"), "o_orderkey").alias("doi"), F.concat(F.lit("A <b> "), "o_orderpriority").alias("title"), F.lit("pt").alias("lang"), (F.col("o_custkey") % 50).cast("string").alias("volume"), F.lit("10").alias("fpage"), F.lit("25").alias("lpage"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("published"))
+    authors = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("S"), "l_partkey").alias("surname"), F.lit("G").alias("given"), F.when(F.col("l_orderkey") < 0, "").alias("orcid"))
     sections = o.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("pos"), F.lit("Introdução").alias("title"), F.col("o_orderstatus").alias("body"), F.lit("intro").alias("kind"))
     refs = li.where("l_linenumber > 1").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("Ref & "), "l_suppkey").alias("text"), F.lit("1999").alias("year"))
     return xml.articles(docs, authors, sections, refs)
