@@ -150,3 +150,11 @@ def test_stream_limiter(spark, tmp_path):
     got = run(queues.limiter(stream(spark, tmp_path, rows, "key string, at timestamp, ok boolean", "l"), 2, 900), "lim", "append").orderBy("key", "at").collect()
     assert [r.blocked for r in got] == [False, False, True, False, False, False, False, False]
     assert isinstance(got[0].at, pd.Timestamp | datetime.datetime)
+
+
+def test_package_zips(spark):
+    from quire.plans.extraction_queries import package_zips
+
+    row = package_zips(spark, "/root/testdata/sf0.001").where("package = 'pk3'").first()
+    with zipfile.ZipFile(io.BytesIO(row.content)) as z:
+        assert z.namelist() == ["pk3/a.xml", "pk3/b.pdf"] and z.read("pk3/a.xml")
