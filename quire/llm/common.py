@@ -28,7 +28,10 @@ def cut(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    # lets Spark's cleaner drop the shuffle files and older checkpoints that nothing refers to any more
+    context._jvm.System.gc()
+    return out
 
 
 def free_name(df: DataFrame, name: str) -> str:
