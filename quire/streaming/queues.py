@@ -20,9 +20,10 @@ def activity(events: DataFrame, unit: str = "1 hour", late: str = "10 minutes")
     return events.withWatermark("at", late).groupBy(F.window("at", unit).alias("w"), "user").agg(F.count(F.lit(1)).alias("n")).select("w.start", "user", "n")
 
 
-def limiter(attempts: DataFrame, limit: int = 10, seconds: int = 900) -> DataFrame:
+def limiter(attempts: DataFrame, limit: int = 10, seconds: int = 900, late: str = "15 minutes") -> DataFrame:
     """For each attempt of a stream (key, at, ok) whether its key was blocked by limit failures within the look-back; a
-    success clears the key. The state is the failures of the look-back, at most limit of them, and expires with it."""
+    success clears the key. The state is the failures of the look-back, at most limit of them; it expires once the
+    watermark has passed it."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         failures: list[int] = list(state.get[0]) if state.exists else []
@@ -39,7 +40,7 @@ def limiter(attempts: DataFrame, limit: int = 10, seconds: int = 900) -> DataFra
             if not blocked:
                 failures = [] if ok else [*failures, now]
         state.update((failures,))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max(int(rows["at"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + seconds * 1000)
         yield pd.DataFrame(out, columns=["key", "at", "blocked"])
 
-    return attempts.groupBy("key").applyInPandasWithState(step, "key string, at timestamp, blocked boolean", "failures array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return attempts.withWatermark("at", late).groupBy("key").applyInPandasWithState(step, "key string, at timestamp, blocked boolean", "failures array<long>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -158,3 +158,20 @@ def test_package_zips(spark):
     row = package_zips(spark, "/root/testdata/sf0.001").where("package = 'pk3'").first()
     with zipfile.ZipFile(io.BytesIO(row.content)) as z:
         assert z.namelist() == ["pk3/a.xml", "pk3/b.pdf"] and z.read("pk3/a.xml")
+
+
+def test_stream_limiter_query_matches_a_fold(spark):
+    from quire.plans.stream_queries import stream_limiter
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").collect()
+    want = 0
+    for key in range(10):
+        failures = []
+        for at, ok in sorted(((r.ts, r.event_type == "purchase") for r in rows if r.user_id % 10 == key), key=lambda x: x[0]):
+            failures = [f for f in failures if (at - f).total_seconds() < 3600]
+            if len(failures) >= 3:
+                want += 1
+            else:
+                failures = [] if ok else [*failures, at]
+    got = stream_limiter(spark, "/root/testdata/sf0.001")
+    assert got.count() == len(rows) and got.where("blocked").count() == want
