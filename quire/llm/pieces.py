@@ -29,8 +29,8 @@ from .dartminhash import mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 23, 8
-#: Units of one variant that a worker keeps, and the longest that are segmented together with others.
-CACHE_UNITS, TOGETHER = 100_000, 24
+#: Segmentations that a worker keeps, and the longest units that are segmented together with others.
+CACHE_UNITS, TOGETHER = 400_000, 24
 SPACE = "▁"
 _UNIT = re.compile(" *[^ ▁\n]+|[▁\n]| +")
 _MASK = 0xFFFFFFFFFFFFFFFF
@@ -53,7 +53,8 @@ class Coder:
             self.bytes[i] = bytes([b])
         self.limit = int(dropout * 2**64)
         self.seed = seed
-        self.caches: list[dict[str, bytes]] = [{} for _ in range(variants if dropout > 0 else 1)]
+        self.variants = variants if dropout > 0 else 1
+        self.cache: dict[str, bytes] = {}  # by unit with a letter for its variant at the end
         # for segment_many(): symbols by code point, and the merged symbol and rank of each pair of symbols
         self.symbol = np.full(0x110000, -1, dtype=np.int64)
         for piece, i in self.ids.items():
@@ -117,30 +118,31 @@ class Coder:
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where((a >= 0) & (b >= 0) & (self.pair_keys[at] == keys), self.pair_made[at], -1)
 
-    def segment_many(self, units: list[str], variant: int) -> list[bytes]:
+    def segment_many(self, units: list[str], variants: list[int]) -> list[bytes]:
         """segment() of many short units, step by step for all at once."""
         out: list[bytes] = [b""] * len(units)
         texts = [u.replace(" ", SPACE) for u in units]
-        lots: dict[int, list[int]] = {}
-        for k, t in enumerate(texts):
-            lots.setdefault(next((n for n in (4, 6, 8, 11, 16, TOGETHER) if len(t) <= n), 0), []).append(k)
-        for wide, lot in lots.items():
-            if not wide:
-                for k in lot:
-                    out[k] = self.segment(units[k], variant)
+        length = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        low = 0
+        for wide in (4, 6, 8, 11, 16, TOGETHER):
+            lot = np.flatnonzero((length > low) & (length <= wide))
+            low = wide
+            if not len(lot):
                 continue
-            symbols = self.symbol[np.frombuffer("".join([texts[k].ljust(wide, "\0") for k in lot]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].reshape(-1, wide)
-            length = np.array([len(texts[k]) for k in lot])
-            odd = ((symbols < 0) & (np.arange(wide) < length[:, None])).any(axis=1) | np.array([units[k] == SPACE for k in lot])
-            for k in np.flatnonzero(odd):
-                out[lot[k]] = self.segment(units[lot[k]], variant)
+            own = [texts[k] for k in lot]
+            symbols = self.symbol[np.frombuffer("".join([t.ljust(wide, "\0") for t in own]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].reshape(-1, wide)
+            inside = np.arange(wide) < length[lot][:, None]
+            odd = ((symbols < 0) & inside).any(axis=1) | np.fromiter((units[k] == SPACE for k in lot), dtype=bool, count=len(lot))
+            for k in lot[odd]:
+                out[k] = self.segment(units[k], variants[k])
             good = np.flatnonzero(~odd)
-            if not len(good):
-                continue
-            symbols = np.where(np.arange(wide) < length[:, None], symbols, -1)[good]
-            salts = np.array([xxhash.xxh3_64_intdigest(texts[lot[k]].encode("utf-8", "surrogatepass"), seed=(self.seed << 8) + variant) for k in good], dtype=np.uint64)
-            for k, row in zip(good, self._settle(symbols, salts), strict=True):
-                out[lot[k]] = row
+            if len(good):
+                base, digest = self.seed << 8, xxhash.xxh3_64_intdigest
+                salts = np.array([digest(own[k].encode("utf-8", "surrogatepass"), seed=base + variants[lot[k]]) for k in good], dtype=np.uint64)
+                for k, row in zip(lot[good], self._settle(np.where(inside, symbols, -1)[good], salts), strict=True):
+                    out[k] = row
+        for k in np.flatnonzero(length > TOGETHER):
+            out[k] = self.segment(units[k], variants[k])
         return out
 
     def _settle(self, symbols: np.ndarray, salts: np.ndarray) -> list[bytes]:
@@ -184,24 +186,27 @@ class Coder:
                 r, c = here[ok], side[ok]
                 m = self._merged(symbols[r, c], symbols[r, c + 1])
                 made[r, c], rank[r, c] = m, self.rank[m]
-        return [r[r >= 0].tobytes() for r in final]
+        kept = final >= 0
+        flat, ends = final[kept].tobytes(), (4 * np.cumsum(kept.sum(axis=1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode_many(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
         """Piece ids of each text; its key names the document."""
-        cut = [_UNIT.findall(" " + t) if t else [] for t in texts]
-        n = len(self.caches)
-        picks = [[0] * len(u) if n == 1 else (mix(mix(np.arange(len(u), dtype=np.uint64) + np.uint64((k * 0x9E3779B97F4A7C15 + self.seed) & _MASK))) % np.uint64(n)).tolist() for u, k in zip(cut, keys, strict=True)]
-        wanted: list[set[str]] = [set() for _ in range(n)]
-        for units, own in zip(cut, picks, strict=True):
-            for u, v in zip(units, own, strict=True):
-                wanted[v].add(u)
-        for v, cache in enumerate(self.caches):
-            if len(cache) > CACHE_UNITS:
-                cache.clear()
-            new = [u for u in wanted[v] if u not in cache]
-            cache.update(zip(new, self.segment_many(new, v), strict=True))
-        caches = self.caches
-        return [np.frombuffer(b"".join([caches[v][u] for u, v in zip(units, own, strict=True)]), dtype=np.int32) for units, own in zip(cut, picks, strict=True)]
+        cut: list[list[str]] = []
+        for text, key in zip(texts, keys, strict=True):
+            units = _UNIT.findall(" " + text) if text else []
+            picks = mix(mix(np.arange(len(units), dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + self.seed) & _MASK))) % np.uint64(self.variants)
+            cut.append([u + v for u, v in zip(units, (picks.astype(np.uint8) + 65).tobytes().decode("latin-1"), strict=True)])
+        cache = self.cache
+        if len(cache) > CACHE_UNITS:
+            cache.clear()
+        new = list(set().union(*cut).difference(cache))
+        cache.update(zip(new, self.segment_many([u[:-1] for u in new], [ord(u[-1]) - 65 for u in new]), strict=True))
+        made = [np.frombuffer(b"".join(map(cache.__getitem__, units)), dtype=np.int32) for units in cut]
+        for unit in new:  # long units, such as texts without spaces, aren't kept
+            if len(unit) > 60:
+                del cache[unit]
+        return made
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
         return self.encode_many([text], [key])[0]
