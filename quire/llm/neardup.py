@@ -2,9 +2,9 @@
 
 Two texts are near duplicates when the weighted Jaccard similarity of their bags of five-word shingles is at least
 THRESHOLD. Texts with equal bags are one node from the start, so copies are never paired. A bucket (band, hash) is
-worked off by leaders: its members are compared with one leader, then with its best-linked member; what joined that
-member's class leaves the bucket, and the rest starts again with a leader of its own, until no bucket has two members
-left. So a bucket of n copies costs about 2 n comparisons, never n * n, and no member is capped or dropped. BANDS bands of ROWS
+worked off by two leaders: its members are compared with one leader, then with its best-linked member. Where members of
+several classes are left, those outside the largest class are compared with all members of other classes, in blocks. So a
+bucket whose members the leaders link costs about 2 n comparisons, and no member is capped or dropped. BANDS bands of ROWS
 rows put a pair of similarity 0.8 into one bucket at least with probability 1 - 5e-6.
 
 Defined results: a null text is a class of its own; texts without words are equal if their characters are; a text of
@@ -29,8 +29,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
 #: Members of a bucket that one block has about; each pair of blocks is a piece of work of its own.
 BLOCK = 200
-#: An estimate from the signatures differs from the similarity by so much with a probability under 1e-6, or 1 %.
-FAR_OFF, OFF = 0.13, 0.07
+#: And shingles, if its texts are long.
+BLOCK_SHINGLES = 200_000
+#: An estimate from the signatures differs from the similarity by so much with a probability under 1e-6.
+FAR_OFF = 0.13
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -108,23 +110,30 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
 
 
 def _left_over(seats: DataFrame, bags: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Pairs (a, b) within buckets that may reach the threshold, by signatures compared block by block."""
+    """Links (a, b) between classes that meet in a bucket: every pair of members of different classes is compared, block by
+    block, by signatures and, where these don't rule it out, exactly. Pairs are skipped only for links that hold.
+
+    seats: bucket, id, n, root (the class so far). The members of a bucket's largest class are compared with all others,
+    but not with each other.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group in slices(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), lambda x: len(x[1])):
                 sets = [np.frombuffer(bag, dtype=np.uint64) for _, bag in group]
                 made = signatures(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), len(sets), k)
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in group], pa.int64()), pa.array([row.tobytes() for row in made.astype(np.uint16)], pa.binary())], ["id", "signature"])
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in group], pa.int64()), pa.array([row.tobytes() for row in made.astype(np.uint16)], pa.binary()), pa.array([bag for _, bag in group], pa.binary())], ["id", "signature", "bag"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for members in batch.column(0).to_pylist():
-                ids = np.array([m["id"] for m in members])
+            for at in range(batch.num_rows):
+                members = batch.column(0)[at].as_py()
                 n = np.array([m["n"] for m in members], dtype=np.float64)
                 side = np.array([m["side"] for m in members])
-                sig = np.frombuffer(b"".join(m["signature"] for m in members), dtype=np.uint16).reshape(len(ids), k)
-                root = list(range(len(ids)))
+                sig = np.frombuffer(b"".join(m["signature"] for m in members), dtype=np.uint16).reshape(len(members), k)
+                sets = [np.frombuffer(m["bag"], dtype=np.uint64) for m in members]
+                names, own = np.unique(np.array([m["root"] for m in members], dtype=np.int64), return_inverse=True)
+                root = list(range(len(names)))
 
                 def find(x: int, root: list[int] = root) -> int:
                     while root[x] != x:
@@ -132,26 +141,34 @@ def _left_over(seats: DataFrame, bags: DataFrame, threshold: float, k: int) -> D
                         x = root[x]
                     return x
 
-                out, later = [], []
-                for i in range(len(ids)):
-                    others = np.flatnonzero((ids > ids[i]) & ((side != side[i]) | (side[i] == 2)))
+                near = []
+                for i in range(len(members)):
+                    others = i + 1 + np.flatnonzero((own[i + 1 :] != own[i]) & ((side[i + 1 :] != side[i]) | (side[i] == 2)))
                     others = others[np.minimum(n[others], n[i]) >= threshold * np.maximum(n[others], n[i])]
                     like = (sig[others] == sig[i]).mean(axis=1)
-                    for j in others[like >= threshold + OFF]:
-                        if find(i) != find(int(j)):
-                            root[find(i)] = find(int(j))
-                            out.append((int(ids[i]), int(ids[j])))
-                    later += [(i, int(j)) for j in others[(like >= threshold - FAR_OFF) & (like < threshold + OFF)]]
-                out += [(int(ids[i]), int(ids[j])) for i, j in later if find(i) != find(j)]
+                    near += [(-x, i, int(j)) for x, j in zip(like.tolist(), others, strict=True) if x >= threshold - FAR_OFF]
+                out = []
+                for _, i, j in sorted(near):
+                    x, y = find(int(own[i])), find(int(own[j]))
+                    if x != y and similarity(sets[i], sets[j]) >= threshold:
+                        root[x] = y
+                        out.append((int(names[own[i]]), int(names[own[j]])))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    signed_ = bags.join(seats.select("id").distinct(), "id", "left_semi").select("id", "bag").mapInArrow(sign, "id long, signature binary")
-    sizes = seats.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = seats.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # a member meets each block of its bucket once; side 2: a block with itself
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(signed_, "id")
+    classes = seats.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    total = classes.groupBy("bucket").agg(F.max(F.struct("rows", "root", "shingles")).alias("most"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"))
+    blocks = lambda rows, shingles: F.ceil(F.greatest(rows / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+    total = total.where(F.col("rows") > F.col("most.rows")).select("bucket", F.col("most.root").alias("largest"), blocks(F.col("rows") - F.col("most.rows"), F.col("shingles") - F.col("most.shingles")).alias("rest_blocks"), blocks(F.col("most.rows"), F.col("most.shingles")).alias("blocks"))
+    rows = cut(seats.join(total, "bucket"))
+    signed_ = cut(bags.join(rows.select("id").distinct(), "id", "left_semi").select("id", "bag").mapInArrow(sign, "id long, signature binary, bag binary"))
+    largest = F.col("root") == F.col("largest")
+    at = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    rows = rows.withColumn("block", F.when(largest, F.col("rest_blocks") + at(F.col("blocks"))).otherwise(at(F.col("rest_blocks"))))
+    # a member meets each block of its bucket once, but those of the largest class don't meet each other; side 2: a block with itself
+    last = F.when(largest, F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("blocks")) - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last))).join(signed_, "id")
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    member = F.struct("id", "n", side.alias("side"), "signature")
+    member = F.struct("root", "n", side.alias("side"), "signature", "bag")
     groups = rows.groupBy("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(F.collect_list(member).alias("members"))
     return groups.where(F.size("members") > 1).select("members").mapInArrow(compare, "a long, b long").distinct()
 
@@ -175,24 +192,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     bags = cut(_bags(source.join(seats.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "id", "text"))
     ratio = F.least("n", "leader_n") >= F.greatest("n", "leader_n") * F.lit(threshold)
-    tested = links = None
-    for lead in ("least id", "best linked", "none"):
+    tested = links = led = None
+    for lead in ("least id", "best linked"):
         now = _with_classes(seats, links)
-        if lead == "none":
-            best = now.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("first"), "root")).alias("x")).select("bucket", F.col("x.root").alias("done"))
-            rest = now.join(best, "bucket").where("root <> done").select("bucket", "id", "n")
-            again = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
-            pairs = _left_over(cut(rest.join(again, "bucket")), bags, threshold, bands * rows)
-        else:
-            first = F.struct((F.col("degree") if lead == "best linked" else F.lit(0).cast("long")).alias("degree"), (-F.col("id")).alias("first"))
-            leaders = now.groupBy("bucket").agg(F.max(F.struct(first.alias("first"), "id", "n", "root")).alias("x")).select("bucket", F.col("x.id").alias("leader"), F.col("x.n").alias("leader_n"), F.col("x.root").alias("leader_root"))
-            pairs = now.join(leaders, "bucket").where((F.col("root") != F.col("leader_root")) & ratio).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+        first = F.struct((F.col("degree") if lead == "best linked" else F.lit(0).cast("long")).alias("degree"), (-F.col("id")).alias("first"))
+        leaders = now.groupBy("bucket").agg(F.max(F.struct(first.alias("first"), "id", "n", "root")).alias("x")).select("bucket", F.col("x.id").alias("leader"), F.col("x.n").alias("leader_n"), F.col("x.root").alias("leader_root"))
+        leaders = cut(leaders)
+        led = leaders if led is None else led.unionByName(leaders)
+        pairs = now.join(leaders, "bucket").where((F.col("root") != F.col("leader_root")) & ratio).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = cut(_linked(pairs, bags, threshold))
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
-    classes = nodes.select("key", F.col("id").alias("class_id")) if links is None else nodes.select("key", "id").join(components(links), "id", "left").select("key", F.coalesce("root", "id").alias("class_id"))
+    classes = nodes.select("key", "id", F.col("id").alias("class_id")) if links is None else nodes.select("key", "id").join(components(links), "id", "left").select("key", "id", F.coalesce("root", "id").alias("class_id"))
+    classes = cut(classes)
+    # a leader has met all members of its bucket, so only the others are left to be compared
+    rest = seats.join(led.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti").join(classes.select("id", F.col("class_id").alias("root")), "id")
+    more = cut(_left_over(rest.select("bucket", "id", "n", "root"), bags, threshold, bands * rows))
+    if not more.isEmpty():
+        joined = components(more).withColumnRenamed("id", "class_id")
+        classes = classes.join(joined, "class_id", "left").withColumn("class_id", F.coalesce("root", "class_id"))
+    classes = classes.select("key", "class_id")
     return marks.select("id", "key").join(classes, "key").select(F.col("id").alias(id_col), "class_id")
 
 

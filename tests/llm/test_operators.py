@@ -81,6 +81,27 @@ def test_deduplicate_keeps_columns_and_one_of_each_class(spark):
     assert neardup.near_duplicates(df.where("false")).count() == 0
 
 
+def edited_copies(n, seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(2000)]
+    base = [rng.choice(words) for _ in range(250)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, n):
+        text = list(base)
+        for _ in range(rng.randint(1, 9)):
+            at = rng.randrange(245)
+            for k in range(at, at + rng.randint(1, 4)):
+                text[k] = f"e{rng.randrange(40)}" if rng.random() < 0.3 else f"e{k % 7}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_large_group_of_edited_copies_matches_brute_force(spark):
+    rows = edited_copies(500, 1)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_signatures_estimate_weighted_similarity():
     columns, owner, _ = dartminhash.shingle_columns([" ".join(f"w{i}" for i in range(200)), " ".join(f"w{i}" for i in range(20, 220))])
     made = dartminhash.signatures(columns, owner, 2, 4000)
