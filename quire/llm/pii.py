@@ -3,9 +3,9 @@
 Patterns find e-mail and IP addresses, card and phone numbers. Each distinct value found is a protected entity c. For a
 term t (a word of MIN_LETTERS letters or more) within CONTEXT code points of c, whole-corpus counts estimate the share of
 c's information that t gives away, PMI(c; t) / IC(c), where IC(c) = -log2 p(c) and PMI(c; t) = log2(p(c, t) / (p(c) p(t))).
-From GENERALISE on the term is generalised in the documents where it stands near c, from REMOVE on it is removed. p(t)
-counts all documents; p(c) and p(c, t) count different texts, and MIN_SUPPORT of them are needed, so copies of a text
-don't make evidence.
+From GENERALISE on the term is generalised in the documents where it stands near c, from REMOVE on it is removed. All
+probabilities count different texts, and MIN_SUPPORT of them are needed for c and for c with t, so copies of a text
+neither make evidence nor hide it.
 
 Defined results: a null text is treated as empty and stays null; a document without base spans has no spans; rows that
 share id and text get the same spans; spans of different kinds may overlap, those of a kind don't; texts are searched
@@ -114,9 +114,11 @@ def disclosures(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     pairs = met.join(entities.select("entity"), "entity", "left_semi").select("entity", "text_key", "row_key", F.explode("terms").alias("term"))
     joint = pairs.select("entity", "term", "text_key").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_joint")).where(F.col("n_joint") >= MIN_SUPPORT)
     joint = cut(joint.join(entities, "entity"))
-    counts = docs.select(F.explode(_term_list(F.col(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # a text counts once, however many copies it has
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("text", digest.alias("text_key"))
+    counts = texts.groupBy("text_key").agg(F.first("text").alias("text")).select(F.explode(_term_list(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     counts = counts.join(joint.select("term").distinct(), "term", "left_semi")
-    n = docs.count()
+    n = texts.select("text_key").distinct().count()
     p = lambda c: F.col(c) / F.lit(float(max(n, 1)))
     share = F.log2(p("n_joint") / (p("n_entity") * F.greatest(p("n_term"), p("n_joint")))) / F.greatest(-F.log2(p("n_entity")), F.lit(1e-9))
     telling = joint.join(counts, "term").withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share")

@@ -282,6 +282,15 @@ def test_disclosing_terms_are_found_and_removed(spark):
     assert pii.sanitise(docs_of(spark, rows).where("false")).count() == 0
 
 
+def test_copies_do_not_hide_disclosing_terms(spark):
+    rows = [(i, f"Ask Zorblatt the manager at boss@corp.example.com number {i} " + "and the rest " * i) for i in range(3)] + [(100 + i, f"the rest and more {i} words") for i in range(60)]
+    want = {r.doc_id: r.spans for r in pii.find(docs_of(spark, rows)).collect()}
+    rows += [(1000 + i, rows[0][1]) for i in range(300)]
+    got = {r.doc_id: r.spans for r in pii.find(docs_of(spark, rows)).collect()}
+    assert any(s.kind == 4 for s in want[0])
+    assert got == want | {1000 + i: want[0] for i in range(300)}
+
+
 # ---- packing
 
 
