@@ -7,7 +7,8 @@ several classes are left, those outside the largest class are compared with all
 bucket whose members the leaders link costs about 2 n comparisons, and no member is capped or dropped. BANDS bands of ROWS
 rows put a pair of similarity 0.8 into one bucket at least with probability 1 - 5e-6.
 
-Defined results: a null text is a class of its own; texts without words are equal if their characters are; a text of
+Defined results: a null text is a class of its own; rows with a null id are classed like others, and the class id is null
+only if all ids of the class are; different texts may share an id; texts without words are equal if their characters are; a text of
 one to four words has one shingle of all of them; repeated rows are copies of each other; an empty table gives no rows;
 very long texts are read whole; other columns are ignored or, in deduplicate(), kept.
 """
@@ -35,14 +36,18 @@ BLOCK_SHINGLES = 200_000
 FAR_OFF = 0.13
 
 
+def _key(what: bytes) -> bytes:
+    return hashlib.blake2b(what, digest_size=16).digest()
+
+
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, key (equal for texts with equal bags), n (shingles), bands (bucket names; empty without words)."""
+    """id, digest (of the text), key (equal for texts with equal bags), n (shingles), bands (bucket names; empty without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
-            for group in slices(((i, t.as_py()) for i, t in pairs), lambda x: len(x[1] or "") + 64):
-                texts = [t or "" for _, t in group]
+            rows_ = zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True)
+            for group in slices(((i, t.as_py(), d) for i, t, d in rows_), lambda x: len(x[1] or "") + 64):
+                texts = [t or "" for _, t, _ in group]
                 columns, owner, made = shingle_columns(texts)
                 some = np.flatnonzero(made > 0)
                 names: list = [[]] * len(texts)
@@ -53,26 +58,27 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band
                         names[at] = row
                 start = np.concatenate([[0], np.cumsum(made)])
                 keys = []
-                for at, (i, t) in enumerate(group):
+                for at, (i, t, _) in enumerate(group):
                     own = columns[start[at] : start[at + 1]]
                     what = b"null:" + str(i).encode() if t is None else b"text:" + t.encode("utf-8", "surrogatepass") if not len(own) else np.sort(own).tobytes()
-                    keys.append(hashlib.blake2b(what, digest_size=16).digest())
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in group], pa.int64()), pa.array(keys, pa.binary()), pa.array(made, pa.int64()), pa.array(names, pa.list_(pa.int64()))], ["id", "key", "n", "bands"])
+                    keys.append(_key(what))
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in group], pa.int64()), pa.array([d for _, _, d in group], pa.int64()), pa.array(keys, pa.binary()), pa.array(made, pa.int64()), pa.array(names, pa.list_(pa.int64()))], ["id", "digest", "key", "n", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, key binary, n long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("digest")).mapInArrow(run, "id long, digest long, key binary, n long, bands array<long>")
 
 
-def _bags(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and bag: the sorted shingle columns of its text."""
+def _bags(texts: DataFrame) -> DataFrame:
+    """key and bag: the sorted shingle columns of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for group in slices(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), lambda x: len(x[1]) + 64):
-                columns, _, made = shingle_columns([t for _, t in group])
+            for group in slices(batch.column(0).to_pylist(), lambda x: len(x) + 64):
+                columns, _, made = shingle_columns(group)
                 start = np.concatenate([[0], np.cumsum(made)])
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in group], pa.int64()), pa.array([np.sort(columns[start[k] : start[k + 1]]).tobytes() for k in range(len(group))], pa.binary())], ["id", "bag"])
+                bags = [np.sort(columns[start[k] : start[k + 1]]).tobytes() for k in range(len(group))]
+                yield pa.RecordBatch.from_arrays([pa.array([_key(bag) for bag in bags], pa.binary()), pa.array(bags, pa.binary())], ["key", "bag"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, bag binary")
+    return texts.select("text").mapInArrow(run, "key binary, bag binary")
 
 
 def _linked(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
@@ -182,15 +188,20 @@ def _with_classes(seats: DataFrame, links: DataFrame | None) -> DataFrame:
     return seats.join(known, "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"), F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id_col and class_id (the least id of its class) of every row."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """id, digest (of the text) and class (a number) of every row."""
     marks = cut(signed(docs, id_col, text_col, bands, rows))
-    nodes = marks.groupBy("key").agg(F.min(F.struct("id", "n", "bands")).alias("x")).select("key", "x.id", "x.n", "x.bands")
+    # texts with equal bags are a node, which is numbered, as ids may be null or shared by several texts
+    nodes = marks.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "n", "bands")).alias("x"))
+    nodes = cut(nodes.select("key", F.monotonically_increasing_id().alias("id"), F.col("x.id").alias("doc"), "x.digest", "x.n", "x.bands"))
     seats = nodes.select("id", "n", F.explode("bands").alias("bucket"))
     shared = seats.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
     seats = cut(seats.join(shared, "bucket"))
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    bags = cut(_bags(source.join(seats.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "id", "text"))
+    seated = nodes.join(seats.select("id").distinct(), "id", "left_semi").select("id", "key", "doc", "digest")
+    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("digest"))
+    same = source["doc"].eqNullSafe(seated["doc"]) & (source["digest"] == seated["digest"])
+    made = _bags(source.join(seated, same, "left_semi").dropDuplicates(["doc", "digest"]))
+    bags = cut(made.join(seated.select("key", "id"), "key").dropDuplicates(["id"]).select("id", "bag"))
     ratio = F.least("n", "leader_n") >= F.greatest("n", "leader_n") * F.lit(threshold)
     tested = links = led = None
     for lead in ("least id", "best linked"):
@@ -214,12 +225,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         joined = components(more).withColumnRenamed("id", "class_id")
         classes = classes.join(joined, "class_id", "left").withColumn("class_id", F.coalesce("root", "class_id"))
     classes = classes.select("key", "class_id")
-    return marks.select("id", "key").join(classes, "key").select(F.col("id").alias(id_col), "class_id")
+    return marks.select("id", "digest", "key").join(classes, "key").select("id", "digest", F.col("class_id").alias("class"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """id_col and class_id (the least id of its class) of every row."""
+    found = cut(_classes(docs, id_col, text_col, **options))
+    least = found.groupBy("class").agg(F.min("id").alias("class_id"))
+    return found.join(least, "class").select(F.col("id").alias(id_col), "class_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each class: a row of the least id, all its columns kept."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("_kept_id")).distinct()
-    name = free_name(docs, "_kept_id")
-    kept = kept.withColumnRenamed("_kept_id", name)
-    return docs.dropDuplicates([id_col]).join(kept, F.col(id_col) == F.col(name), "left_semi")
+    """docs with one row of each class: a row of the least id (null ids last), all its columns kept."""
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("x")
+    kept = _classes(docs, id_col, text_col, **options).groupBy("class").agg(first).select(F.col("x.id").alias("_kept_id"), F.col("x.digest").alias("_kept_digest"))
+    name, digest = free_name(docs, "_kept_id"), free_name(docs, "_digest")
+    kept = kept.withColumnsRenamed({"_kept_id": name, "_kept_digest": f"{digest}_kept"})
+    rows = docs.withColumn(digest, F.xxhash64(F.col(text_col)))
+    # rows that share id and text are copies; the others of an id are texts of their own
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(name)) & (F.col(digest) == F.col(f"{digest}_kept"))
+    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, digest]).select(*docs.columns)

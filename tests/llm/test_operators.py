@@ -81,6 +81,15 @@ def test_deduplicate_keeps_columns_and_one_of_each_class(spark):
     assert neardup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_null_and_shared_ids_lose_no_text(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    df = docs_of(spark, [(None, a), (3, a), (4, a + " x"), (None, b), (None, b), (7, c), (7, d), (7, d), (None, None)])
+    got = sorted(((r.doc_id, r.class_id) for r in neardup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(None, 3), (3, 3), (4, 3), (None, None), (None, None), (7, 7), (7, 7), (7, 7), (None, None)], key=str)
+    kept = sorted(((r.doc_id, r.text) for r in neardup.deduplicate(df).collect()), key=str)
+    assert kept == sorted([(3, a), (None, b), (7, c), (7, d), (None, None)], key=str)
+
+
 def edited_copies(n, seed):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(2000)]
