@@ -2,10 +2,13 @@
 
 Two texts are near duplicates when the weighted Jaccard similarity of their bags of five-word shingles is at least
 THRESHOLD. Texts with equal bags are one node from the start, so copies are never paired. A bucket (band, hash) is
-worked off by two leaders: its members are compared with one leader, then with its best-linked member. Where members of
-several classes are left, those outside the largest class are compared with all members of other classes, in blocks. So a
-bucket whose members the leaders link costs about 2 n comparisons, and no member is capped or dropped. BANDS bands of ROWS
-rows put a pair of similarity 0.8 into one bucket at least with probability 1 - 5e-6.
+worked off by leaders: members of other classes are compared with its best-linked member. Large buckets of a few bands
+come first, so that most of a large group is one class before the other bands are worked off. Where members of several
+classes are left in a bucket, they are compared with all members of other classes, in blocks, by their whole bags. The
+rows of every step grow with the members of buckets, beyond BLOCK members of several classes in one bucket with their
+square over BLOCK; the comparisons inside a block are its pairs of different classes. No member is capped or dropped.
+BANDS bands of ROWS rows put a pair of similarity 0.8 into one bucket at least with probability 1 - 5e-6, and every pair
+in a bucket is compared unless links connect it already.
 
 Defined results: a null text is a class of its own; rows with a null id are classed like others, and the class id is null
 only if all ids of the class are; different texts may share an id; texts without words are equal if their characters are; a text of
@@ -28,12 +31,12 @@ from .dartminhash import band_hashes, shingle_columns, signatures, similarity
 
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
+#: Leaders are led out in these bands first, in buckets of so many members, so that the rest finds most classes made.
+FIRST_BANDS, HOT_BUCKET = ((0, 2), (2, 10)), 20
 #: Members of a bucket that one block has about; each pair of blocks is a piece of work of its own.
-BLOCK = 200
+BLOCK = 2000
 #: And shingles, if its texts are long.
-BLOCK_SHINGLES = 200_000
-#: An estimate from the signatures differs from the similarity by so much with a probability under 1e-6.
-FAR_OFF = 0.13
+BLOCK_SHINGLES = 400_000
 
 
 def _key(what: bytes) -> bytes:
@@ -115,68 +118,92 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     return labels
 
 
-def _left_over(seats: DataFrame, bags: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Links (a, b) between classes that meet in a bucket: every pair of members of different classes is compared, block by
-    block, by signatures and, where these don't rule it out, exactly. Pairs are skipped only for links that hold.
+def _left_over(seats: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between classes that meet in a bucket: every pair of members of different classes is compared by its
+    bags, block by block. A pair is skipped only when links that hold connect its classes already.
 
     seats: bucket, id, n, root (the class so far). The members of a bucket's largest class are compared with all others,
-    but not with each other.
+    but not with each other. A block pair puts out no more links than it has classes.
     """
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for group in slices(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), lambda x: len(x[1])):
-                sets = [np.frombuffer(bag, dtype=np.uint64) for _, bag in group]
-                made = signatures(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), len(sets), k)
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in group], pa.int64()), pa.array([row.tobytes() for row in made.astype(np.uint16)], pa.binary()), pa.array([bag for _, bag in group], pa.binary())], ["id", "signature", "bag"])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members = None, []
         for batch in batches:
-            for at in range(batch.num_rows):
-                members = batch.column(0)[at].as_py()
-                n = np.array([m["n"] for m in members], dtype=np.float64)
-                side = np.array([m["side"] for m in members])
-                sig = np.frombuffer(b"".join(m["signature"] for m in members), dtype=np.uint16).reshape(len(members), k)
-                sets = [np.frombuffer(m["bag"], dtype=np.uint64) for m in members]
-                names, own = np.unique(np.array([m["root"] for m in members], dtype=np.int64), return_inverse=True)
-                root = list(range(len(names)))
-
-                def find(x: int, root: list[int] = root) -> int:
-                    while root[x] != x:
-                        root[x] = root[root[x]]
-                        x = root[x]
-                    return x
-
-                near = []
-                for i in range(len(members)):
-                    others = i + 1 + np.flatnonzero((own[i + 1 :] != own[i]) & ((side[i + 1 :] != side[i]) | (side[i] == 2)))
-                    others = others[np.minimum(n[others], n[i]) >= threshold * np.maximum(n[others], n[i])]
-                    like = (sig[others] == sig[i]).mean(axis=1)
-                    near += [(-x, i, int(j)) for x, j in zip(like.tolist(), others, strict=True) if x >= threshold - FAR_OFF]
-                out = []
-                for _, i, j in sorted(near):
-                    x, y = find(int(own[i])), find(int(own[j]))
-                    if x != y and similarity(sets[i], sets[j]) >= threshold:
-                        root[x] = y
-                        out.append((int(names[own[i]]), int(names[own[j]])))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+            bags_ = batch.column("bag")
+            rows = zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "high", "root", "side")), strict=True)
+            out: list[tuple[int, int]] = []
+            for at, (bucket, low, high, root, side) in enumerate(rows):
+                if (bucket, low, high) != now:
+                    out += _block_links(members, threshold)
+                    now, members = (bucket, low, high), []
+                members.append((root, side, np.frombuffer(bags_[at].as_buffer(), dtype=np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], schema=schema)
+        out = _block_links(members, threshold)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], schema=schema)
 
     classes = seats.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
     total = classes.groupBy("bucket").agg(F.max(F.struct("rows", "root", "shingles")).alias("most"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"))
     blocks = lambda rows, shingles: F.ceil(F.greatest(rows / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
-    total = total.where(F.col("rows") > F.col("most.rows")).select("bucket", F.col("most.root").alias("largest"), blocks(F.col("rows") - F.col("most.rows"), F.col("shingles") - F.col("most.shingles")).alias("rest_blocks"), blocks(F.col("most.rows"), F.col("most.shingles")).alias("blocks"))
-    rows = cut(seats.join(total, "bucket"))
-    signed_ = cut(bags.join(rows.select("id").distinct(), "id", "left_semi").select("id", "bag").mapInArrow(sign, "id long, signature binary, bag binary"))
-    largest = F.col("root") == F.col("largest")
+    # a bucket that fits into one block is one; in others the largest class has blocks of its own
+    whole = blocks(F.col("rows"), F.col("shingles")) == 1
+    total = total.where(F.col("rows") > F.col("most.rows")).select("bucket", F.when(~whole, F.col("most.root")).alias("largest"), F.when(whole, 1).otherwise(blocks(F.col("rows") - F.col("most.rows"), F.col("shingles") - F.col("most.shingles"))).alias("rest_blocks"), F.when(whole, 0).otherwise(blocks(F.col("most.rows"), F.col("most.shingles"))).alias("blocks"))
+    rows = seats.join(total, "bucket")
+    largest = F.coalesce(F.col("root") == F.col("largest"), F.lit(False))
     at = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     rows = rows.withColumn("block", F.when(largest, F.col("rest_blocks") + at(F.col("blocks"))).otherwise(at(F.col("rest_blocks"))))
     # a member meets each block of its bucket once, but those of the largest class don't meet each other; side 2: a block with itself
     last = F.when(largest, F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("blocks")) - 1
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last))).join(signed_, "id")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last))).join(bags, "id")
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    member = F.struct("root", "n", side.alias("side"), "signature", "bag")
-    groups = rows.groupBy("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(F.collect_list(member).alias("members"))
-    return groups.where(F.size("members") > 1).select("members").mapInArrow(compare, "a long, b long").distinct()
+    key = ["bucket", "low", "high"]
+    rows = rows.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "root", side.alias("side"), "bag")
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a long, b long").distinct()
+
+
+def _block_links(members: list[tuple[int, int, np.ndarray]], threshold: float) -> list[tuple[int, int]]:
+    """Links (class, class) among (class, side, bag) of one pair of blocks; members of one side (0 or 1) aren't compared."""
+    if len(members) < 2 or all(m[0] == members[0][0] for m in members):
+        return []
+    members = sorted(members, key=lambda m: len(m[2]))
+    n = np.array([len(m[2]) for m in members])
+    names, own = np.unique(np.array([m[0] for m in members], dtype=np.int64), return_inverse=True)
+    side = np.array([m[1] for m in members])
+    start = np.concatenate([[0], np.cumsum(n)])
+    values, spots = np.unique(np.concatenate([m[2] for m in members]), return_inverse=True)
+    there = np.zeros(len(values), dtype=np.int32)
+    root = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    # every pair has a member outside the largest class, or on the smaller side: only these are held against the others
+    sides = np.bincount(side, minlength=3)
+    if sides[2]:
+        asking = np.flatnonzero(own != np.bincount(own).argmax())
+    else:
+        asking = np.flatnonzero(side == int(sides[1] < sides[0]))
+    low = np.searchsorted(n, n * threshold - 1e-6)
+    high = np.searchsorted(n, n / threshold + 1e-6, side="right")
+    out = []
+    for i in asking.tolist():
+        first, last = int(low[i]), int(high[i])
+        mine = spots[start[i] : start[i + 1]]
+        there[mine] = 1
+        common = np.add.reduceat(there[spots[start[first] : start[last]]], start[first:last] - start[first])
+        there[mine] = 0
+        near = (common / (n[i] + n[first:last] - common) >= threshold) & (own[first:last] != own[i])
+        if side[i] != 2:
+            near &= side[first:last] != side[i]
+        for other in np.unique(own[first:last][near]).tolist():
+            x, y = find(int(own[i])), find(other)
+            if x != y:
+                root[x] = y
+                out.append((int(names[own[i]]), int(names[other])))
+    return out
 
 
 def _with_classes(seats: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -184,8 +211,8 @@ def _with_classes(seats: DataFrame, links: DataFrame | None) -> DataFrame:
     if links is None:
         return seats.withColumn("root", F.col("id")).withColumn("degree", F.lit(0).cast("long"))
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    known = components(links, rounds=1).join(degree, "id")
-    return seats.join(known, "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"), F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
+    known = components(links, rounds=2).join(degree, "id")
+    return seats.join(known, "id", "left").select("bucket", "band", "size", "id", "n", F.coalesce("root", "id").alias("root"), F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -194,8 +221,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = THR
     # texts with equal bags are a node, which is numbered, as ids may be null or shared by several texts
     nodes = marks.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "n", "bands")).alias("x"))
     nodes = cut(nodes.select("key", F.monotonically_increasing_id().alias("id"), F.col("x.id").alias("doc"), "x.digest", "x.n", "x.bands"))
-    seats = nodes.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = seats.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
+    seats = nodes.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
+    shared = seats.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     seats = cut(seats.join(shared, "bucket"))
     seated = nodes.join(seats.select("id").distinct(), "id", "left_semi").select("id", "key", "doc", "digest")
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("digest"))
@@ -204,10 +231,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = THR
     bags = cut(made.join(seated.select("key", "id"), "key").dropDuplicates(["id"]).select("id", "bag"))
     ratio = F.least("n", "leader_n") >= F.greatest("n", "leader_n") * F.lit(threshold)
     tested = links = led = None
-    for lead in ("least id", "best linked"):
-        now = _with_classes(seats, links)
-        first = F.struct((F.col("degree") if lead == "best linked" else F.lit(0).cast("long")).alias("degree"), (-F.col("id")).alias("first"))
-        leaders = now.groupBy("bucket").agg(F.max(F.struct(first.alias("first"), "id", "n", "root")).alias("x")).select("bucket", F.col("x.id").alias("leader"), F.col("x.n").alias("leader_n"), F.col("x.root").alias("leader_root"))
+    for first_band, end_band, least_size in (*((a, b, HOT_BUCKET) for a, b in FIRST_BANDS), (0, bands, 2)):
+        here = seats.where((F.col("band") >= first_band) & (F.col("band") < end_band) & (F.col("size") >= least_size))
+        now = _with_classes(here, links)
+        best = F.struct("degree", (-F.col("id")).alias("first"))
+        leaders = now.groupBy("bucket").agg(F.max(F.struct(best.alias("best"), "id", "n", "root")).alias("x")).select("bucket", F.col("x.id").alias("leader"), F.col("x.n").alias("leader_n"), F.col("x.root").alias("leader_root"))
         leaders = cut(leaders)
         led = leaders if led is None else led.unionByName(leaders)
         pairs = now.join(leaders, "bucket").where((F.col("root") != F.col("leader_root")) & ratio).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
@@ -218,9 +246,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = THR
             links = new if links is None else links.unionByName(new)
     classes = nodes.select("key", "id", F.col("id").alias("class_id")) if links is None else nodes.select("key", "id").join(components(links), "id", "left").select("key", "id", F.coalesce("root", "id").alias("class_id"))
     classes = cut(classes)
-    # a leader has met all members of its bucket, so only the others are left to be compared
+    # a leader has met all members of its bucket that aren't in its class, so only the others are left to be compared
     rest = seats.join(led.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti").join(classes.select("id", F.col("class_id").alias("root")), "id")
-    more = cut(_left_over(rest.select("bucket", "id", "n", "root"), bags, threshold, bands * rows))
+    more = cut(_left_over(rest.select("bucket", "id", "n", "root"), bags, threshold))
     if not more.isEmpty():
         joined = components(more).withColumnRenamed("id", "class_id")
         classes = classes.join(joined, "class_id", "left").withColumn("class_id", F.coalesce("root", "class_id"))

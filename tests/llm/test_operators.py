@@ -111,6 +111,34 @@ def test_large_group_of_edited_copies_matches_brute_force(spark):
     assert got == brute_classes(rows)
 
 
+def hub_and_chain(seed, copies=250, edits=6):
+    """A hub, copies of it, and a further edited copy of each of those."""
+    rng = random.Random(seed)
+    hub = [f"h{rng.randrange(5000)}" for _ in range(300)]
+
+    def edited(text):
+        text = list(text)
+        for _ in range(edits):
+            text[rng.randrange(300)] = f"e{rng.randrange(10**6)}"
+        return text
+
+    near = [edited(hub) for _ in range(copies)]
+    return [(i, " ".join(t)) for i, t in enumerate([hub, *near, *(edited(t) for t in near)])]
+
+
+def test_hub_with_copies_of_copies_matches_brute_force(spark):
+    rows = hub_and_chain(11)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_blocks_of_a_large_bucket_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    rows = hub_and_chain(12, copies=120)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_signatures_estimate_weighted_similarity():
     columns, owner, _ = dartminhash.shingle_columns([" ".join(f"w{i}" for i in range(200)), " ".join(f"w{i}" for i in range(20, 220))])
     made = dartminhash.signatures(columns, owner, 2, 4000)
