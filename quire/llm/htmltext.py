@@ -1,12 +1,15 @@
 """Main-text extraction: flat text blocks, described with their neighbours and classified by a decision tree.
 
-A page is cut at block-level tags into flat blocks of text. A block is described by its words, its link density, those of
-the blocks before and after it, and where it stands (in an article, in an area of boilerplate, on a page that has an
-article). A decision tree, grown here on the small table LABELLED, says which blocks are main text.
+A page is cut at block-level tags into flat blocks of text. A block is described by its words, link density and kind
+(heading, paragraph, other), by words and link density of the blocks before and after it, and by where it stands (in an
+article, in an area of boilerplate, on a page that has an article). A decision tree, grown here on the small table
+LABELLED of pages with a label for each block, says which blocks are main text. Areas of boilerplate are told by element
+names and by whole names in class, id and role: a name marks one if all its parts are in MARKS or BESIDE.
 
 Defined results: a null or empty page has the empty text; broken markup (unclosed, unknown or stray tags, unended
 comments and scripts) is read as a browser would, up to the page's end; repeated rows each give their text; an empty
-table gives no rows; other columns are kept; pages are read whole and no block is capped.
+table gives no rows; other columns are kept, and a column with the name of the new one is an error; pages are read whole
+and no block is capped.
 """
 
 from __future__ import annotations
@@ -24,33 +27,49 @@ from .common import free_name
 
 _TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_PARTS = re.compile(r"[^a-z0-9]+")
+_HUMPS = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: Elements whose content is no text.
 SILENT = {"script", "style", "noscript", "template", "title", "textarea", "svg", "iframe", "object", "math", "canvas", "audio", "video", "select", "button"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+PARAGRAPHS = {"p", "blockquote", "pre", "figcaption"}
 AREAS = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "fieldset"}
-#: Words of class, id and role that mark areas of boilerplate.
-MARKS = set("ad ads advert advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social newsletter subscribe signup login search form comment comments disqus replies pagination pager copyright legal skip toolbar dialog alert complementary contentinfo".split())
+#: Parts of names in class, id and role that mark areas of boilerplate.
+MARKS = set("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social newsletter subscribe signup login search form comment comments disqus replies pagination pager copyright toolbar dialog alert complementary contentinfo".split())
+#: Parts that may stand beside them.
+BESIDE = set("a the and main site page global top bottom left right primary secondary inner outer list lists item items box bar block blocks container content wrapper wrap section area slot unit group row col column link links button buttons icon icons post posts article articles stories thread user users reader js l r text title media fixed sticky mobile desktop skip to us".split())
+#: Marks of what may also head an article's own text.
+HEADS = {"header", "masthead"}
 
 
 class Block(NamedTuple):
     text: str
     words: int
     linked: int
+    kind: int  # 2: heading, 1: paragraph, 0: other
     article: bool
     area: bool
 
 
-def _marked(name: str, attributes: str) -> bool:
+def _named(value: str, in_article: bool) -> bool:
+    """Whether a name in class, id or role marks boilerplate."""
+    parts = {p for p in _PARTS.split(value) if p and not p.isdigit()}
+    marks = parts & MARKS - (HEADS if in_article else set())
+    return bool(marks) and parts <= MARKS | BESIDE
+
+
+def _marked(name: str, attributes: str, in_article: bool) -> bool:
     if name in AREAS:
         return True
     if not attributes:
         return False
     for key, value in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
+        key, value = key.lower(), value.strip("\"'")
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.lower().replace(" ", ""):
             return True
-        if key in ("class", "id", "role") and not MARKS.isdisjoint(re.split(r"[^a-z]+", value)):
+        if key in ("class", "id", "role") and any(_named(_HUMPS.sub("-", x).lower(), in_article) for x in value.split()):
             return True
     return False
 
@@ -73,8 +92,8 @@ def blocks(page: str) -> list[Block]:
             link = 0
         text = " ".join("".join(parts).split())
         if text:
-            _, article, area = stack[-1] if stack else ("", False, False)
-            out.append(Block(text, len(text.split()), linked, article, area))
+            inside, article, area = stack[-1] if stack else ("", False, False)
+            out.append(Block(text, len(text.split()), linked, 2 if inside in HEADINGS else int(inside in PARAGRAPHS), article, area))
         parts.clear()
         linked = 0
 
@@ -122,36 +141,50 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
         _, article, area = stack[-1] if stack else ("", False, False)
         own = name in ("article", "main") or bool(m[3]) and 'role="main"' in m[3]
-        stack.append((name, article or own, area or name == "header" and not article or name not in ("body", "html", "article", "main") and _marked(name, m[3])))
+        stack.append((name, article or own, area or name == "header" and not article or name not in ("body", "html", "article", "main") and _marked(name, m[3], article)))
     flush()
     return out
 
 
-FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "in an article", "in an area", "page has an article")
-#: A small table of labelled blocks, FEATURES and then 1 for main text.
+FEATURES = ("words", "link density", "kind", "words before", "link density before", "words after", "link density after", "in an article", "in an area", "page has an article")
+#: Labelled pages. A block is + (main text) or -, its kind (h heading, p paragraph, x other), its words,
+#: /linked words, and the marks @ (in an article) and ! (in an area).
 LABELLED = (
-    (12, 0.00, 0, 0.0, 4, 0.0, 1, 0, 1, 1), (4, 0.00, 12, 0.0, 60, 0.0, 1, 0, 1, 1), (60, 0.05, 4, 0.0, 3, 0.0, 1, 0, 1, 1),
-    (3, 0.00, 60, 0.0, 45, 0.0, 1, 0, 1, 1), (1, 0.00, 3, 0.0, 2, 0.0, 1, 0, 1, 1), (2, 0.00, 1, 0.0, 30, 0.1, 1, 0, 1, 1),
-    (150, 0.02, 30, 0.0, 8, 1.0, 1, 0, 1, 1), (7, 0.15, 9, 1.0, 7, 1.0, 1, 0, 1, 1), (25, 0.30, 25, 0.0, 0, 0.0, 1, 0, 1, 1),
-    (40, 0.00, 6, 1.0, 10, 0.0, 1, 0, 1, 1), (9, 0.40, 80, 0.0, 75, 0.0, 1, 0, 1, 1), (5, 0.00, 10, 1.0, 12, 1.0, 1, 0, 1, 1),
-    (4, 1.00, 3, 1.0, 5, 1.0, 1, 0, 1, 0), (9, 1.00, 60, 0.0, 8, 1.0, 1, 0, 1, 0), (2, 1.00, 2, 1.0, 2, 1.0, 1, 0, 1, 0),
-    (14, 0.95, 7, 1.0, 0, 0.0, 1, 0, 1, 0), (6, 1.00, 0, 0.0, 6, 1.0, 1, 0, 1, 0),
-    (1, 1.00, 0, 0.0, 1, 1.0, 0, 1, 1, 0), (1, 1.00, 1, 1.0, 1, 1.0, 0, 1, 1, 0), (3, 1.00, 1, 1.0, 10, 0.0, 0, 1, 1, 0),
-    (10, 0.00, 1, 1.0, 12, 0.0, 0, 1, 1, 0), (25, 0.00, 1, 1.0, 9, 0.0, 0, 1, 1, 0), (55, 0.00, 10, 0.0, 14, 0.0, 0, 1, 1, 0),
-    (8, 0.00, 70, 0.0, 0, 0.0, 0, 1, 1, 0), (15, 0.20, 70, 0.0, 0, 0.0, 0, 1, 1, 0), (30, 0.00, 90, 0.0, 4, 0.0, 1, 1, 1, 0),
-    (12, 0.00, 80, 0.0, 40, 0.0, 1, 1, 1, 0), (45, 0.00, 12, 0.0, 35, 0.0, 1, 1, 1, 0), (3, 0.00, 70, 0.0, 60, 0.0, 1, 1, 1, 0),
-    (20, 0.00, 10, 0.0, 60, 0.0, 0, 0, 1, 0), (6, 0.00, 80, 0.0, 9, 0.0, 0, 0, 1, 0), (2, 0.50, 3, 1.0, 12, 0.0, 0, 0, 1, 0),
-    (65, 0.00, 70, 0.0, 5, 0.0, 0, 0, 1, 0), (35, 0.10, 4, 0.0, 8, 0.0, 0, 0, 1, 0), (4, 0.00, 0, 0.0, 50, 0.0, 0, 0, 1, 0),
-    (14, 0.00, 50, 0.0, 0, 0.0, 0, 0, 1, 0), (1, 0.00, 20, 0.0, 25, 0.0, 0, 0, 1, 0),
-    (60, 0.00, 10, 0.0, 45, 0.0, 0, 0, 0, 1), (45, 0.10, 60, 0.0, 5, 0.0, 0, 0, 0, 1), (5, 0.00, 45, 0.0, 80, 0.0, 0, 0, 0, 1),
-    (80, 0.20, 5, 0.0, 3, 0.0, 0, 0, 0, 1), (22, 0.00, 3, 0.0, 30, 0.1, 0, 0, 0, 1), (8, 0.00, 2, 1.0, 70, 0.0, 0, 0, 0, 1),
-    (30, 0.25, 22, 0.0, 2, 1.0, 0, 0, 0, 1), (18, 0.00, 6, 0.5, 40, 0.0, 0, 0, 0, 1), (12, 0.00, 33, 0.0, 28, 0.0, 0, 0, 0, 1),
-    (2, 1.00, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (1, 1.00, 0, 0.0, 2, 1.0, 0, 0, 0, 0), (4, 0.80, 2, 1.0, 6, 0.7, 0, 0, 0, 0),
-    (20, 0.90, 4, 0.8, 30, 0.8, 0, 0, 0, 0), (3, 0.00, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (6, 0.00, 4, 1.0, 3, 0.0, 0, 0, 0, 0),
-    (2, 0.00, 6, 0.0, 1, 1.0, 0, 0, 0, 0), (5, 0.00, 3, 0.0, 0, 0.0, 0, 0, 0, 0), (10, 0.60, 5, 1.0, 5, 1.0, 0, 0, 0, 0),
-    (3, 0.00, 0, 0.0, 4, 1.0, 0, 0, 0, 0), (7, 0.00, 5, 1.0, 4, 0.9, 0, 1, 0, 0), (50, 0.00, 60, 0.0, 40, 0.0, 0, 1, 0, 0),
-    (18, 0.00, 60, 0.0, 9, 0.0, 0, 1, 0, 0), (4, 0.00, 50, 0.0, 70, 0.0, 0, 1, 0, 0), (28, 0.10, 0, 0.0, 55, 0.0, 0, 1, 0, 0),
-)
+    # news and blog pages with an article element
+    "-x1/1! -x1/1! -x2/2! -x9! +h9@ +p3@ +p62/2@ +p1@ +h2@ +p41@ -x11!",
+    "-x3/3! -p25 +h12@ +x4@ +p80/4@ +x6/6@ +x5/5@ +p33@ -x12@! -p18@! -x8/8! -p40!",
+    "-h2! -x2/2 -x1/1 +h5@ +p8/7@ +p2@ +x3/3@ +x2/2@ +x9@ +p120@ -x30@! -h3 -p9 -x6/6",
+    "-x15 -x4/4 +h4@ +p1@ +p25/8@ +p12/12@ +x2@ +x1@ +x45@ -p30@! -p22 -p3/1",
+    "+h3@ +p3@ +x4@",
+    "-x1/1! +p9@ +x40@ +x2@",
+    "-p12 -h6 +p50@ +x7/3@ +p5/5@ +h3@ +x14@ -p55 -x2/2",
+    # pages without one: the text stands in plain paragraphs and divisions
+    "-x1/1 -x1/1 -x1/1 -x2/2 +h6 +p55 +p40/3 +h2 +p9 +p70 -x3/3 -x2/2 -x5",
+    "+h2 +p1",
+    "+h4 +p2 +p3 +p1 +p30",
+    "+p18 +p4 +p6/2 +p28/4",
+    "-x2/2 -x2/2 -x3/3 -h2 -x2/2 -x4/4 +h8 +p35 +x12 +x9 +p20 -h1 -x5/5 -x6/6 -x4/4",
+    "+x60 +x45/3 +x80 +x22 -x2/2 -x1/1",
+    "-x3 -x1/1 -x1/1 +x50/2 +x8 +x65 -x6",
+    "-x4/4 -p6/6 +h7 +p4 +p90/9 +p14/5 +x20 +x16 +p60 -p8/7 -x3/3 -h2 -x7/7",
+    "+h3 +p12/6 +h2 +p25 +x6 +x7 +x5 +p30 -x2/2 -x3/3",
+    "-h1 -x1/1 -x2/2 -x1/1 +p44 +p2 +p61/2 -h2 -x8/8 -x9/9 -x7/7 -p10/8",
+    "-x5 -x2/2 -x4 -x2/2 +h10 +p33/1 +p5 -p4! -x20! -x3/3!",
+    "+h5 +x35 +x40/6 +h3 +x18 -x2 -x1/1 -x1/1 -p25!",
+    "-x2 +h9 +p100 +p1 -x1/1 -x2 -x1/1 -x6",
+    "+p7 +x30 +p11/4 +p3 -h3 -x4/4 -x3/3",
+)
+_SPEC = re.compile(r"([+-])([hpx])(\d+)(?:/(\d+))?(@?)(!?)")
+
+
+def labelled(pages: tuple[str, ...] = LABELLED) -> np.ndarray:
+    """FEATURES of every block of labelled pages, and its label."""
+    rows = []
+    for page in pages:
+        specs = [_SPEC.fullmatch(x) for x in page.split()]
+        found = [Block("", int(m[3]), int(m[4] or 0), "xph".index(m[2]), bool(m[5]), bool(m[6])) for m in specs]
+        rows += [(*row, float(m[1] == "+")) for row, m in zip(describe(found), specs, strict=True)]
+    return np.array(rows)
 
 
 class Leaf(NamedTuple):
@@ -185,8 +218,8 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Leaf | Split:
     return Split(best[1], best[2], grow(x[left], y[left], depth - 1), grow(x[~left], y[~left], depth - 1))
 
 
-def trained(rows: tuple = LABELLED) -> Leaf | Split:
-    table = np.array(rows, dtype=np.float64)
+def trained(pages: tuple[str, ...] = LABELLED) -> Leaf | Split:
+    table = labelled(pages)
     return grow(table[:, :-1], table[:, -1])
 
 
@@ -195,7 +228,7 @@ def describe(found: list[Block]) -> list[tuple[float, ...]]:
     has_article = any(b.article for b in found)
     own = [(float(b.words), b.linked / b.words) for b in found]
     none = (0.0, 0.0)
-    return [(*own[i], *(own[i - 1] if i else none), *(own[i + 1] if i + 1 < len(own) else none), float(b.article), float(b.area), float(has_article)) for i, b in enumerate(found)]
+    return [(*own[i], float(b.kind), *(own[i - 1] if i else none), *(own[i + 1] if i + 1 < len(own) else none), float(b.article), float(b.area), float(has_article)) for i, b in enumerate(found)]
 
 
 def is_main(tree: Leaf | Split, row: tuple[float, ...]) -> bool:
