@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the columns
-of documents; the last adds the piece ids.
+of documents; the last adds the piece ids, having decoded them.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import crf, decontaminate, neardup, pieces, pii
-from quire.llm.common import table
+from quire.llm.common import free_name, table
 
 #: A document is rejected when no language has so much of its letters; also when it has no letter at all.
 LEAST_SCORE = 0.4
@@ -46,8 +46,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the texts' piece ids, which decode to the very texts."""
-    return pieces.encode(docs)
+    """Adds the texts' piece ids and decodes them; a text that doesn't come back is an error."""
+    decoded = free_name(docs, "decoded")
+    coded = pieces.encode(docs, decoded=decoded)
+    checked = F.when(F.col(decoded).eqNullSafe(F.col("text")), F.col("pieces")).otherwise(F.raise_error(F.lit("pieces don't decode to their text")))
+    return coded.withColumn("pieces", checked).drop(decoded)
 
 
 STAGES = [
