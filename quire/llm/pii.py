@@ -9,7 +9,8 @@ neither make evidence nor hide it.
 
 Defined results: a null text is treated as empty and stays null; a document without base spans has no spans; rows that
 share id and text get the same spans; spans of different kinds may overlap, those of a kind don't; texts are searched
-whole; an empty table gives no rows; other columns are kept by sanitise().
+whole; an empty table gives no rows; other columns, whatever their names, are kept by find() and sanitise(), and for
+find() a column with the name of the new one is an error.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ LIKELY = r"@[A-Za-z0-9-]|[0-9]\.[0-9]++\.[0-9]++\.[0-9]|[0-9](?:[\x20-]?[0-9]){1
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 MIN_LETTERS, CONTEXT, MIN_SUPPORT = 3, 60, 3
 GENERALISE, REMOVE = 0.75, 0.9
+SALTS = 16
 _NO_SPANS = "cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)"
 
 
@@ -111,7 +113,10 @@ def disclosures(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     met = found.select("row_key", digest.alias("text_key"), F.explode("base").alias("span"), "text")
     met = met.select("row_key", "text_key", F.concat(F.col("span.kind").cast("string"), F.lit(":"), F.lower("span.value")).alias("entity"), _term_list(gap(F.col("span"))).alias("terms"))
     entities = met.select("entity", "text_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= MIN_SUPPORT)
-    pairs = met.join(entities.select("entity"), "entity", "left_semi").select("entity", "text_key", "row_key", F.explode("terms").alias("term"))
+    # an entity may stand in a third of all texts: its rows are dealt out by their texts as well
+    salt, salts = F.pmod("text_key", F.lit(SALTS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    met = met.withColumn("salt", salt).join(entities.select("entity", salts.alias("salt")), ["entity", "salt"], "left_semi")
+    pairs = met.select("entity", "salt", "text_key", "row_key", F.explode("terms").alias("term"))
     joint = pairs.select("entity", "term", "text_key").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_joint")).where(F.col("n_joint") >= MIN_SUPPORT)
     joint = cut(joint.join(entities, "entity"))
     # a text counts once, however many copies it has
@@ -122,7 +127,7 @@ def disclosures(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     p = lambda c: F.col(c) / F.lit(float(max(n, 1)))
     share = F.log2(p("n_joint") / (p("n_entity") * F.greatest(p("n_term"), p("n_joint")))) / F.greatest(-F.log2(p("n_entity")), F.lit(1e-9))
     telling = joint.join(counts, "term").withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
-    return pairs.join(telling, ["entity", "term"]).groupBy("row_key", "term").agg(F.max("share").alias("share"))
+    return pairs.join(telling.withColumn("salt", salts), ["entity", "term", "salt"]).groupBy("row_key", "term").agg(F.max("share").alias("share"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "spans") -> DataFrame:
@@ -131,21 +136,20 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name:
     if free_name(docs, name) != name:
         raise ValueError(f"column {name} exists")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = free_name(docs, "row_key")
+    key, terms_col, own_key = free_name(docs, "row_key"), free_name(docs, "terms"), free_name(docs, "terms_key")
     likely = docs.where(text.rlike(LIKELY)).withColumn(name, base_spans(text))
     rest = docs.where(~text.rlike(LIKELY)).withColumn(name, F.expr(_NO_SPANS))
     likely = cut(likely.withColumn(key, F.sha2(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text), 256)))
     found = likely.where(F.size(name) > 0).select(F.col(key).alias("row_key"), F.col(text_col).alias("text"), F.col(name).alias("base"))
-    terms = disclosures(found, docs, text_col).groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("term", "share"))).alias("terms"))
-    terms = terms.withColumnsRenamed({"row_key": "_k"})
-    own = likely.join(terms, F.col(key) == F.col("_k"), "left")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("terms", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))
-    removed = F.transform(F.filter("terms", lambda t: t["share"] >= REMOVE), lambda t: t["term"])
+    terms = disclosures(found, docs, text_col).groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("term", "share"))).alias(terms_col)).withColumnRenamed("row_key", own_key)
+    own = likely.join(terms, F.col(key) == F.col(own_key), "left")
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform(terms_col, lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))
+    removed = F.transform(F.filter(terms_col, lambda t: t["share"] >= REMOVE), lambda t: t["term"])
     label = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.when(F.array_contains(removed, F.lower(s["value"])), F.lit("")).otherwise(F.lit("[TERM]")).alias("value"))
-    added = F.when(F.col("terms").isNotNull(), F.transform(_found(text, pattern, KINDS.index("term")), label)).otherwise(F.expr(_NO_SPANS))
+    added = F.when(F.col(terms_col).isNotNull(), F.transform(_found(text, pattern, KINDS.index("term")), label)).otherwise(F.expr(_NO_SPANS))
     # a term inside a base span stays part of it
     loose = F.filter(added, lambda t: ~F.exists(F.col(name), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    own = own.withColumn(name, F.array_sort(F.concat(F.col(name), loose))).drop(key, "_k", "terms")
+    own = own.withColumn(name, F.array_sort(F.concat(F.col(name), loose))).drop(key, own_key, terms_col)
     return own.unionByName(rest)
 
 
