@@ -6,9 +6,14 @@ addition of bitmaps: each set bit of a weight adds the attribute's slices, or th
 at that bit's height. The DROP lowest slices are left out, which bounds each row's error; rows are selected from the
 most significant slice of the sum downward, and the boundary rows are resolved by their exact inner products.
 
+Rows are dealt to blocks once and every block's index is built once; the queries, packed, come to each block one after the
+other. Vectors so large that an inner product might leave 64 bits are compared by exact integers of any size instead.
+
 Defined results: vectors that are null or hold null or non-finite components take no part, neither as queries nor as
 candidates; vectors shorter than the longest are as if padded with zeros; equal scores go to the smaller id; repeated
-ids are separate candidates unless their id is the query's own; a query with fewer than k candidates gets all.
+ids are separate candidates unless their id is the query's own; equal query rows are one query, and different vectors
+under one id are queries of their own; a query with fewer than k candidates gets all; ranks are exact for all finite
+components, and a score beyond 64 bits is given as the nearest long; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,43 +29,49 @@ from pyspark.sql.window import Window
 SCALE = 256
 #: Low slices of each attribute that the bitmap sum leaves out; the exact step makes good for them.
 DROP = 3
-BLOCK_ROWS = 16_384
+#: Rows of a block, as dealt out by a hash; fewer where the rows would not keep all tasks busy otherwise.
+BLOCK_ROWS, LEAST_ROWS = 32_768, 1024
 QUERY_ROWS = 1024
+_LONG = 2**63
+
 
+def taking_part(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """vec_id, vector (array of double) and wide: whether its inner products may leave 64 bits; of those that take part.
 
-def quantised(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id and values (array of long): floor(SCALE * x) of the vectors that take part."""
+    Two vectors of n components that aren't wide stay within n * (2**31 / sqrt(n))**2 = 2**62.
+    """
     good = F.col(vec_col).isNotNull() & F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    return df.where(good & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vec_col, lambda x: F.floor(x.cast("double") * SCALE)).alias("values"))
+    rows = df.where(good & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vector"))
+    most = F.lit(2.0**31 / SCALE) / F.sqrt(F.greatest(F.size("vector"), F.lit(1)).cast("double")) - 1
+    return rows.withColumn("wide", F.exists("vector", lambda x: F.abs(x) > most))
 
 
-def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Blocks of at most size rows, made where the rows are: a uuid-free block key, ids and the value matrix."""
+def exact(vector: np.ndarray) -> list[int]:
+    """floor(SCALE * x) of each component, whatever its size."""
+    return [int(x) * SCALE if abs(x) > 2.0**60 else int(np.floor(x * SCALE)) for x in vector.tolist()]
+
+
+def sortable(n: int) -> bytes:
+    """Bytes that sort like the integer."""
+    body = abs(n).to_bytes((abs(n).bit_length() + 7) // 8 or 1, "big")
+    key = len(body).to_bytes(2, "big") + body
+    return b"\x01" + key if n >= 0 else b"\x00" + bytes(255 - c for c in key)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        vectors: list[np.ndarray] = []
 
-        def made() -> pa.RecordBatch:
-            wide = max((len(v) for v in vectors), default=0)
-            grid = np.zeros((len(ids), wide), dtype=np.int64)
-            for i, v in enumerate(vectors):
-                grid[i, : len(v)] = v
-            return pa.RecordBatch.from_arrays([pa.array([np.array(ids, dtype=np.int64).tobytes()], pa.binary()), pa.array([grid.tobytes()], pa.binary()), pa.array([len(ids)], pa.int32())], [f"{name}_ids", f"{name}_grid", f"{name}_n"])
+def _packed(queries: DataFrame, size: int) -> DataFrame:
+    """Blocks of at most size queries, made where the rows are: ids, keys, lengths and components, as bytes."""
+    names = ["ids", "keys", "sizes", "wides", "flat"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy(zero_copy_only=False)
-            for i, vec_id in enumerate(batch.column(0).to_pylist()):
-                ids.append(vec_id)
-                vectors.append(flat[at[i] : at[i + 1]])
-                if len(ids) == size:
-                    yield made()
-                    ids.clear()
-                    vectors.clear()
-        if ids:
-            yield made()
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                vectors = part.column(2)
+                sizes = np.diff(vectors.offsets.to_numpy()).astype(np.int32)
+                values = (part.column(0).to_numpy(), part.column(1).to_numpy(), sizes, part.column(3).to_numpy(zero_copy_only=False), vectors.flatten().to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in values], names)
 
-    return rows.mapInArrow(run, f"{name}_ids binary, {name}_grid binary, {name}_n int")
+    return queries.select("vec_id", "query_key", "vector", "wide").mapInArrow(run, ", ".join(f"{n} binary" for n in names))
 
 
 class Slices:
@@ -150,6 +161,30 @@ class Slices:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
+class Block:
+    """The rows of one block: a bit-sliced index of all but the wide ones."""
+
+    def __init__(self, ids: np.ndarray, vectors: list[np.ndarray], wide: np.ndarray, drop: int):
+        narrow = np.flatnonzero(~wide)
+        dims = max((len(vectors[i]) for i in narrow.tolist()), default=0)
+        grid = np.zeros((len(narrow), dims), dtype=np.int64)
+        for row, i in enumerate(narrow.tolist()):
+            grid[row, : len(vectors[i])] = np.floor(vectors[i] * SCALE)
+        self.ids, self.index = ids[narrow], Slices(grid, drop)
+        self.wide = [(int(ids[i]), exact(vectors[i])) for i in np.flatnonzero(wide).tolist()]
+
+    def best(self, query_id: int, vector: np.ndarray, wide: bool, k: int) -> list[tuple[int, int]]:
+        """The k best (id, score) for one query, highest first, ties to the smaller id."""
+        found = []
+        if self.wide or wide:
+            weights = exact(vector)
+            rows = [*self.wide, *(zip(self.ids.tolist(), self.index.grid.tolist(), strict=True) if wide else ())]
+            found += [(i, sum(map(int.__mul__, row, weights))) for i, row in rows if i != query_id]
+        if not wide and len(self.ids):
+            found += best(self.index, self.ids, query_id, np.floor(vector * SCALE).astype(np.int64), k)
+        return sorted(found, key=lambda x: (-x[1], x[0]))[:k]
+
+
 def best(index: Slices, ids: np.ndarray, query_id: int, weights: np.ndarray, k: int) -> list[tuple[int, int]]:
     """The block's k best (id, score) for one query, highest first, ties to the smaller id."""
     wide = index.grid.shape[1]
@@ -164,28 +199,46 @@ def best(index: Slices, ids: np.ndarray, query_id: int, weights: np.ndarray, k:
 def search(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, drop: int = DROP) -> DataFrame:
     """query_id, rank (int from 1), vec_id and score of each query's k best candidates other than itself.
 
-    Candidates and queries are packed into blocks; each pair of blocks is one piece of work, dealt out over all tasks.
-    Only k rows of each query and block are shuffled after that.
+    Only k rows of each query and block are shuffled after the blocks are worked off.
     """
-    rows, asked = quantised(candidates, id_col, vec_col), quantised(queries, id_col, vec_col)
-    # small partitions are read together, so that blocks get full; large ones are cut into blocks where they are
-    rows = _blocks(rows.coalesce(max(1, -(-rows.count() // block_rows))), block_rows, "row")
-    asked = _blocks(asked.coalesce(max(1, -(-asked.count() // query_rows))), query_rows, "query")
-    parts = max(1, candidates.sparkSession.sparkContext.defaultParallelism)
-    pairs = rows.crossJoin(asked).repartition(parts)
+    spark = candidates.sparkSession
+    rows, asked = taking_part(candidates, id_col, vec_col), taking_part(queries, id_col, vec_col).dropDuplicates(["vec_id", "vector"])
+    n = rows.count()
+    blocks = max(1, -(-n // block_rows), min(-(-n // LEAST_ROWS), 2 * spark.sparkContext.defaultParallelism))
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(x) for x in names]
+    packed = _packed(asked.withColumn("query_key", F.xxhash64("vector")), query_rows)
+    packed = packed.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("turn"), *none("long", "vec_id"), *none("array<double>", "vector"), *none("boolean", "wide"), "ids", "keys", "sizes", "wides", "flat")
+    rows = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("turn"), "vec_id", "vector", "wide", *none("binary", "ids", "keys", "sizes", "wides", "flat"))
+    schema = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("place", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes, bytes] | None = None
-        index = None
+        now, block = None, None
+        ids: list[int] = []
+        vectors: list[np.ndarray] = []
+        wide: list[bool] = []
         for batch in batches:
-            for row_ids, row_grid, row_n, query_ids, query_grid, query_n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, asked_ids = np.frombuffer(row_ids, dtype=np.int64), np.frombuffer(query_ids, dtype=np.int64)
-                if last != (row_ids, row_grid):
-                    index, last = Slices(np.frombuffer(row_grid, dtype=np.int64).reshape(row_n, -1), drop), (row_ids, row_grid)
-                weights = np.frombuffer(query_grid, dtype=np.int64).reshape(query_n, -1)
-                out = [(int(q), v, s) for q, w in zip(asked_ids, weights, strict=True) for v, s in best(index, ids, int(q), w, k)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+            at, flat = batch.column("vector").offsets.to_numpy(), batch.column("vector").values.to_numpy(zero_copy_only=False)
+            heads = zip(*(batch.column(c).to_pylist() for c in ("block", "turn", "vec_id", "wide")), strict=True)
+            for i, (number, turn, vec_id, is_wide) in enumerate(heads):
+                if number != now:
+                    now, block, ids, vectors, wide = number, None, [], [], []
+                if turn == 0:
+                    ids.append(vec_id)
+                    vectors.append(flat[at[i] : at[i + 1]].copy())
+                    wide.append(is_wide)
+                    continue
+                if block is None:
+                    block = Block(np.array(ids, dtype=np.int64), vectors, np.array(wide, dtype=bool), drop)
+                    ids, vectors, wide = [], [], []
+                read = lambda c, kind, i=i, batch=batch: np.frombuffer(batch.column(c)[i].as_buffer(), dtype=kind)
+                ends = np.concatenate([[0], np.cumsum(read("sizes", np.int32))])
+                parts = read("flat", np.float64)
+                out = []
+                for q, (query_id, key, query_wide) in enumerate(zip(read("ids", np.int64).tolist(), read("keys", np.int64).tolist(), read("wides", np.bool_).tolist(), strict=True)):
+                    out += [(query_id, key, v, max(-_LONG, min(_LONG - 1, s)), sortable(s)) for v, s in block.best(query_id, parts[ends[q] : ends[q + 1]], query_wide, k)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], schema.types[c]) for c in range(5)], schema=schema)
+
+    together = rows.unionByName(packed).repartition(blocks, "block").sortWithinPartitions("block", "turn")
+    found = together.mapInArrow(run, "query_id long, query_key long, vec_id long, score long, place binary")
+    order = Window.partitionBy("query_id", "query_key").orderBy(F.col("place").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
