@@ -7,7 +7,8 @@ hold spans of several labelled texts in turn, so that moves are learned where la
 
 Defined results: a null text, or one without a letter, gets 'und' with score 0; ties go to the first language in
 sorted order; repeated rows and other columns don't matter; texts are read whole; an empty table gives no rows; a table
-with no labelled text has no language to learn, so every row gets 'und'.
+with no labelled text has no language to learn, so every row gets 'und'; of more than FIT_LANGUAGES languages those with
+most labelled texts are learned; a column with the name of the new one, in whatever case, is an error.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .common import free_name, slices
 
 #: Labelled documents of each language, and code points of each, that training takes at most; chosen by a hash of the text.
 FIT_DOCS, FIT_CHARS = 240, 20_000
+#: Languages that are learned at most: those with most labelled texts.
+FIT_LANGUAGES = 64
 DIMENSIONS = 1 << 17
 EPOCHS = 3
 UNKNOWN = "und"
@@ -267,10 +270,9 @@ def train(samples: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 5, d
 def sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs: int = FIT_DOCS, chars: int = FIT_CHARS) -> list[tuple[str, str]]:
     """At most docs whole texts of each language, those of least hash, among texts of at most chars code points."""
     good = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= chars)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = good.groupBy("lang").count().collect()
-    share = F.lit(0.0)
-    for row in sizes:
-        share = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, 1.5 * docs / row["count"] + 30 / row["count"]))).otherwise(share)
+    sizes = good.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGUAGES).collect()
+    shares = [F.lit(x) for row in sizes for x in (row["lang"], min(1.0, 1.5 * docs / row["count"] + 30 / row["count"]))]
+    share = F.coalesce(F.create_map(*shares)[F.col("lang")], F.lit(0.0)) if shares else F.lit(0.0)
     key = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     rows = good.withColumn("key", key).where(F.col("key") < share * (1 << 40)).collect()
     out: list[tuple[str, str]] = []

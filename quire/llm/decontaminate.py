@@ -3,9 +3,10 @@
 Words are runs of ASCII digits, ASCII letters (lower-cased) and any non-ASCII characters. A window is WINDOW
 consecutive words of a benchmark item; an item of fewer words, but not none, is one window.
 
-Defined results: a null or wordless text has no words and no hits; a null or wordless item has no windows; repeated
+Defined results: a null or wordless text has no words and no hits; a null or wordless item has no windows; a null item id is listed as the empty string; repeated
 items and repeated rows each count by themselves; an empty benchmark contaminates nothing; very long texts are
-scanned whole; other columns of the input are kept as they are.
+scanned whole; an empty table gives no rows; other columns of the input are kept as they are, and one with the name
+of the new column, in whatever case, is an error.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _passes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
     """The items in lists of a bounded number of bytes, streamed to the driver by partition."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null").toLocalIterator()
+    rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text")).where("text is not null").toLocalIterator()
     for group in slices(rows, lambda r: 4 * len(r.text) + 64, BROADCAST_BYTES):
         yield [(r.item, r.text) for r in group]
 
@@ -137,7 +138,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
     A benchmark over BROADCAST_BYTES is scanned in passes of that size, whose hits are merged; so what is broadcast
     stays bounded whatever the benchmark's size.
     """
-    if hits_col in docs.columns:
+    if free_name(docs, hits_col) != hits_col:
         raise ValueError(f"column {hits_col} exists")
     out, first = docs, True
     for items in _passes(benchmark, item_col, item_text_col):
@@ -171,7 +172,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     n_hit = F.aggregate(F.col(hits)["spans"], F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
     if drop_documents:
         return found.where(n_hit <= F.col(hits)["n_words"] * F.lit(max_share)).drop(hits)
-    cut = F.udf(lambda text, spans: cut_spans(text, spans) if spans else text, "string")
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([cut_spans(t, s) if s else t for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+
     return found.withColumn(text_col, F.when(n_hit > 0, cut(F.col(text_col), F.col(hits)["spans"])).otherwise(F.col(text_col))).drop(hits)
 
 

@@ -6,7 +6,8 @@ id deals out: longest first, each into the open row with the least room that hol
 cumulative segment lengths (from 0) and the positions where counting starts anew.
 
 Defined results: a null or empty text has no ids and no piece; ties in length go by id, then piece; repeated rows are
-documents of their own; a text of any length is kept whole; an empty table gives no rows; other columns are ignored.
+documents of their own; a null id stays null and its text is packed like others; a text of any length is kept whole; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[int]:
     return out
 
 
-def _row(pieces: list[tuple[int, int, np.ndarray]], length: int) -> tuple:
+def _row(pieces: list[tuple[int | None, int, np.ndarray]], length: int) -> tuple:
     ids = np.full(length, END_ID, dtype="<u2")
     ends = [0]
     for _, _, part in pieces:
@@ -106,12 +107,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     A group has about group_docs documents whatever the table's size, so no task holds more than that at a time.
     """
     groups = max(1, -(-docs.count() // group_docs))
-    dealt = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = dealt.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
+    dealt = docs.where(F.length(text_col) > 0).select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), F.col(id_col).isNotNull().alias("known"), F.col(text_col).alias("text"))
+    dealt = dealt.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "known", "text"), F.lit(groups)))
 
     def run(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made = encoding(path)
-        short: list[tuple[int, int, np.ndarray]] = []
+        short: list[tuple[int | None, int, np.ndarray]] = []
         rows: list[tuple] = []
         n = 0
 
@@ -119,17 +120,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
             return pd.DataFrame([(key[0], n + i, *r) for i, r in enumerate(rows)], columns=["pack_group", "row_no", "ids", "cu_seqlens", "position_resets", "doc_ids", "pieces"])
 
         for part in parts:
-            for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
+            for number, known, text in zip(part["doc_id"], part["known"], part["text"], strict=True):
+                doc_id = int(number) if known else None
                 ids = np.array(made.encode_ordinary(text), dtype=np.uint16)
                 full = len(ids) // length
                 for k in range(full):
-                    rows.append(_row([(int(doc_id), k, ids[k * length : (k + 1) * length])], length))
+                    rows.append(_row([(doc_id, k, ids[k * length : (k + 1) * length])], length))
                 if len(ids) > full * length:
-                    short.append((int(doc_id), full, ids[full * length :]))
+                    short.append((doc_id, full, ids[full * length :]))
                 if len(rows) >= 512:
                     yield table()
                     n, rows = n + len(rows), []
-        short.sort(key=lambda p: (p[0], p[1], p[2].tobytes()))
+        short.sort(key=lambda p: (p[0] is None, p[0] or 0, p[1], p[2].tobytes()))
         into: dict[int, list] = {}
         for piece, row in zip(short, best_fit_decreasing([len(p[2]) for p in short], length), strict=True):
             into.setdefault(row, []).append(piece)

@@ -22,8 +22,8 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out() -> Column:
-    """Whether a document is kept from training: crc32(doc_id as text) mod 5 is 0."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    """Whether a document is kept from training: crc32(doc_id as text) mod 5 is 0; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
