@@ -6,14 +6,14 @@ of documents; the last adds the piece ids, having decoded them.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import crf, decontaminate, neardup, pieces, pii
-from quire.llm.common import free_name, table
+from quire.llm.common import free_name, shared_folder, table
+from quire.llm.queries import held_out
 
 #: A document is rejected when no language has so much of its letters; also when it has no letter at all.
 LEAST_SCORE = 0.4
@@ -23,8 +23,7 @@ MOST_HIT = 0.0
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in one of the learned languages; the model learns from the labelled ones."""
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    model = crf.fit(docs.where(~held_out).select("text", "lang"))
+    model = crf.fit(docs.where(~held_out()).select("text", "lang"))
     found = crf.identify(docs, model, name="found_language")
     return found.where((F.col("found_language.lang") != crf.UNKNOWN) & (F.col("found_language.score") >= LEAST_SCORE)).select(*docs.columns)
 
@@ -66,8 +65,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, by way of tables in the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-")
-    base = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
