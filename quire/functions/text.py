@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections import Counter
+from functools import reduce
+from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import tables
 
-_ACCENTED = [chr(c) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1 and unicodedata.normalize("NFD", chr(c))[0].isascii()]
+_ACCENTED = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(unicodedata.normalize("NFD", chr(c))) > 1 and unicodedata.normalize("NFD", chr(c))[0].isascii()]
 FOLD_FROM, FOLD_TO = "".join(_ACCENTED), "".join(unicodedata.normalize("NFD", c)[0] for c in _ACCENTED)
 
+_LETTERS = re.compile("[a-záàâãéêíóôõúüçñ]+")
 DOI = r"10\.\d{4,9}/[^\s\"<>|]+"
 ISSN = r"(?<![\d-])(\d{4}-\d{3}[\dXx])(?![\d-])"
 ORCID = r"(\d{4}-\d{4}-\d{4}-\d{3}[\dXx])"
@@ -81,23 +87,31 @@ def language(x: Column) -> Column:
     A word of a language's own counts twice more. The best share must be 0.08 and 0.04 above the next; equal shares go
     to the later code.
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-záàâãéêíóôõúüçñ]+"), F.lit(0))
-
-    def hits(w: Column, listed: str) -> Column:
-        return F.size(F.filter(w, lambda t: t.isin(*sorted(set(listed.split())))))
-
-    def decide(w: Column) -> Column:
-        scores = F.array_sort(F.array(*[F.struct(((hits(w, stop) + (2 * hits(w, tables.OWN_WORDS[code]) if code in tables.OWN_WORDS else F.lit(0))) / F.size(w)).alias("score"), F.lit(code).alias("code")) for code, stop in tables.STOP_WORDS.items()]))
-        first, second = F.element_at(scores, -1), F.element_at(scores, -2)["score"]
-        sure = (first["score"] >= 0.08) & (first["score"] - second >= 0.04)
-        return F.when(F.size(w) >= 3, F.struct(F.when(sure, first["code"]).alias("lang"), F.round(first["score"], 3).alias("confidence"))).otherwise(F.struct(F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence")))
-
-    return F.element_at(F.transform(F.array(words), decide), 1)
+    weights = {code: Counter(set(words.split())) for code, words in tables.STOP_WORDS.items()}
+    for code, words in tables.OWN_WORDS.items():
+        weights[code].update({w: 2 for w in set(words.split())})
+
+    @F.arrow_udf("lang string, confidence double")
+    def decide(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts.to_pylist():
+            counts = Counter(_LETTERS.findall((text or "").lower()))
+            total = counts.total()
+            if total < 3:
+                out.append({"lang": None, "confidence": 0.0})
+                continue
+            scores = sorted((sum(n * counts[w] for w, n in own.items() if w in counts) / total, code) for code, own in weights.items())
+            (second, _), (first, code) = scores[-2:]
+            out.append({"lang": code if first >= 0.08 and first - second >= 0.04 else None, "confidence": first})
+        return pa.array(out, pa.struct([("lang", pa.string()), ("confidence", pa.float64())]))
+
+    # one pass over a text's words; the languages' lists are looked up by word, not the words by list
+    found = decide(x)
+    return F.struct(found["lang"].alias("lang"), F.round(found["confidence"], 3).alias("confidence"))
 
 
 def month_number(name: Column) -> Column:
-    listed = {word: int(n) for n, names in (m.split(":") for m in tables.MONTHS) for word in names.split()}
-    return F.create_map(*[F.lit(x) for pair in listed.items() for x in pair])[F.lower(fold(name))]
+    return F.create_map(*[F.lit(x) for pair in tables.MONTHS.items() for x in pair])[F.lower(fold(name))]
 
 
 def parse_date(x: Column, this_year: int) -> Column:
@@ -172,12 +186,17 @@ def title_case(x: Column) -> Column:
 
 def join_lines(lines: Column) -> Column:
     """One text of an array of lines: words broken at a hyphen are joined, but not at identifiers or hyphened prefixes."""
-    identifier = r"(?:(?:orcid\.org/|doi\.org/|https?://|lattes\.cnpq\.br/|www\.|10\.\d{4,9}/)\S*|\d-)$"
+    # a hyphen stays in the last word of a line if that word is an address or an identifier, or has a digit before it
+    hosts = ("orcid.org/", "doi.org/", "lattes.cnpq.br/", "http://", "https://", "www.")
+    tail = lambda out: F.regexp_extract(F.right(out, F.lit(220)), r"(\S+)$", 1)
+    address = lambda w: reduce(or_, [w.contains(h) for h in hosts]) | w.rlike(r"10\.\d{4,9}/")
 
     def add(out: Column, line: Column) -> Column:
         word = F.lower(F.regexp_extract(out, r"([^\s(]*)-$", 1))
-        keeps = F.right(out, F.lit(220)).rlike(identifier) | ~line.rlike(r"^\p{Ll}") | word.isin(*tables.HYPHEN_PREFIXES.split())
-        broken_url = out.rlike(r"https?://\S*[/._\-=?&]$") & line.rlike(r"(?U)^[a-z0-9][\w\-./%?=&#~]*(?:[\s.,;]|$)")
+        last = tail(out)
+        keeps = address(last) | last.rlike(r"\d-$") | ~line.rlike(r"^\p{Ll}") | word.isin(*tables.HYPHEN_PREFIXES.split())
+        goes_on = F.regexp_extract(line, r"^(\S+)", 1)
+        broken_url = last.contains("://") & last.contains("http") & F.right(last, F.lit(1)).isin(*"/._-=?&") & goes_on.rlike(r"^[a-z0-9]") & F.rtrim(goes_on, F.lit(".,;")).rlike(r"(?U)^[\w\-./%?=&#~]*$")
         return (
             F.when(out == "", line)
             .when(out.endswith("-") & keeps, F.concat(out, line))
@@ -198,8 +217,19 @@ def licence_url(x: Column) -> Column:
     return F.when(t.startswith("http"), F.when(t.rlike(r"^https?://creativecommons\.org/licenses/"), t)).when(t.rlike(r"(?i)\bCC[\s-]*BY"), F.concat(F.lit("https://creativecommons.org/licenses/"), code, F.lit("/4.0/")))
 
 
+def _mentioned(x: Column, listed: dict[str, tuple[str, ...]]) -> Column:
+    """The first name of listed of whose phrases x holds one."""
+    flat = F.lower(fold(x))
+    return F.coalesce(*[F.when(reduce(or_, [flat.contains(p) for p in phrases]), name) for name, phrases in listed.items()])
+
+
+def note_kind(x: Column) -> Column:
+    """The kind of a note by what it mentions; other if nothing."""
+    return F.coalesce(_mentioned(x, tables.NOTE_KINDS), F.lit("other"))
+
+
 def section_type(title: Column) -> Column:
-    return F.coalesce(*[F.when(F.lower(title).rlike(pattern), kind) for kind, pattern in tables.SECTION_TYPES])
+    return _mentioned(title, tables.SECTION_TYPES)
 
 
 def cited_numbers(label: Column, most: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quire.operators import references, xml
@@ -42,23 +43,24 @@ SELECT o_orderkey, ['journal','book','journal','legal-doc','thesis'][o_orderkey
  CASE o_orderkey % 5 WHEN 0 THEN CAST(o_orderkey % 40 AS VARCHAR) WHEN 2 THEN CAST(o_orderkey % 30 AS VARCHAR) END AS volume,
  CASE o_orderkey % 5 WHEN 0 THEN '2' WHEN 2 THEN '4' END AS issue, CASE o_orderkey % 5 WHEN 0 THEN '10' WHEN 2 THEN '5' END AS fpage,
  CASE o_orderkey % 5 WHEN 0 THEN CAST(11 + o_custkey AS VARCHAR) WHEN 2 THEN '9' END AS lpage,
- CASE WHEN o_orderkey % 5 = 1 THEN '2' END AS edition, CASE WHEN o_orderkey % 5 = 1 THEN 'São Paulo' END AS place, CASE WHEN o_orderkey % 5 = 1 THEN 'Press ' || (o_custkey % 9) END AS publisher,
+ CASE WHEN o_orderkey % 5 = 1 THEN '2' END AS edition, CASE o_orderkey % 5 WHEN 1 THEN 'São Paulo' WHEN 4 THEN 'Rio' END AS place, CASE o_orderkey % 5 WHEN 1 THEN 'Press ' || (o_custkey % 9) WHEN 4 THEN 'Universidade X' END AS publisher,
+ ['high','high','high','medium','high'][o_orderkey % 5 + 1] AS confidence, CASE WHEN o_orderkey % 5 = 0 THEN '3 maio 2020' END AS access_date, CASE WHEN o_orderkey % 5 = 4 THEN 'Tese (Doutorado)' END AS comment,
  CASE WHEN o_orderkey % 5 = 2 THEN '10.1590/x.' || o_orderkey END AS doi, CASE WHEN o_orderkey % 5 = 0 THEN 'https://ex.org/' || o_orderkey END AS url FROM orders
 """)
 def reference_fields(spark, sf_dir):
     t = _table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_ENTRY.replace("VARCHAR", "STRING")).alias("t"))
     f = t.select("o_orderkey", references.fields(F.col("t")).alias("f"))
     one = lambda c: F.nullif(F.array_join(c, ";"), F.lit(""))
-    return f.select("o_orderkey", "f.kind", "f.year", F.array_join("f.authors", ";").alias("authors"), "f.parts.article_title", "f.parts.source", "f.parts.volume", "f.parts.issue", "f.parts.fpage", "f.parts.lpage", "f.edition", one("f.parts.publisher_loc").alias("place"), one("f.parts.publisher_name").alias("publisher"), "f.doi", "f.url")
+    return f.select("o_orderkey", "f.kind", "f.year", F.array_join("f.authors", ";").alias("authors"), "f.parts.article_title", "f.parts.source", "f.parts.volume", "f.parts.issue", "f.parts.fpage", "f.parts.lpage", "f.edition", one("f.parts.publisher_loc").alias("place"), one("f.parts.publisher_name").alias("publisher"), "f.parts.confidence", "f.parts.access_date", "f.parts.comment", "f.doi", "f.url")
 
 
 @query(f"""
 SELECT o_orderkey, author, year, how, count(*) AS n FROM (
- SELECT o_orderkey, unnest(['SILVA','Souza e Lima','Lima','Castro']) AS author, unnest([{_YEAR}, '2011a', '2013', {_YEAR}]) AS year, unnest(['brackets','brackets','brackets','narrative']) AS how FROM orders WHERE o_orderkey % 3 = 0) GROUP BY ALL
+ SELECT o_orderkey, unnest(['SILVA','Souza e Lima','Lima','Castro']) AS author, unnest([{_YEAR}, '2011a', '2013', {_YEAR}]) AS year, unnest(['brackets','brackets','brackets','narrative']) AS how FROM orders) GROUP BY ALL
 """)
 def citation_extract(spark, sf_dir):
     y = F.year("o_orderdate").cast("string")
-    p = _table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", F.concat(F.lit("As (SILVA, "), y, F.lit("; cf. Souza e Lima, 2011a, p. 3-4) and Castro ("), y, F.lit(", p. 9) but (Art. 5, 1988) or (in Lima et al., 2013).")).alias("text"))
+    p = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("As (SILVA, "), y, F.lit("; cf. Souza e Lima, 2011a, p. 3-4) and Castro ("), y, F.lit(", p. 9) but (Art. 5, 1988) or (in Lima et al., 2013).")).alias("text"))
     return references.citations(p, ["o_orderkey"]).groupBy("o_orderkey", "author", "year", "how").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -161,6 +163,10 @@ def docx_bytes(paragraphs: list[tuple[str, str]]) -> bytes:
 
 @query("SELECT 'n' || n_nationkey AS path, unnest([0, 1]) AS line_no, unnest(['Title', 'Heading1']) AS style, unnest([18::DOUBLE, 14::DOUBLE]) AS size, unnest([n_name, 'Section ' || n_regionkey]) AS text FROM nation")
 def docx_lines(spark, sf_dir):
-    made = F.udf(lambda a, b: docx_bytes([("Title", a), ("Heading1", f"Section {b}")]), "binary")
-    files = _table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("path"), made("n_name", "n_regionkey").alias("content"))
+    def made(batches):
+        for batch in batches:
+            content = [docx_bytes([("Title", a), ("Heading1", f"Section {b}")]) for a, b in zip(batch["n_name"].to_pylist(), batch["n_regionkey"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([f"n{k}" for k in batch["n_nationkey"].to_pylist()]), pa.array(content, pa.binary())], ["path", "content"])
+
+    files = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").mapInArrow(made, "path string, content binary")
     return docx.parse(files).select("path", "line_no", "style", "size", "text")

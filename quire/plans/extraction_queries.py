@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.functions import text
 from quire.operators import extraction, rules
 
 from .layout_queries import _LINES, lines
@@ -57,7 +58,7 @@ _NOTES = ("Professor da UFMG", "Bolsa CAPES", "Sem conflito de interesse", "Apre
 @query(f"SELECT s_suppkey, {_listed(*_NOTES)}[s_suppkey % 5 + 1] AS note, ['current-aff','supported-by','conflict','presented-at','other'][s_suppkey % 5 + 1] AS kind FROM supplier")
 def note_kinds(spark, sf_dir):
     t = _table(spark, sf_dir, "supplier").select("s_suppkey", _pick("s_suppkey", *_NOTES).alias("note"))
-    return t.withColumn("kind", extraction.note_kind(F.col("note")))
+    return t.withColumn("kind", text.note_kind(F.col("note")))
 
 
 @query("""
@@ -71,8 +72,8 @@ def called_in_text(spark, sf_dir):
 
 
 @query(f"""
-WITH l AS (SELECT doc_id, x0 - min(x0) OVER (PARTITION BY doc_id) AS off FROM ({_LINES}))
-SELECT doc_id, count(*) >= 8 AND avg(CAST(off <= 2.5 AS INTEGER)) BETWEEN 0.2 AND 0.6 AND avg(CAST(off > 2.5 AS INTEGER)) >= 0.3 AS hanging FROM l GROUP BY doc_id
+WITH l AS (SELECT doc_id, length(text) AS n, x0 - min(x0) OVER (PARTITION BY doc_id) AS off FROM ({_LINES}))
+SELECT doc_id, count(*) >= 8 AND avg(CAST(off <= 2.5 AS INTEGER)) BETWEEN 0.2 AND 0.6 AND avg(CAST(off >= 4 AND off <= 40 AS INTEGER)) >= 0.3 AND (sum(n) + count(*) FILTER (off > 2.5)) / count(*) FILTER (off <= 2.5) >= 60 AS hanging FROM l GROUP BY doc_id
 """)
 def hanging_indent(spark, sf_dir):
     return extraction.hanging_indent(lines(spark, sf_dir))
@@ -96,13 +97,15 @@ def style_votes(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT o_custkey AS doc_id, o_orderkey AS para_no, o_orderkey % 7 AS page, o_orderkey % 3 = 0 AS is_title, o_orderkey % 5 = 0 AS intro FROM orders)
-SELECT doc_id, coalesce(min(CASE WHEN intro AND page <= 5 THEN para_no END), min(CASE WHEN is_title AND page >= 2 THEN para_no END)) AS first, max(CASE WHEN para_no % 4 = 0 THEN para_no END) AS references_at FROM p GROUP BY doc_id
+WITH p AS (SELECT o_custkey AS doc_id, o_orderkey AS para_no, o_orderkey % 7 AS page, o_orderkey % 3 = 0 AS is_title, o_orderkey % 5 = 0 AS intro FROM orders),
+f AS (SELECT doc_id, coalesce(min(CASE WHEN intro AND page <= 5 THEN para_no END), min(CASE WHEN is_title AND page >= 2 THEN para_no END)) AS first FROM p GROUP BY doc_id)
+SELECT f.doc_id, first, max(CASE WHEN para_no % 4 = 0 AND (first IS NULL OR para_no >= first) THEN para_no END) AS references_at FROM f JOIN p ON p.doc_id = f.doc_id GROUP BY f.doc_id, first
 """)
 def body_bounds(spark, sf_dir):
     k = F.col("o_orderkey")
     p = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("para_no"), (k % 7).alias("page"), (k % 3 == 0).alias("is_title"), (k % 5 == 0).alias("intro"), F.when(k % 4 == 0, "Referências:").otherwise("Referências de um texto qualquer").alias("text"))
-    return extraction.first_heading(p, F.col("intro")).join(extraction.references_heading(p).withColumnRenamed("para_no", "references_at"), "doc_id", "left")
+    first = extraction.first_heading(p, F.col("intro"))
+    return first.join(extraction.references_heading(p, first).withColumnRenamed("para_no", "references_at"), "doc_id", "left")
 
 
 _GRIDS = ("a | b\n1 | 2\n3", "x\ty\n1 2\t3 4", "one", "h | i\n | ")
@@ -147,10 +150,10 @@ def package_zips(spark, sf_dir):
 
 
 @query("""
-WITH f AS (SELECT o_orderkey, unnest(['A08', 'A01']) AS code FROM orders WHERE o_orderkey % 10 = 0), m AS (SELECT unnest(['A08','A08','A01']) AS code, unnest(['elocation','volume','doi']) AS field, unnest([1, 2, 1]) AS pos)
+WITH f AS (SELECT o_orderkey, unnest(['A08', 'A01']) AS code FROM orders), m AS (SELECT unnest(['A08','A08','A01']) AS code, unnest(['elocation','volume','doi']) AS field, unnest([1, 2, 1]) AS pos)
 SELECT o_orderkey, code, field, CASE WHEN pos = 1 THEN 'rule ' || code ELSE '' END AS text FROM f JOIN m USING (code)
 """)
 def blocker_fields(spark, sf_dir):
-    found = _table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.explode(F.array(F.lit("A08"), F.lit("A01"))).alias("code")).withColumn("rule_id", F.concat(F.lit("rule "), "code"))
+    found = _table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(F.lit("A08"), F.lit("A01"))).alias("code")).withColumn("rule_id", F.concat(F.lit("rule "), "code"))
     fields = spark.createDataFrame([("A08", "elocation", 1), ("A08", "volume", 2), ("A01", "doi", 1)], "code string, field string, pos int")
     return rules.message_per_field(found, "o_orderkey", fields)

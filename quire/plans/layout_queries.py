@@ -137,10 +137,10 @@ def section_tree(spark, sf_dir):
 
 
 @query("""
-SELECT l_suppkey AS doc_id, array_to_string(list_sort(list_filter(range(min(l_quantity)::BIGINT, max(l_quantity)::BIGINT + 1), lambda i: NOT list_contains(list(l_quantity::BIGINT), i))), ',') AS missing FROM lineitem WHERE l_orderkey % 40 = 1 GROUP BY l_suppkey
+SELECT l_orderkey AS doc_id, array_to_string(list_sort(list_filter(range(min(l_quantity)::BIGINT, max(l_quantity)::BIGINT + 1), lambda i: NOT list_contains(list(l_quantity::BIGINT), i))), ',') AS missing FROM lineitem GROUP BY l_orderkey
 """)
 def numbering_gaps(spark, sf_dir):
-    rows = _table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 1").select(F.col("l_suppkey").alias("doc_id"), F.col("l_quantity").cast("long").alias("n"))
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_quantity").cast("long").alias("n"))
     return layout.numbering_gaps(rows, ["doc_id"], "n").select("doc_id", F.array_join(F.array_sort("missing"), ",").alias("missing"))
 
 
@@ -189,13 +189,13 @@ def asof_anchor(spark, sf_dir):
 
 
 @query("""
-WITH g AS (SELECT p_partkey AS grid, p_partkey % 40 AS page, p_size * 10::DOUBLE AS y, p_retailprice / 10 AS x FROM part WHERE p_partkey % 3 = 0), c AS (SELECT p_partkey AS caption, p_partkey % 40 AS page, p_size * 11::DOUBLE AS y, p_retailprice / 9 AS x FROM part WHERE p_partkey % 3 = 1)
+WITH g AS (SELECT p_partkey AS grid, p_partkey % 40 AS page, p_size * 10::DOUBLE AS y, p_retailprice / 10 AS x FROM part), c AS (SELECT p_partkey AS caption, p_partkey % 40 AS page, p_size * 11::DOUBLE AS y, p_retailprice / 9 AS x FROM part)
 SELECT caption, c.page, c.y, c.x, arg_min(grid, abs(g.y - c.y) * 1000000 + grid) AS grid FROM c LEFT JOIN g ON g.page = c.page AND g.y - c.y BETWEEN -60 AND 90 AND abs(g.x - c.x) < 60 GROUP BY ALL
 """)
 def caption_grid_nearest(spark, sf_dir):
     p, k = _table(spark, sf_dir, "part"), F.col("p_partkey")
-    grids = p.where("p_partkey % 3 = 0").select(k.alias("grid"), (k % 40).alias("page"), (F.col("p_size") * 10.0).alias("gy"), (F.col("p_retailprice") / 10).alias("gx"))
-    captions = p.where("p_partkey % 3 = 1").select(k.alias("caption"), (k % 40).alias("page"), (F.col("p_size") * 11.0).alias("y"), (F.col("p_retailprice") / 9).alias("x"))
+    grids = p.select(k.alias("grid"), (k % 40).alias("page"), (F.col("p_size") * 10.0).alias("gy"), (F.col("p_retailprice") / 10).alias("gx"))
+    captions = p.select(k.alias("caption"), (k % 40).alias("page"), (F.col("p_size") * 11.0).alias("y"), (F.col("p_retailprice") / 9).alias("x"))
     fits = (F.col("gy") - F.col("y")).between(-60, 90) & (F.abs(F.col("gx") - F.col("x")) < 60)
     return linking.nearest(captions, grids, ["page"], fits, F.abs(F.col("gy") - F.col("y")), "grid").select("caption", "page", "y", "x", "grid")
 
