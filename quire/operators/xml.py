@@ -16,10 +16,11 @@ def escape(x: Column) -> Column:
 
 def element(name: str, content: Column, **attributes: Column) -> Column:
     """<name a="..">content</name>; null attributes are left out, null or empty content makes no element."""
-    given = [F.coalesce(F.concat(F.lit(f' {k.rstrip("_").replace("_", "-")}="'), escape(v.cast("string")), F.lit('"')), F.lit("")) for k, v in attributes.items()]
-    start, end = F.concat(F.lit(f"<{name}"), *given, F.lit(">")), F.lit(f"</{name}>")
+    named = {"xml_lang": "xml:lang"}
+    given = [F.coalesce(F.concat(F.lit(f' {named.get(k, k.rstrip("_").replace("_", "-"))}="'), escape(v.cast("string")), F.lit('"')), F.lit("")) for k, v in attributes.items()]
     # the content stands in the expression once only, so that nested elements don't multiply it
-    return F.replace(F.concat(start, F.coalesce(content, F.lit("")), end), F.concat(start, end), F.lit(""))
+    inner = F.get(F.filter(F.array(content), lambda x: x != ""), F.lit(0))
+    return F.coalesce(F.concat(F.lit(f"<{name}"), *given, F.lit(">"), inner, F.lit(f"</{name}>")), F.lit(""))
 
 
 def text_element(name: str, x: Column, **attributes: Column) -> Column:
@@ -53,8 +54,8 @@ def articles(docs: DataFrame, authors: DataFrame, sections: DataFrame, reference
         element("journal-meta", F.concat(text_element("journal-id", c("journal"), journal_id_type=F.lit("publisher-id")), text_element("issn", c("issn"), pub_type=F.lit("epub")))),
         element("article-meta", F.concat(text_element("article-id", c("doi"), pub_id_type=F.lit("doi")), element("title-group", text_element("article-title", c("title"))), element("contrib-group", c("_authors")), date_parts("pub-date", c("published")), text_element("volume", c("volume")), text_element("fpage", c("fpage")), text_element("lpage", c("lpage")), element("counts", F.concat(count("ref-count", c("_n_refs")), count("page-count", pages))))),
     ))
-    made = element("article", F.concat(front, element("body", c("_secs")), element("back", element("ref-list", c("_refs")))), article_type=F.lit("research-article"), dtd_version=F.lit("1.1"), xml__lang=c("lang"))
-    return all_.select("doc_id", F.concat(F.lit('<?xml version="1.0" encoding="utf-8"?>\n' + DOCTYPE + "\n"), F.replace(made, F.lit(" xml--lang="), F.lit(" xml:lang="))).alias("xml"))
+    made = element("article", F.concat(front, element("body", c("_secs")), element("back", element("ref-list", c("_refs")))), article_type=F.lit("research-article"), dtd_version=F.lit("1.1"), xml_lang=c("lang"))
+    return all_.select("doc_id", F.concat(F.lit('<?xml version="1.0" encoding="utf-8"?>\n' + DOCTYPE + "\n"), made).alias("xml"))
 
 
 def draft_marked(xml: Column, blockers: Column) -> Column:

@@ -7,8 +7,9 @@ import zipfile
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quire.operators import references, xml
+from quire.operators import jats, references, xml
 from quire.sources import docx, responses
 
 from .scalar_queries import _table
@@ -97,6 +98,46 @@ def article_xml(spark, sf_dir):
     return xml.articles(docs, authors, sections, refs)
 
 
+_JOURNAL = "<journal-meta><journal-id journal-id-type=\"publisher-id\">rdp</journal-id><journal-title-group><journal-title>R &amp; P</journal-title></journal-title-group><issn pub-type=\"epub\">2179-8966</issn></journal-meta>"
+_LICENCE = '<license license-type="open-access" xlink:href="https://creativecommons.org/licenses/by/4.0/" xml:lang="en"><license-p>This is an open-access article distributed under the terms of the Creative Commons Attribution 4.0 International License.</license-p></license>'
+
+
+@query(f"""
+WITH i AS (SELECT l_orderkey AS d, l_linenumber AS n, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS r FROM lineitem), u AS (SELECT * FROM i WHERE r <= 5),
+a AS (SELECT d, string_agg('<contrib contrib-type="author"><name><surname>S' || p || '</surname><given-names>G</given-names></name><xref ref-type="aff" rid="a' || r || '"><sup>' || r || '</sup></xref>' || CASE WHEN r = 1 THEN '<xref ref-type="corresp" rid="c1">*</xref>' ELSE '' END || '</contrib>', '' ORDER BY r) || string_agg('<aff id="a' || r || '"><label>' || r || '</label><institution content-type="original">U' || p || '</institution><country country="BR">BR</country></aff>', '' ORDER BY r) AS x, arg_min(p, r) AS lead FROM u WHERE r <= 2 GROUP BY d),
+t AS (SELECT d, count(*) AS c, string_agg('<table-wrap id="t' || (r - 2) || '"><label>T' || p || '</label><caption><title>C</title></caption><table><tbody><tr><td>1</td><td>' || p || '</td></tr></tbody></table></table-wrap>', '' ORDER BY r) AS x FROM u WHERE r IN (3, 4) GROUP BY d),
+f AS (SELECT d, count(*) AS c, string_agg('<ref id="B' || r || '"><mixed-citation>BRASIL. Lei n. ' || p || ', de 1996.</mixed-citation><element-citation publication-type="legal-doc"><person-group person-group-type="author"><collab>BRASIL</collab></person-group><source>Lei n. ' || p || ', de 1996</source><year>1996</year></element-citation></ref>', '' ORDER BY r) AS x FROM u GROUP BY d)
+SELECT o_orderkey AS doc_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '{jats.VERSIONS["1.10"][2]}' || chr(10) || '<article xmlns:xlink="http://www.w3.org/1999/xlink" xmlns:mml="http://www.w3.org/1998/Math/MathML" article-type="research-article" dtd-version="1.3" specific-use="sps-1.10" xml:lang="en"><front>{_JOURNAL}<article-meta><article-id pub-id-type="doi">10.1/' || o_orderkey || '</article-id><article-categories><subj-group subj-group-type="heading"><subject>Artigos</subject></subj-group></article-categories><title-group><article-title>A &lt;b&gt; ' || o_orderpriority || '</article-title></title-group>'
+ || coalesce('<contrib-group>' || a.x || '</contrib-group><author-notes><corresp id="c1"><label>Correspondência</label>: N' || a.lead || ' <email>m@x.org</email></corresp></author-notes>', '') || '<pub-date date-type="pub" publication-format="electronic">' || dmy || '</pub-date><pub-date date-type="collection" publication-format="electronic"><year>' || y || '</year></pub-date><volume>' || (o_custkey % 50 + 1) || '</volume><issue>2</issue>' || CASE WHEN o_orderkey % 2 = 0 THEN '<elocation-id>e7</elocation-id>' ELSE '<fpage>10</fpage><lpage>25</lpage>' END
+ || '<history><date date-type="received"><day>02</day><month>01</month><year>1990</year></date></history><permissions><copyright-year>' || y || '</copyright-year>{_LICENCE}</permissions><abstract><title>Abstract</title><p>Said ' || o_orderkey || '</p></abstract><kwd-group xml:lang="en"><title>Keywords:</title><kwd>k1</kwd><kwd>' || o_orderstatus || '</kwd></kwd-group>' || CASE WHEN t.c IS NOT NULL OR f.c IS NOT NULL OR o_orderkey % 2 = 1 THEN '<counts>' || coalesce('<table-count count="' || t.c || '"/>', '') || coalesce('<ref-count count="' || f.c || '"/>', '') || '<page-count count="16"/></counts>' ELSE '<counts><page-count count="16"/></counts>' END
+ || '</article-meta></front><body><sec sec-type="intro"><title>One</title><p>p ' || o_orderstatus || '</p>' || coalesce(t.x, '') || '<sec><title>Two</title><p>q</p></sec></sec></body>' || coalesce('<back><ref-list><title>References</title>' || f.x || '</ref-list></back>', '') || '</article>' AS xml
+FROM (SELECT *, strftime(o_orderdate, '%Y') AS y, '<day>' || strftime(o_orderdate, '%d') || '</day><month>' || strftime(o_orderdate, '%m') || '</month><year>' || strftime(o_orderdate, '%Y') || '</year>' AS dmy FROM orders) LEFT JOIN a ON a.d = o_orderkey LEFT JOIN t ON t.d = o_orderkey LEFT JOIN f ON f.d = o_orderkey
+""")
+def jats_articles(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = _table(spark, sf_dir, "orders")
+    text = lambda **cols: [(F.lit(v) if isinstance(v, str) or v is None else v).cast("string").alias(n) for n, v in cols.items()]
+    docs = o.select(k.alias("doc_id"), *text(
+        journal="rdp", journal_title="R & P", journal_short=None, issn_epub="2179-8966", issn_ppub=None, publisher=None, article_type=None, language="en", doi=F.concat(F.lit("10.1/"), k), order_no=None, heading="Artigos", volume=c % 50 + 1, issue="02", elocation=F.when(k % 2 == 0, "e7"), fpage="10", lpage="25",
+        page_count=None, year=F.year("o_orderdate"), published=F.date_format("o_orderdate", "yyyy-MM-dd"), received="1990-01-02", revised=None, accepted=None, licence_url="https://creativecommons.org/licenses/by/4.0/", funding_text=None, data_status=None,
+    ))
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    i = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), nth.alias("pos"), F.col("l_partkey").alias("p")).where("pos <= 5")
+    p, pos = F.col("p"), F.col("pos")
+    aff = F.concat(F.lit("a"), pos)
+    people = i.where("pos <= 2")
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    sections = o.select(k.alias("doc_id"), F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit(1).alias("level"), F.lit("intro").alias("kind"), F.lit("One").alias("title"), F.array(F.concat(F.lit("p "), "o_orderstatus")).alias("paragraphs")), F.struct(F.lit(1).alias("pos"), F.lit(2).alias("level"), F.lit(None).cast("string").alias("kind"), F.lit("Two").alias("title"), F.array(F.lit("q")).alias("paragraphs")))).alias("s")).select("doc_id", "s.*")
+    return jats.build({
+        "docs": docs, "titles": o.select(k.alias("doc_id"), F.lit(0).alias("pos"), *text(text=F.concat(F.lit("A <b> "), "o_orderpriority"), language="en", kind="article-title")),
+        "authors": people.select("doc_id", "pos", *text(surname=F.concat(F.lit("S"), p), given="G", name=F.concat(F.lit("N"), p), orcid=None, email=F.when(pos == 1, "m@x.org")), F.array(aff).alias("aff_ids"), *none("array<string>", "roles"), *none("string", "bio")),
+        "affiliations": people.select("doc_id", "pos", *text(id=aff, original=F.concat(F.lit("U"), p), institution=None, division=None, city=None, state=None, country="BR", country_name=None)),
+        "abstracts": o.select(k.alias("doc_id"), F.lit(0).alias("pos"), *text(language="en", text=F.concat(F.lit("Said "), k)), F.array(F.lit("k1"), "o_orderstatus").alias("keywords")), "sections": sections,
+        "floats": i.where("pos in (3, 4)").select("doc_id", "pos", F.lit("table").alias("kind"), F.lit(0).alias("section"), F.lit(5).alias("paragraph"), *text(label=F.concat(F.lit("T"), p), caption="C", source=None, file=None, mathml=None, text=None), F.lit(0).alias("header_rows"), F.array(F.array(F.lit("1"), p.cast("string"))).alias("cells"), *none("array<struct<speaker:string,said:string>>", "turns")),
+        "refs": i.select("doc_id", "pos", F.concat(F.lit("BRASIL. Lei n. "), p, F.lit(", de 1996.")).alias("text")),
+    })
+
+
 @query("""
 SELECT o_orderkey, 'see <xref ref-type="bibr" rid="B1">Silva (2010)</xref>, <xref ref-type="table" rid="t' || (o_orderkey % 9) || '">Table ' || (o_orderkey % 9) || '</xref> &amp; more' AS marked FROM orders
 """)
