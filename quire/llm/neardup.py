@@ -2,8 +2,8 @@
 
 Two texts are near duplicates when the weighted Jaccard similarity of their bags of five-word shingles is at least
 THRESHOLD. Texts with equal bags are one node from the start, so copies are never paired. A bucket (band, hash) is
-worked off by leaders: members of other classes are compared with its best-linked member. Large buckets of a few bands
-come first, so that most of a large group is one class before the other bands are worked off. Where members of several
+worked off by leaders: members of other classes are compared with its best-linked member. A share of the
+large buckets comes first, so that most of a large group is one class before the others are worked off. Where members of several
 classes are left in a bucket, they are compared with all members of other classes, in blocks, by their whole bags. The
 rows of every step grow with the members of buckets, beyond BLOCK members of several classes in one bucket with their
 square over BLOCK; the comparisons inside a block are its pairs of different classes. No member is capped or dropped.
@@ -31,8 +31,8 @@ from .dartminhash import band_hashes, shingle_columns, signatures, similarity
 
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
-#: Leaders are led out in these bands first, in buckets of so many members, so that the rest finds most classes made.
-FIRST_BANDS, HOT_BUCKET = ((0, 2), (2, 10)), 20
+#: Leaders work these twentieths of the large buckets (of so many members) first, so that the rest finds most classes made.
+FIRST_BUCKETS, HOT_BUCKET = ((0, 1), (1, 5)), 20
 #: Members of a bucket that one block has about; each pair of blocks is a piece of work of its own.
 BLOCK = 2000
 #: And shingles, if its texts are long.
@@ -212,7 +212,7 @@ def _with_classes(seats: DataFrame, links: DataFrame | None) -> DataFrame:
         return seats.withColumn("root", F.col("id")).withColumn("degree", F.lit(0).cast("long"))
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
     known = components(links, rounds=2).join(degree, "id")
-    return seats.join(known, "id", "left").select("bucket", "band", "size", "id", "n", F.coalesce("root", "id").alias("root"), F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
+    return seats.join(known, "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"), F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -221,9 +221,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = THR
     # texts with equal bags are a node, which is numbered, as ids may be null or shared by several texts
     nodes = marks.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "n", "bands")).alias("x"))
     nodes = cut(nodes.select("key", F.monotonically_increasing_id().alias("id"), F.col("x.id").alias("doc"), "x.digest", "x.n", "x.bands"))
-    seats = nodes.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
+    seats = nodes.select("id", F.explode("bands").alias("bucket"))
     shared = seats.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    seats = cut(seats.join(shared, "bucket"))
+    seats = cut(seats.join(shared, "bucket").join(nodes.select("id", "n"), "id"))
     seated = nodes.join(seats.select("id").distinct(), "id", "left_semi").select("id", "key", "doc", "digest")
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("digest"))
     same = source["doc"].eqNullSafe(seated["doc"]) & (source["digest"] == seated["digest"])
@@ -231,9 +231,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = THR
     bags = cut(made.join(seated.select("key", "id"), "key").dropDuplicates(["id"]).select("id", "bag"))
     ratio = F.least("n", "leader_n") >= F.greatest("n", "leader_n") * F.lit(threshold)
     tested = links = led = None
-    for first_band, end_band, least_size in (*((a, b, HOT_BUCKET) for a, b in FIRST_BANDS), (0, bands, 2)):
-        here = seats.where((F.col("band") >= first_band) & (F.col("band") < end_band) & (F.col("size") >= least_size))
-        now = _with_classes(here, links)
+    share = F.pmod("bucket", F.lit(20))
+    for here in (*(seats.where((share >= a) & (share < b) & (F.col("size") >= HOT_BUCKET)) for a, b in FIRST_BUCKETS), seats):
+        now = _with_classes(here.select("bucket", "id", "n"), links)
         best = F.struct("degree", (-F.col("id")).alias("first"))
         leaders = now.groupBy("bucket").agg(F.max(F.struct(best.alias("best"), "id", "n", "root")).alias("x")).select("bucket", F.col("x.id").alias("leader"), F.col("x.n").alias("leader_n"), F.col("x.root").alias("leader_root"))
         leaders = cut(leaders)
