@@ -95,11 +95,12 @@ def sections(paras: DataFrame, is_title: Column, level: Column) -> DataFrame:
     )
 
 
-def section_parents(heads: DataFrame) -> DataFrame:
-    """parent_no of each section: the latest earlier one of a smaller level."""
-    above = heads.select(F.col("doc_id").alias("_doc"), F.col("section_no").alias("_no"), F.col("level").alias("_level"))
-    earlier = (F.col("doc_id") == F.col("_doc")) & (F.col("_no") < F.col("section_no")) & (F.col("_level") < F.col("level"))
-    return heads.join(above, earlier, "left").groupBy("doc_id", "section_no", "level").agg(F.max("_no").alias("parent_no"))
+def section_parents(heads: DataFrame, deepest: int = 9) -> DataFrame:
+    """parent_no of each section: the latest earlier one of a smaller level, that is the greatest of the last seen numbers
+    of the levels above its own."""
+    order = Window.partitionBy("doc_id").orderBy("section_no").rowsBetween(Window.unboundedPreceding, -1)
+    seen = [F.when(F.col("level") > n, F.last(F.when(F.col("level") == n, F.col("section_no")), ignorenulls=True).over(order)) for n in range(1, deepest)]
+    return heads.select("doc_id", "section_no", "level", F.greatest(*seen).alias("parent_no"))
 
 
 def numbering_gaps(numbered: DataFrame, keys: list[str], number: str) -> DataFrame:

@@ -18,25 +18,16 @@ def history(events: DataFrame, key: str, at: str, seq: str, what: str) -> DataFr
 
 
 def queue_positions(jobs: DataFrame, state: str, queued_at: str, seq: str) -> DataFrame:
-    """1-based position of waiting jobs, oldest first; 0 for the running ones; others have none."""
-    waiting = F.row_number().over(Window.partitionBy(state).orderBy(queued_at, seq))
-    return jobs.withColumn("position", F.when(F.col(state) == "queued", waiting).when(F.col(state) == "processing", 0))
-
-
-def rate_limit(attempts: DataFrame, key: str, at: str, seq: str, ok: Column, limit: int, seconds: int) -> DataFrame:
-    """failures of the key in the look-back before each attempt since its last success, and blocked, wait_s.
-
-    attempts are told apart by seq. The window of a key is bounded by time and by the run that a success ends.
-    """
-    when = F.unix_micros(F.col(at).cast("timestamp"))
-    order = Window.partitionBy(key).orderBy(when, seq)
-    runs = attempts.withColumn("_at", when).withColumn("_run", F.coalesce(F.sum(ok.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    back = Window.partitionBy(key, "_run").orderBy("_at").rangeBetween(-seconds * 1_000_000 + 1, -1)
-    failed = F.when(~ok, F.col("_at"))
-    counted = runs.withColumn("failures", F.count(failed).over(back)).withColumn("_oldest", F.min(failed).over(back))
-    blocked = F.col("failures") >= limit
-    wait = F.when(blocked, F.floor((F.lit(seconds * 1_000_000) - (F.col("_at") - F.col("_oldest"))) / 1_000_000) + 1)
-    return counted.withColumn("blocked", blocked).withColumn("wait_s", wait).drop("_at", "_run", "_oldest")
+    """1-based position of waiting jobs, oldest first; 0 for the running ones; others have none. Jobs are counted by hour,
+    and only those of one hour are sorted together."""
+    hour = F.date_trunc("hour", queued_at)
+    rows = jobs.withColumn("_hour", F.when(F.col(state) == "queued", hour))
+    counts = rows.where("_hour is not null").groupBy("_hour").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(counts.select("_hour", before.alias("_before")), "_hour", "left")
+    within = F.row_number().over(Window.partitionBy(state, "_hour").orderBy(queued_at, seq))
+    position = F.when(F.col(state) == "queued", (F.col("_before") + within).cast("int")).when(F.col(state) == "processing", 0)
+    return rows.withColumn("position", position).drop("_hour", "_before")
 
 
 def coalesced(events: DataFrame, keys: list[str], at: str, unit: str, seq: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import overlay, reports, rules, workflow
+from quire.operators import folds, overlay, reports, rules, workflow
 
 from .scalar_queries import _table
 
@@ -188,14 +188,15 @@ def queue_position(spark, sf_dir):
 
 
 @query("""
-WITH a AS (SELECT event_id, user_id % 10 AS k, epoch_us(ts) AS t, event_type = 'purchase' AS ok FROM events),
-r AS (SELECT *, coalesce(sum(CAST(ok AS INTEGER)) OVER (PARTITION BY k ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM a),
-c AS (SELECT *, count(CASE WHEN NOT ok THEN t END) OVER w AS failures, min(CASE WHEN NOT ok THEN t END) OVER w AS oldest FROM r WINDOW w AS (PARTITION BY k, run ORDER BY t RANGE BETWEEN 3599999999 PRECEDING AND 1 PRECEDING))
-SELECT event_id, k, failures, failures >= 3 AS blocked, CASE WHEN failures >= 3 THEN (3600000000 - (t - oldest)) // 1000000 + 1 END AS wait_s FROM c
+WITH RECURSIVE a AS (SELECT event_id, user_id % 10 AS k, epoch_us(ts) AS t, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id % 10 ORDER BY epoch_us(ts), event_id) AS r FROM events),
+f AS (SELECT DISTINCT k, 0::BIGINT AS r, NULL::BIGINT AS event_id, 0::BIGINT AS failures, false AS blocked, NULL::BIGINT AS wait_s, []::BIGINT[] AS q FROM a
+ UNION ALL SELECT k, r, event_id, len(w), len(w) >= 3, CASE WHEN len(w) >= 3 THEN (3600000000 - (t - w[1])) // 1000000 + 1 END, CASE WHEN len(w) >= 3 THEN w WHEN ok THEN [] ELSE list_append(w, t) END
+ FROM (SELECT a.*, list_filter(f.q, lambda x: a.t - x < 3600000000) AS w FROM f JOIN a ON a.k = f.k AND a.r = f.r + 1))
+SELECT event_id, k, CAST(failures AS INTEGER) AS failures, blocked, wait_s FROM f WHERE r > 0
 """)
 def rate_limiter(spark, sf_dir):
     a = _table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 10).alias("k"), "ts", "event_type")
-    return workflow.rate_limit(a, "k", "ts", "event_id", F.col("event_type") == "purchase", 3, 3600).select("event_id", "k", "failures", "blocked", "wait_s")
+    return folds.rate_limit(a, "k", "ts", "event_id", F.col("event_type") == "purchase", 3, 3600).select("event_id", "k", "failures", "blocked", "wait_s")
 
 
 @query("SELECT user_id, date_trunc('hour', ts) AS slot, arg_min(event_id, (ts, event_id)) AS first, count(*) AS n FROM events GROUP BY user_id, date_trunc('hour', ts)")

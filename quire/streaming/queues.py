@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quire.operators.folds import limited
+
 
 def job_states(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """The latest state of each job of a stream (job, at, state), for update or complete mode."""
@@ -34,11 +36,8 @@ def limiter(attempts: DataFrame, limit: int = 10, seconds: int = 900, late: str
         out = []
         for at, ok in zip(rows["at"], rows["ok"], strict=True):
             now = at.value // 1000
-            failures = [f for f in failures if now - f < seconds * 1_000_000]
-            blocked = len(failures) >= limit
+            failures, _, blocked, _ = limited(failures, now, bool(ok), limit, seconds * 1_000_000)
             out.append((key[0], at, blocked))
-            if not blocked:
-                failures = [] if ok else [*failures, now]
         state.update((failures,))
         state.setTimeoutTimestamp(max(int(rows["at"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + seconds * 1000)
         yield pd.DataFrame(out, columns=["key", "at", "blocked"])
