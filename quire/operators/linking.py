@@ -11,14 +11,18 @@ from quire.functions.text import normal_key
 
 def link_citations(citations: DataFrame, references: DataFrame) -> DataFrame:
     """citations (doc_id, cit_no, author, year) with ref_no of the first reference (doc_id, ref_no, authors, year) whose
-    year agrees without its letter and one of whose surnames is the cited one, holds it as a word or starts with it.
+    year agrees without its letter and one of whose surnames is the cited one, holds it as a word or starts with it. A
+    reference without authors goes by its text up to the first comma or full stop, if references has a text.
 
     An equi-join on document, year and the surname's first letters does the bulk; the rest is a residual predicate.
     """
     year = lambda c: F.regexp_replace(c, "[a-f]+$", "")
     cited = F.trim(normal_key(F.regexp_replace(F.regexp_replace(F.col("author"), r" (?:e|and|y) .*$|&.*$", ""), " et al", "")))
     c = citations.withColumn("_cited", cited).withColumn("_year", year(F.col("year")))
-    names = references.select(F.col("doc_id").alias("_doc"), "ref_no", F.explode(F.transform("authors", lambda a: normal_key(F.split(a, ",")[0]))).alias("_name"), year(F.col("year")).alias("_ref_year")).where("_name <> ''")
+    surnames = F.transform("authors", lambda a: normal_key(F.split(a, ",")[0]))
+    if "text" in references.columns:
+        surnames = F.when(F.exists(surnames, lambda s: s != ""), surnames).otherwise(F.array(normal_key(F.regexp_extract("text", "^([^,.]*)", 1))))
+    names = references.select(F.col("doc_id").alias("_doc"), "ref_no", F.explode(surnames).alias("_name"), year(F.col("year")).alias("_ref_year")).where("_name <> ''")
     same = (F.col("_cited") == F.col("_name")) | F.array_contains(F.split("_name", " "), F.col("_cited")) | F.col("_name").startswith(F.col("_cited"))
     hits = c.where("_cited <> ''").join(names, (F.col("doc_id") == F.col("_doc")) & (F.col("_year") == F.col("_ref_year")) & same).groupBy("doc_id", "cit_no").agg(F.min("ref_no").alias("ref_no"))
     return citations.join(hits, ["doc_id", "cit_no"], "left")

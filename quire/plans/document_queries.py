@@ -202,7 +202,7 @@ def docx_bytes(paragraphs: list[tuple[str, str]]) -> bytes:
     return out.getvalue()
 
 
-@query("SELECT 'n' || n_nationkey AS path, unnest([0, 1]) AS line_no, unnest(['Title', 'Heading1']) AS style, unnest([18::DOUBLE, 14::DOUBLE]) AS size, unnest([n_name, 'Section ' || n_regionkey]) AS text FROM nation")
+@query("SELECT 'n' || n_nationkey AS path, unnest([0, 1]) AS line_no, unnest(['Title', 'Heading1']) AS style, unnest([17::DOUBLE, 13.5::DOUBLE]) AS size, unnest([n_name, 'Section ' || n_regionkey]) AS text FROM nation")
 def docx_lines(spark, sf_dir):
     def made(batches):
         for batch in batches:

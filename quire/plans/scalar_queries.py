@@ -132,12 +132,13 @@ def date_forms(spark, sf_dir):
 
 _NAME = "(array['Sara','João','Ana Maria','Van','Pedro E.'])[i % 5 + 1] || ' ' || (array['da Nova','de','dos Santos','Quadros',''])[(i // 5) % 5 + 1] || ' ' || (array['Côrtes','Silva','Souza Filho','Lima Jr.','Neto'])[(i // 25) % 5 + 1]"
 _NAME_SPARK = "array('Sara','João','Ana Maria','Van','Pedro E.')[i % 5] || ' ' || array('da Nova','de','dos Santos','Quadros','')[(i div 5) % 5] || ' ' || array('Côrtes','Silva','Souza Filho','Lima Jr.','Neto')[(i div 25) % 5]"
-_SQL_NAME = text.NAME_PATTERN.replace("'", "''")
-
-
+# token by token: the last word, with the word before a suffix, then every particle before that; never the first word
 @query(f"""
-WITH t AS (SELECT i, regexp_replace(trim({_NAME.replace('array[', '[')}), '\\s+', ' ', 'g') AS name FROM (SELECT c_custkey AS i FROM customer))
-SELECT i AS c_custkey, name, regexp_extract(name, '{_SQL_NAME}', 2) AS surname, regexp_extract(name, '{_SQL_NAME}', 1) AS given FROM t
+WITH t AS (SELECT i, string_split(regexp_replace(trim({_NAME.replace('array[', '[')}), '\\s+', ' ', 'g'), ' ') AS w FROM (SELECT c_custkey AS i FROM customer)),
+s AS (SELECT *, len(w) AS n, greatest(2, CASE WHEN lower(rtrim(w[-1], '.')) IN ('junior','júnior','jr','filho','neto','sobrinho','segundo','terceiro','ii','iii') AND len(w) > 2 THEN len(w) - 1 ELSE len(w) END) AS k FROM t),
+p AS (SELECT *, CASE WHEN k > 2 AND lower(w[k - 1]) IN ('de','da','do','das','dos','e','del','della','di','van','von','der','la','le','y') THEN 1 ELSE 0 END AS one FROM s),
+q AS (SELECT *, k - one - CASE WHEN one = 1 AND k > 3 AND lower(w[k - 2]) IN ('de','da','do','das','dos','e','del','della','di','van','von','der','la','le','y') THEN 1 ELSE 0 END AS f FROM p)
+SELECT i AS c_custkey, array_to_string(w, ' ') AS name, array_to_string(w[f:], ' ') AS surname, array_to_string(w[:f - 1], ' ') AS given FROM q
 """)
 def name_split(spark, sf_dir):
     t = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i")).select("i", F.regexp_replace(F.trim(F.expr(_NAME_SPARK)), r"\s+", " ").alias("name"))
@@ -146,16 +147,14 @@ def name_split(spark, sf_dir):
 
 _PLACE = "'Univ. of ' || c_name || ', ' || (list_of)[c_custkey % 7 + 1] || ' - ' || (list_of)[(c_custkey // 7) % 7 + 1] || ' (' || c_mktsegment || ')'"
 _PLACES = ["São Paulo, SP", "España", "Estados Unidos da América", "Rio Grande do Sul, Brasil", "México", "Minas Gerais", "nowhere"]
-_ISO = "CASE name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tables.COUNTRIES.items()) + " END"
-_STATE = " ".join(rf"WHEN regexp_matches(key, '\b{n}\b') THEN '{c}'" for n, c in text.STATE_NAMES)
 _LISTED_PLACES = "[" + ", ".join(f"'{p}'" for p in _PLACES) + "]"
+# what each place says of country and state, by hand
+_SAID = "[{c: NULL, i: NULL, s: 'SP'}, {c: 'espana', i: 'ES', s: NULL}, {c: 'estados unidos', i: 'US', s: NULL}, {c: 'brasil', i: 'BR', s: 'RS'}, {c: 'mexico', i: 'MX', s: NULL}, {c: NULL, i: NULL, s: 'MG'}, {c: NULL, i: NULL, s: NULL}]"
 
 
 @query(rf"""
-WITH t AS (SELECT c_custkey, {_PLACE.replace('(list_of)', _LISTED_PLACES)} AS place FROM customer),
-k AS (SELECT *, {_KEY.format('place')} AS key, regexp_extract(place, '(?:^|[^A-Za-z])({"|".join(text.STATE_CODES)})(?:[^A-Za-z]|$)', 1) AS alone FROM t),
-n AS (SELECT *, nullif(regexp_extract(key, '{text.COUNTRY_PATTERN}', 1), '') AS name FROM k)
-SELECT c_custkey, place, name AS country, {_ISO} AS iso, CASE WHEN alone <> '' THEN alone {_STATE} END AS state FROM n
+WITH t AS (SELECT c_custkey, {_PLACE.replace('(list_of)', _LISTED_PLACES)} AS place, {_SAID}[c_custkey % 7 + 1] AS a, {_SAID}[(c_custkey // 7) % 7 + 1] AS b FROM customer)
+SELECT c_custkey, place, coalesce(b.c, a.c) AS country, coalesce(b.i, a.i) AS iso, CASE WHEN a.s = 'SP' OR b.s = 'SP' THEN 'SP' WHEN a.s = 'RS' OR b.s = 'RS' THEN 'RS' ELSE coalesce(a.s, b.s) END AS state FROM t
 """)
 def place_names(spark, sf_dir):
     listed = "array(" + ", ".join(f"'{p}'" for p in _PLACES) + ")"

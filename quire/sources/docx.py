@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 M = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
-# The point size that stands for a paragraph style.
-SIZES = {"Title": 18.0, "Heading1": 14.0, "Heading2": 13.0, "Heading3": 12.0}
-BODY_SIZE = 11.0
+# The point size that stands for a paragraph style, by its name in small letters.
+SIZES = {"title": 17.0, "subtitle": 13.0, "heading1": 13.5, "heading2": 12.5, "heading3": 11.5, "heading4": 11.0, "heading5": 11.0, "heading6": 11.0, "quote": 9.5, "footnotetext": 8.5}
+BODY_SIZE = 10.5
 LINES = "path string, line_no int, style string, size double, bold boolean, italic boolean, text string, table_no int, row_no int, col_no int, header boolean, mathml string"
 _TOKEN = re.compile(r"(\d+\.?\d*)|([A-Za-zΑ-Ωα-ω]+)|(\S)")
 
@@ -93,13 +93,15 @@ def _row(node: ElementTree.Element) -> str:
 def _style(p: ElementTree.Element) -> tuple[str, float, bool, bool]:
     found = p.find(f"{W}pPr/{W}pStyle")
     style = found.get(W + "val", "") if found is not None else ""
-    total = bold = italic = 0
-    for run in p.iter(W + "r"):
-        n = sum(len(t.text or "") for t in run.iter(W + "t"))
-        total += n
-        bold += n * (run.find(f"{W}rPr/{W}b") is not None)
-        italic += n * (run.find(f"{W}rPr/{W}i") is not None)
-    return style, SIZES.get(style, BODY_SIZE), bold > 0.5 * total, italic > 0.5 * total
+    runs = [run for run in p.iter(W + "r") if any((t.text or "").strip() for t in run.iter(W + "t"))]
+    half = len(runs) / 2
+    return style, SIZES.get(style.lower(), BODY_SIZE), sum(_on(r, "b") for r in runs) > half, sum(_on(r, "i") for r in runs) > half
+
+
+def _on(run: ElementTree.Element, name: str) -> bool:
+    """Whether a run has a property that isn't switched off."""
+    found = run.find(f"{W}rPr/{W}{name}")
+    return found is not None and found.get(W + "val", "true").lower() not in ("0", "false", "off", "none")
 
 
 def _table(node: ElementTree.Element) -> tuple[list[list[str]], int]:
