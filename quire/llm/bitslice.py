@@ -30,7 +30,7 @@ SCALE = 256
 #: Low slices of each attribute that the bitmap sum leaves out; the exact step makes good for them.
 DROP = 3
 #: Rows of a block, as dealt out by a hash; fewer where the rows would not keep all tasks busy otherwise.
-BLOCK_ROWS, LEAST_ROWS = 32_768, 1024
+BLOCK_ROWS, LEAST_ROWS = 32_768, 4096
 QUERY_ROWS = 1024
 _LONG = 2**63
 
