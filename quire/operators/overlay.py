@@ -64,3 +64,36 @@ def prefill(form: Column, journal: Column, declaration: Column, generated: Colum
     sources = [(blank_to_null(form), "form"), (blank_to_null(journal), "journal"), (blank_to_null(declaration), "declaration"), (blank_to_null(generated), "generated")]
     reason = F.coalesce(*[F.when(v.isNotNull(), r) for v, r in sources])
     return F.struct(F.coalesce(*[v for v, _ in sources]).alias("value"), reason.alias("reason"))
+
+
+def item_edits(edits: DataFrame, key: str) -> DataFrame:
+    """key, list, pos, field, value of the edits whose field names an item of a list: author_2_orcid; author_2_remove."""
+    form = r"^([a-z]+)_(\d+)_([a-z_]+)$"
+    part = lambda g: F.regexp_extract("field", form, g)
+    return edits.where(F.col("field").rlike(form)).select(key, part(1).alias("list"), part(2).cast("int").alias("pos"), part(3).alias("_field"), "value").withColumnRenamed("_field", "field")
+
+
+def apply_item_edits(items: DataFrame, edits: DataFrame, key: str, name: str, fields: list[str]) -> DataFrame:
+    """items (key, pos, fields) of a list after its edits (item_edits()): an edit replaces, one to null included; edits beyond
+    the list's end make new items, unless all of theirs are empty; removed tells the items that were marked for removal."""
+    own = edits.where(F.col("list") == name).groupBy(key, "pos").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_edits"))
+    both = items.withColumn("_there", F.lit(True)).join(own, [key, "pos"], "full")
+    known = F.coalesce(F.col("_edits"), F.expr("cast(map() as map<string,string>)"))
+    types = dict(items.dtypes)
+    made = [F.when(F.map_contains_key(known, F.lit(f)), blank_to_null(known[f]).cast(types[f])).otherwise(F.col(f)).alias(f) for f in fields]
+    some = F.exists(F.map_values(F.map_filter(known, lambda k, v: k.isin(*fields))), lambda v: F.coalesce(F.trim(v), F.lit("")) != "")
+    return both.where(F.col("_there").isNotNull() | some).select(key, "pos", *made, F.coalesce(blank_to_null(known["remove"]).isNotNull(), F.lit(False)).alias("removed"), F.coalesce(F.col("_edits").isNotNull(), F.lit(False)).alias("edited"))
+
+
+def cascade_by_issn(values: DataFrame, key: str, issn: str, siblings: DataFrame, owners: dict[str, str], order: list[str]) -> DataFrame:
+    """cascade() over the values of a journal's number and, for fields that it leaves empty, of the numbers linked with it
+    (siblings: issn, other); then a print ISSN that equals the electronic one is dropped. values: key, issn, source, field,
+    value; key and issn name the journal asked for."""
+    direct = cascade(values, key, owners, order)
+    linked = siblings.select(F.col(issn).alias("_own"), F.col("other").alias(issn))
+    asked = values.select(key, F.col(issn).alias("_own")).distinct()
+    other = asked.join(linked, "_own").join(values.select(issn, "source", "field", "value").distinct(), issn).select(key, "source", "field", "value")
+    more = cascade(other, key, owners, order).join(direct.select(key, "field"), [key, "field"], "left_anti")
+    both = direct.unionByName(more)
+    electronic = both.where("field = 'issn_epub'").select(key, F.col("value").alias("_epub"))
+    return both.join(electronic, key, "left").where(~((F.col("field") == "issn_ppub") & F.coalesce(F.col("value") == F.col("_epub"), F.lit(False)))).drop("_epub")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 DOCTYPE = '<!DOCTYPE article PUBLIC "-//NLM//DTD JATS (Z39.96) Journal Publishing DTD v1.1 20151215//EN" "JATS-journalpublishing1.dtd">'
 
@@ -84,3 +86,81 @@ def mark_spans(paragraphs: DataFrame, spans: DataFrame, keys: list[str]) -> Data
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     spliced = F.aggregate(F.coalesce(chosen, empty), start, put, lambda a: F.concat(a["out"], escape(F.substring(F.col("text"), a["at"] + 1, F.length("text")))))
     return paragraphs.join(listed, keys, "left").select(*keys, spliced.alias("marked"))
+
+
+def marked_paragraphs(paragraphs: DataFrame, citations: DataFrame, floats: DataFrame, notes: DataFrame, n_refs: DataFrame | None = None) -> DataFrame:
+    """paragraphs (doc_id, para_no, text) with marked: their text as XML, with links put in. In the order that decides where
+    they overlap: calls [^n] to the k-th note of their label (notes: doc_id, label, note_no, id), in numeric styles to the
+    references they count (n_refs: doc_id, n), else raised; the first free place of each citation's text (citations: doc_id,
+    cit_no, text, rid); then figures, tables and equations by their numbers (floats: doc_id, kind, number, rid).
+    """
+    called = paragraphs.select("doc_id", "para_no", F.posexplode(F.regexp_extract_all("text", F.lit(CALL), F.lit(1))).alias("k", "label"))
+    turn = lambda *by: F.row_number().over(Window.partitionBy("doc_id", "label").orderBy(*by))
+    linked = called.withColumn("_turn", turn("para_no", "k")).join(notes.withColumn("_turn", turn("note_no")).select("doc_id", "label", "_turn", "id"), ["doc_id", "label", "_turn"], "left")
+    calls = linked.groupBy("doc_id", "para_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "id"))), lambda s: F.coalesce(s["id"], F.lit(""))).alias("_calls"))
+    cites = citations.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("cit_no", "text", "rid"))).alias("_cites"))
+    things = floats.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("kind", "number", "rid"))).alias("_floats"))
+    rows = paragraphs.join(calls, ["doc_id", "para_no"], "left").join(cites, "doc_id", "left").join(things, "doc_id", "left")
+    rows = rows.join(n_refs.select("doc_id", F.col("n").alias("_n")), "doc_id", "left") if n_refs is not None else rows.withColumn("_n", F.lit(0))
+
+    @F.arrow_udf("string")
+    def mark(texts: pa.Array, calls: pa.Array, cites: pa.Array, things: pa.Array, n: pa.Array) -> pa.Array:
+        rows = zip(*(x.to_pylist() for x in (texts, calls, cites, things, n)), strict=True)
+        return pa.array([None if t is None else linked_text(t, c or [], q or [], f or [], k or 0) for t, c, q, f, k in rows], pa.string())
+
+    return rows.select("doc_id", "para_no", mark("text", "_calls", "_cites", "_floats", F.col("_n").cast("int")).alias("marked"))
+
+
+CALL = r"\[\^([^\]]{1,16})\]"
+# Words before the number of each kind of float.
+FLOAT_WORDS = {"fig": r"(?:Fig(?:ura|\.)|Figure)\s*", "table": r"(?i:(?:Tabela|Table|Quadro|Cuadro)s?)\.?\s*", "equation": r"(?i:equa[çc][ãa]o|equation|eq\.?|f[óo]rmula)\s*\(?"}
+FLOAT_TYPES = {"fig": "fig", "table": "table", "equation": "disp-formula"}
+
+
+def linked_text(text: str, calls: list[str], citations: list[dict], floats: list[dict], n_refs: int) -> str:
+    """One paragraph as XML; see marked_paragraphs()."""
+    import re
+    from html import escape as plain
+
+    put: list[tuple[int, int, str]] = []
+    free = lambda a, b: all(b <= x or y <= a for x, y, _ in put)
+    link = lambda kind, rid, inner: f'<xref ref-type="{kind}" rid="{plain(rid)}">{inner}</xref>'
+    for k, m in enumerate(re.finditer(CALL, text)):
+        label, rid = m[1], calls[k] if k < len(calls) else ""
+        if rid:
+            made = link("fn", rid, f"<sup>{plain(label)}</sup>")
+        elif numbers := counted(label, n_refs):
+            parts = re.split(r"\s*[,;]\s*", label)
+            own = len(parts) == len(numbers)
+            made = ("," if own else "").join(link("bibr", f"B{n}", f"<sup>{parts[i] if own else n}</sup>") for i, n in enumerate(numbers))
+        else:
+            made = f"<sup>{plain(label)}</sup>"
+        put.append((*m.span(), made))
+    for c in citations:
+        places = (m.span() for m in re.finditer(re.escape(c["text"]), text)) if c["text"] and c["rid"] else ()
+        spot = next((p for p in places if free(*p)), None)
+        if spot:
+            put.append((*spot, link("bibr", c["rid"], plain(text[slice(*spot)]))))
+    for kind, words in FLOAT_WORDS.items():
+        for f in floats:
+            if f["kind"] == kind and f["number"]:
+                close = r"\)?" if kind == "equation" else ""
+                for m in re.finditer(rf"\b{words}{re.escape(f['number'])}{close}(?!\d)", text):
+                    if free(*m.span()):
+                        put.append((*m.span(), link(FLOAT_TYPES[kind], f["rid"], plain(m[0]))))
+    out, at = [], 0
+    for a, b, made in sorted(put):
+        out += [plain(text[at:a]), made]
+        at = b
+    return "".join([*out, plain(text[at:])])
+
+
+def counted(label: str, most: int) -> list[int]:
+    """The reference numbers of a numeric call such as 1,2 or 4-6; none if any is out of range."""
+    out: list[int] = []
+    for part in label.replace(" ", "").replace(";", ",").split(","):
+        ends = part.replace("–", "-").split("-")
+        if not most or len(ends) > 2 or not all(e.isdigit() for e in ends) or not 1 <= int(ends[0]) <= int(ends[-1]) <= most or int(ends[-1]) - int(ends[0]) > 30:
+            return []
+        out += range(int(ends[0]), int(ends[-1]) + 1)
+    return out
