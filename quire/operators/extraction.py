@@ -31,7 +31,7 @@ def name_score(text: Column, small: Column) -> Column:
 def labelled_dates(lines: DataFrame, this_year: int) -> DataFrame:
     """The first date of each kind and document: within 40 characters after its label, else in the next line."""
     order = Window.partitionBy("doc_id").orderBy("line_no")
-    kinds = {"received": r"(?i)\b(?:recebido|received|recibido|submetido|submitted)\b", "accepted": r"(?i)\b(?:aceito|accepted|aceptado|aprovado)\b", "published": r"(?i)\b(?:publicado|published)\b"}
+    kinds = {"received": r"(?i)\b(?:recebido|received|recibido|submetido|submitted)\b", "revised": r"(?i)\b(?:revisado|revisada|revised|revisi[óo]n)\b", "accepted": r"(?i)\b(?:aceit[oa]|accepted|aceptado|aprovad[oa]|approved)\b", "published": r"(?i)\b(?:publicado|published)\b"}
     rows = lines.withColumn("_next", F.lead("text").over(order)).where(~F.col("text").rlike(r"(?i)\b(acesso|accessed|acessado)\b"))
     each = []
     for kind, label in kinds.items():
@@ -68,12 +68,16 @@ def numbered_list(lines: DataFrame) -> DataFrame:
     return seen.select("doc_id", run.alias("in_order"), ((run >= 4) & (run >= 0.6 * (run + 1))).alias("numbered"))
 
 
-def style_vote(entries: DataFrame) -> DataFrame:
-    """ABNT or APA if 60 % of a document's entries look so, else mixed."""
+def style_vote(entries: DataFrame, numbered: DataFrame | None = None) -> DataFrame:
+    """ABNT or APA if 60 % of a document's entries look so, else mixed; numeric if its list is (numbered: doc_id, numbered)."""
     abnt = F.col("text").rlike(r"^\p{Lu}[\p{Lu}'’-]+(?: \p{Lu}[\p{Lu}'’-]+)*\s*[,.:]\s")
     apa = ~abnt & F.col("text").rlike(r"^\p{Lu}[\p{Ll}'’-]+(?:,?\s+\p{Lu}\.)+")
     votes = entries.groupBy("doc_id").agg(F.avg(abnt.cast("int")).alias("a"), F.avg(apa.cast("int")).alias("p"))
-    return votes.select("doc_id", F.when(F.col("a") >= 0.6, "ABNT").when(F.col("p") >= 0.6, "APA").otherwise("mixed").alias("style"))
+    style = F.when(F.col("a") >= 0.6, "ABNT").when(F.col("p") >= 0.6, "APA").otherwise("mixed")
+    if numbered is not None:
+        votes = votes.join(numbered.select("doc_id", "numbered"), "doc_id", "left")
+        style = F.when(F.col("numbered"), "numeric").otherwise(style)
+    return votes.select("doc_id", style.alias("style"))
 
 
 def first_heading(paras: DataFrame, intro: Column, page_limit: int = 5) -> DataFrame:

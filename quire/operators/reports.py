@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.functions.text import fold
 
@@ -68,3 +69,38 @@ def search(pages: DataFrame, needle: str, id_col: str = "doc_id", text_col: str
     hits = counted.select(id_col, "_k", "_s", F.posexplode(F.slice("_s", F.lit(1), F.size("_s") - 1)).alias("hit_no", "_x"))
     first = F.aggregate(F.slice("_s", F.lit(1), F.col("hit_no") + 1), F.lit(0), lambda a, x: a + x) + F.col("hit_no") * spaces(F.col("_k"))
     return hits.select(id_col, "hit_no", first.alias("first_word"), (first + spaces(F.col("_k"))).alias("last_word"))
+
+
+def filtered(docs: DataFrame, journal: str | None = None, stage: str | None = None, ready: bool | None = None, owner: str | None = None, org: str | None = None, since: str | None = None) -> DataFrame:
+    """Documents that meet every filter that is given; since compares updated_at as text."""
+    for column, value in (("journal", journal), ("stage", stage), ("ready", ready), ("owner", owner), ("org", org)):
+        docs = docs if value is None else docs.where(F.col(column) == value)
+    return docs if since is None else docs.where(F.col("updated_at") >= since)
+
+
+def in_list_order(rows: DataFrame, order: list, name: str = "place", seq: str | None = None) -> DataFrame:
+    """rows with their places (from 1) in a list that is shown whole: usage by last access and count, batches newest first,
+    organisations by lower name. Lists are counted in people or batches, not in documents."""
+    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order, *([seq] if seq else []))))
+
+
+def profile(lines: DataFrame, repeated: DataFrame, columns: DataFrame, notes: DataFrame) -> DataFrame:
+    """A document's diagnosis: its ten commonest sizes (by characters), repeated lines, two_columns, lines that open with a mark,
+    notes. lines: doc_id, text, size; repeated: doc_id, key; columns: doc_id, two_columns; notes: doc_id, line_no."""
+    sizes = lines.groupBy("doc_id", F.round("size", 1).alias("size")).agg(F.sum(F.length("text")).alias("n"))
+    top = F.slice(F.sort_array(F.collect_list(F.struct("n", "size")), asc=False), 1, 10)
+    hist = sizes.groupBy("doc_id").agg(F.array_join(F.transform(top, lambda s: F.concat_ws(":", s["size"].cast("string"), s["n"].cast("string"))), " ").alias("sizes"))
+    marks = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("text").rlike(r"^\s*(?:\d{1,3}[.)]?\s|\*|[¹²³†‡§])")).alias("marks"))
+    count = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
+    out = hist.join(marks, "doc_id").join(columns, "doc_id", "left").join(count(repeated, "repeated"), "doc_id", "left").join(count(notes, "notes"), "doc_id", "left")
+    return out.fillna(0, ["repeated", "notes"]).fillna(False, ["two_columns"]).select("doc_id", "lines", "sizes", "marks", "two_columns", "repeated", "notes")
+
+
+def summaries(models: DataFrame, counters: DataFrame) -> DataFrame:
+    """doc_id and a Markdown summary of each article: title, DOI, language and what was counted. models: doc_id, title, doi,
+    language; counters: doc_id and numbers."""
+    numbers = [c for c in counters.columns if c != "doc_id"]
+    said = lambda x: F.coalesce(F.nullif(F.trim(x), F.lit("")), F.lit("not found"))
+    lines = [F.concat(F.lit("# "), said(F.col("title"))), F.lit(""), F.concat(F.lit("- DOI: "), said(F.col("doi"))), F.concat(F.lit("- language: "), said(F.col("language"))), *[F.concat(F.lit(f"- {n}: "), F.coalesce(F.col(n), F.lit(0)).cast("string")) for n in numbers]]
+    return models.join(counters, "doc_id", "left").select("doc_id", F.concat_ws("\n", *lines).alias("summary"))
+

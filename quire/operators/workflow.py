@@ -108,3 +108,26 @@ def last_admin_guard(members: DataFrame, changes: DataFrame) -> DataFrame:
     admins = members.where("is_admin").groupBy("org").agg(F.count(F.lit(1)).alias("_n"))
     own = members.where("is_admin").select("org", "user").withColumn("_is", F.lit(True))
     return changes.join(admins, "org", "left").join(own, ["org", "user"], "left").select("org", "user", (F.coalesce("_is", F.lit(False)) & (F.col("_n") <= 1)).alias("refused"))
+
+
+def recovered(jobs: DataFrame, reports: DataFrame) -> DataFrame:
+    """jobs (doc, state, queued_at) after a restart: those that waited or ran are done if they have a report (doc), else they
+    wait again, oldest first, with their position."""
+    told = reports.select("doc").distinct().withColumn("_report", F.lit(True))
+    rows = jobs.join(told, "doc", "left").withColumn("state", F.when(F.col("state").isin("queued", "processing"), F.when(F.col("_report"), "done").otherwise("queued")).otherwise(F.col("state"))).drop("_report")
+    return queue_positions(rows, "state", "queued_at", "doc")
+
+
+def durations(events: DataFrame, key: str, at: str, kind: str) -> DataFrame:
+    """Seconds from the last start of a run (kind start) to its extraction and to its end, as far as it got."""
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    begun = events.where(F.col(kind) == "start").groupBy(key).agg(F.max(micros).alias("_from"))
+    first = lambda k: F.min(F.when((F.col(kind) == k) & (F.col("_at") >= F.col("_from")), F.col("_at")))
+    ends = events.withColumn("_at", micros).join(begun, key).groupBy(key, "_from").agg(first("extracted").alias("_x"), first("end").alias("_e"))
+    seconds = lambda c: F.round((F.col(c) - F.col("_from")) / 1_000_000, 3)
+    return ends.select(key, seconds("_x").alias("extract_s"), seconds("_e").alias("total_s"))
+
+
+def publication_ready(validated: DataFrame) -> DataFrame:
+    """validated (key columns, blockers, dtd, schematron) with ready: no blocker, and both validations passed."""
+    return validated.withColumn("ready", (F.col("blockers") == 0) & F.coalesce("dtd", F.lit(False)) & F.coalesce("schematron", F.lit(False)))
