@@ -42,9 +42,9 @@ SELECT o_orderkey AS doc, CAST(n AS INTEGER) AS n, CASE o_orderkey % 3 WHEN 0 TH
 def stage_gates(spark, sf_dir):
     # 0: approved, then made anew; 1: approved too early, then rightly; 2: never ready
     kinds = [("generate", "approve", "generate"), ("approve", "generate", "approve"), ("generate", "approve", "generate")]
-    kind = lambda i: F.array(*[F.lit(k[i]) for k in kinds])[(K % 3).cast("int")]
+    kind = lambda i: F.array(*[F.lit(k[i]) for k in kinds])[(K() % 3).cast("int")]
     rows = _rows("n kind stage", *[(i + 1, kind(i), "") for i in range(3)], (4, "move", "approved"), (5, "move", "delivered"))
-    events = _table(spark, sf_dir, "orders").select(K.alias("doc"), F.explode(rows).alias("x")).select("doc", "x.*").withColumns({"at": F.col("n"), "ready": F.col("doc") % 3 < 2, "needs_chief": F.lit(True)})
+    events = _table(spark, sf_dir, "orders").select(K().alias("doc"), F.explode(rows).alias("x")).select("doc", "x.*").withColumns({"at": F.col("n"), "ready": F.col("doc") % 3 < 2, "needs_chief": F.lit(True)})
     return delivery.stage_gates(events, "doc", "at", "n").select("doc", "n", "refused")
 
 
@@ -98,7 +98,7 @@ SELECT id AS request_id, CASE WHEN j IS NOT NULL AND (owner = 3 OR owner = org)
 """)
 def journal_by_issn(spark, sf_dir):
     i = F.col("o_custkey") % 40
-    asked = _table(spark, sf_dir, "orders").select(K.alias("request_id"), F.concat(F.lit("x-"), i).alias("issn"), (F.col("o_custkey") % 3).alias("org"), (K % 2 == 0).alias("answered"), (K % 3 > 0).alias("complete"), (K % 5 > 0).alias("may_create"), F.concat(F.lit("new"), i).alias("suggested"))
+    asked = _table(spark, sf_dir, "orders").select(K().alias("request_id"), F.concat(F.lit("x-"), i).alias("issn"), (F.col("o_custkey") % 3).alias("org"), (K() % 2 == 0).alias("answered"), (K() % 3 > 0).alias("complete"), (K() % 5 > 0).alias("may_create"), F.concat(F.lit("new"), i).alias("suggested"))
     s = F.col("s_suppkey")
     number = F.concat(F.lit("X-"), s)
     journals = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("j"), s).alias("journal"), F.when(s % 2 == 0, number).alias("issn_epub"), F.when(s % 2 == 1, number).alias("issn_ppub"), F.when(s % 4 < 3, s % 4).alias("org"))
@@ -109,9 +109,9 @@ def journal_by_issn(spark, sf_dir):
 SELECT o_orderkey AS upload, CASE o_orderkey % 9 WHEN 0 THEN 'no file' WHEN 1 THEN 'too many files' WHEN 2 THEN 'format' WHEN 3 THEN 'e-mail not confirmed' WHEN 4 THEN 'too large' WHEN 5 THEN 'journal out of reach' WHEN 6 THEN 'role doesn''t send' END AS reason, o_orderkey % 9 = 8 AS queued FROM orders
 """)
 def upload_admissions(spark, sf_dir):
-    m = K % 9
+    m = K() % 9
     names = F.when(m == 0, F.array(F.lit(None).cast("string"))).when(m == 1, F.array_repeat(F.lit("a.pdf"), 21)).when(m == 2, F.array(F.lit("a.pdf"), F.lit("b.odt"))).when(m == 8, F.array(F.lit("a.PDF"), F.lit("b.docx"))).otherwise(F.array(F.lit("a.pdf")))
-    rows = _table(spark, sf_dir, "orders").select(K.alias("upload"), F.explode(names).alias("file"), F.when(m == 4, 60_000_000).otherwise(10).alias("bytes"), (m != 3).alias("confirmed"), (m != 5).alias("in_reach"), (m != 6).alias("may_send"))
+    rows = _table(spark, sf_dir, "orders").select(K().alias("upload"), F.explode(names).alias("file"), F.when(m == 4, 60_000_000).otherwise(10).alias("bytes"), (m != 3).alias("confirmed"), (m != 5).alias("in_reach"), (m != 6).alias("may_send"))
     return delivery.admissions(rows)
 
 
@@ -121,5 +121,5 @@ SELECT o_orderkey AS doc_id, unnest(CASE WHEN o_orderkey % 2 = 0 THEN ['financia
 def declared_blocks(spark, sf_dir):
     blocks = _rows("block_no title text", (1, "Financiamento e agradecimento:", "CNPq"), (2, "Editorial process dates", "2020"), (3, "Declaração de IA", "Não."), (4, "Funding", " "), (5, "Editores responsáveis", "Ana"), (6, "Editor e conflito de interesses", "Nenhum"), (7, "Anexo", "x"))
     # agradecimentos comes before financiamento, but is filled by hand; in odd documents both are
-    filled = _table(spark, sf_dir, "orders").select(K.alias("doc_id"), F.explode(F.when(K % 2 == 0, F.array(F.lit("agradecimentos"))).otherwise(F.array(F.lit("agradecimentos"), F.lit("financiamento")))).alias("kind"))
-    return delivery.declarations(_table(spark, sf_dir, "orders").select(K.alias("doc_id"), F.explode(blocks).alias("b")).select("doc_id", "b.*"), filled).select("doc_id", "kind", "block_no")
+    filled = _table(spark, sf_dir, "orders").select(K().alias("doc_id"), F.explode(F.when(K() % 2 == 0, F.array(F.lit("agradecimentos"))).otherwise(F.array(F.lit("agradecimentos"), F.lit("financiamento")))).alias("kind"))
+    return delivery.declarations(_table(spark, sf_dir, "orders").select(K().alias("doc_id"), F.explode(blocks).alias("b")).select("doc_id", "b.*"), filled).select("doc_id", "kind", "block_no")

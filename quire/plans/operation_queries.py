@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 @query("SELECT o_orderkey AS doc FROM orders WHERE o_custkey % 7 = 3 AND o_orderstatus = 'F' AND o_orderkey % 2 = 0 AND strftime(o_orderdate, '%Y-%m-%d') >= '1995-01-01'")
 def filtered_list(spark, sf_dir):
-    docs = _table(spark, sf_dir, "orders").select(K.alias("doc"), (F.col("o_custkey") % 7).cast("string").alias("journal"), F.col("o_orderstatus").alias("stage"), (K % 2 == 0).alias("ready"), F.lit("u").alias("owner"), F.lit("o").alias("org"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("updated_at"))
+    docs = _table(spark, sf_dir, "orders").select(K().alias("doc"), (F.col("o_custkey") % 7).cast("string").alias("journal"), F.col("o_orderstatus").alias("stage"), (K() % 2 == 0).alias("ready"), F.lit("u").alias("owner"), F.lit("o").alias("org"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("updated_at"))
     return reports.filtered(docs, journal="3", stage="F", ready=True, owner="u", org="o", since="1995-01-01").select("doc")
 
 
@@ -54,8 +54,8 @@ def layout_profiles(spark, sf_dir):
 @query("SELECT o_orderkey AS doc_id, '# ' || CASE WHEN o_orderkey % 3 = 0 THEN 'not found' ELSE 'T' || o_orderkey END || chr(10) || chr(10) || '- DOI: 10.1/' || o_custkey || chr(10) || '- language: pt' || chr(10) || '- sections: ' || CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 9 ELSE 0 END AS summary FROM orders")
 def article_summaries(spark, sf_dir):
     o = _table(spark, sf_dir, "orders")
-    models = o.select(K.alias("doc_id"), F.when(K % 3 == 0, " ").otherwise(F.concat(F.lit("T"), K)).alias("title"), F.concat(F.lit("10.1/"), "o_custkey").alias("doi"), F.lit("pt").alias("language"))
-    return reports.summaries(models, o.where("o_orderkey % 2 = 0").select(K.alias("doc_id"), (K % 9).alias("sections")))
+    models = o.select(K().alias("doc_id"), F.when(K() % 3 == 0, " ").otherwise(F.concat(F.lit("T"), K())).alias("title"), F.concat(F.lit("10.1/"), "o_custkey").alias("doi"), F.lit("pt").alias("language"))
+    return reports.summaries(models, o.where("o_orderkey % 2 = 0").select(K().alias("doc_id"), (K() % 9).alias("sections")))
 
 
 @query("""
@@ -100,8 +100,8 @@ def docx_running_heads(spark, sf_dir):
 
 @query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'numeric' ELSE 'ABNT' END AS style, CASE WHEN o_orderkey % 3 = 0 THEN '2019-03-02' END AS revised FROM orders")
 def numeric_styles(spark, sf_dir):
-    texts = _rows("line_no text", *[(i, F.concat(F.when(K % 2 == 0, f"[{i}] ").otherwise(""), F.lit("SILVA, João. Title."))) for i in range(1, 6)], (6, F.when(K % 3 == 0, "Revised: 2 March 2019").otherwise("Plain line")))
-    rows = _table(spark, sf_dir, "orders").select(K.alias("doc_id"), F.explode(texts).alias("x")).select("doc_id", "x.*")
+    texts = _rows("line_no text", *[(i, F.concat(F.when(K() % 2 == 0, f"[{i}] ").otherwise(""), F.lit("SILVA, João. Title."))) for i in range(1, 6)], (6, F.when(K() % 3 == 0, "Revised: 2 March 2019").otherwise("Plain line")))
+    rows = _table(spark, sf_dir, "orders").select(K().alias("doc_id"), F.explode(texts).alias("x")).select("doc_id", "x.*")
     entries = rows.where("line_no < 6").withColumn("text", F.regexp_replace("text", r"^\[\d\] ", ""))
     dates = extraction.labelled_dates(rows, 2026).where("kind = 'revised'").select("doc_id", F.col("date").alias("revised"))
     return extraction.style_vote(entries, extraction.numbered_list(rows)).join(dates, "doc_id", "left")

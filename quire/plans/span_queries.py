@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _each(spark, sf_dir, rows):
-    return _table(spark, sf_dir, "orders").select(K.alias("doc_id"), F.explode(rows).alias("x")).select("doc_id", "x.*")
+    return _table(spark, sf_dir, "orders").select(K().alias("doc_id"), F.explode(rows).alias("x")).select("doc_id", "x.*")
 
 
 @query("""
@@ -31,7 +31,7 @@ SELECT o_orderkey AS doc_id, CAST(n AS INTEGER) AS line, [CASE WHEN o_orderkey %
  CASE WHEN n = 1 AND o_orderkey % 2 = 0 THEN '1' WHEN n = 1 THEN 'long' ELSE '' END AS mark_first, CASE WHEN n = 1 AND o_orderkey % 2 = 1 THEN '*' ELSE '' END AS mark_last, [10.0::DOUBLE, 6.0][n] AS size, ['Serif', 'Small'][n] AS font, n = 1 AND o_orderkey % 2 = 1 AS bold, n = 2 AS rotated FROM orders, (SELECT unnest([1, 2]) AS n)
 """)
 def span_lines(spark, sf_dir):
-    even = K % 2 == 0
+    even = K() % 2 == 0
     rows = _rows(
         "line span_no text size font raised bold", (1, 1, F.when(even, "1").otherwise("long"), 6.0, "Small", True, False), (1, 2, "A word", 10.0, "Serif", False, False), (1, 3, F.when(even, " 3").otherwise(" "), 6.0, "Small", True, False), (1, 4, "  goes on", 10.04, "Serif", False, F.when(even, False).otherwise(True)),
         (1, 5, F.when(even, " ").otherwise(" more"), 9.0, "Other", False, True), (1, 6, F.when(even, " ").otherwise("*"), 6.0, "Small", True, False), (2, 1, "12", 6.0, "Small", True, False), (3, 1, "  ", 10.0, "Serif", False, False),
@@ -45,7 +45,7 @@ def span_lines(spark, sf_dir):
 @query("SELECT o_orderkey AS doc_id, CAST(1 AS INTEGER) AS image_no FROM orders WHERE o_orderkey % 2 = 0")
 def kept_images(spark, sf_dir):
     rows = _rows("image_no page x0 y0 x1 y1", (1, 1, 100.0, 100.0, 200.0, 200.0), (2, 1, 100.0, 100.0, 150.0, 300.0), (3, 1, 100.0, 0.0, 200.0, 62.0), (4, 1, 100.0, 805.0, 200.0, 900.0))
-    scanned = _table(spark, sf_dir, "orders").where("o_orderkey % 2 = 1").select(K.alias("doc_id"), F.lit(1).alias("page"))
+    scanned = _table(spark, sf_dir, "orders").where("o_orderkey % 2 = 1").select(K().alias("doc_id"), F.lit(1).alias("page"))
     return spans.kept_images(_each(spark, sf_dir, rows), 842.0, scanned).select("doc_id", "image_no")
 
 
@@ -55,7 +55,7 @@ SELECT o_orderkey AS doc_id, ['1', '2'][n] AS number, CASE n WHEN 1 THEN 'a = '
 """)
 def page_equations(spark, sf_dir):
     rows = _rows(
-        "block line_no text font x0 y0 x1 y1", (1, 1, F.concat(F.lit("a = "), C), "CMMI10", 100.0, 100.0, 300.0, 112.0), (2, 2, "+ b", "CMSY10", 120.0, 114.0, 280.0, 124.0), (3, 3, "(1)", "Serif", 400.0, 101.0, 420.0, 111.0), (4, 4, "x = y", "Serif", 100.0, 200.0, 200.0, 210.0), (4, 5, "(2)", "Serif", 400.0, 200.0, 420.0, 210.0),
+        "block line_no text font x0 y0 x1 y1", (1, 1, F.concat(F.lit("a = "), C()), "CMMI10", 100.0, 100.0, 300.0, 112.0), (2, 2, "+ b", "CMSY10", 120.0, 114.0, 280.0, 124.0), (3, 3, "(1)", "Serif", 400.0, 101.0, 420.0, 111.0), (4, 4, "x = y", "Serif", 100.0, 200.0, 200.0, 210.0), (4, 5, "(2)", "Serif", 400.0, 200.0, 420.0, 210.0),
         (5, 6, "A paragraph of eight words that ends here with = and more words.", "Serif", 100.0, 300.0, 500.0, 310.0), (5, 7, "(9)", "Serif", 400.0, 312.0, 420.0, 320.0), (6, 8, "plain", "Serif", 100.0, 400.0, 200.0, 410.0), (7, 9, "(8)", "Serif", 400.0, 600.0, 420.0, 610.0), (8, 10, "k", "Symbol", 100.0, 700.0, 110.0, 710.0),
     )
     lines = _each(spark, sf_dir, rows).withColumns({"page": F.lit(1), "rotated": F.lit(False)})
@@ -74,8 +74,8 @@ def linked_paragraphs(spark, sf_dir):
     paras = _each(spark, sf_dir, _rows("para_no text", (1, "See Silva (2010) & Silva (2010), Figura 1 and Figura 12[^a]."), (2, "[^1,3] x[^2-3] tabela 2, Eq. (4)[^a]")))
     cites = _each(spark, sf_dir, _rows("cit_no text rid", (1, "Silva (2010)", "B1"), (2, "Nobody (1999)", "B2")))
     things = _each(spark, sf_dir, _rows("kind number rid", ("fig", "1", "f1"), ("table", "2", "t2"), ("equation", "4", "e1")))
-    notes = o.select(K.alias("doc_id"), F.lit("a").alias("label"), F.lit(1).alias("note_no"), F.lit("fn1").alias("id"))
-    numeric = o.where("o_orderkey % 2 = 0").select(K.alias("doc_id"), F.lit(3).alias("n"))
+    notes = o.select(K().alias("doc_id"), F.lit("a").alias("label"), F.lit(1).alias("note_no"), F.lit("fn1").alias("id"))
+    numeric = o.where("o_orderkey % 2 = 0").select(K().alias("doc_id"), F.lit(3).alias("n"))
     return xml.marked_paragraphs(paras, cites, things, notes, numeric)
 
 
@@ -84,7 +84,7 @@ SELECT o_orderkey AS doc_id, CAST(pos AS INTEGER) AS pos, surname, orcid, remove
 """)
 def item_overlays(spark, sf_dir):
     items = _each(spark, sf_dir, _rows("pos surname orcid", (0, "S0", "o0"), (1, "S1", "o1")))
-    edits = _rows("field value", (F.when(K % 2 == 0, "author_0_surname").otherwise("other"), "New"), ("author_1_orcid", " "), (F.when(K % 3 == 0, "author_1_remove").otherwise("doi"), "1"), ("author_2_surname", "Added"), ("author_3_surname", ""), ("aff_0_city", "Rio"))
+    edits = _rows("field value", (F.when(K() % 2 == 0, "author_0_surname").otherwise("other"), "New"), ("author_1_orcid", " "), (F.when(K() % 3 == 0, "author_1_remove").otherwise("doi"), "1"), ("author_2_surname", "Added"), ("author_3_surname", ""), ("aff_0_city", "Rio"))
     return overlay.apply_item_edits(items, overlay.item_edits(_each(spark, sf_dir, edits), "doc_id"), "doc_id", "author", ["surname", "orcid"])
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import naming, tables, text
-from quire.operators import layout, references, reports, xml
+from quire.operators import folds, layout, references, reports, xml
 from quire.plans.document_queries import docx_bytes
 from quire.sources import docx
 from quire.streaming import queues
@@ -171,6 +171,9 @@ R = "<m:r><m:t>{}</m:t></m:r>"
         ("<m:sSup><m:e>" + R.format("x") + "</m:e><m:sup>" + R.format("2") + "</m:sup></m:sSup>", "<msup><mrow><mi>x</mi></mrow><mrow><mn>2</mn></mrow></msup>"),
         ("<m:rad><m:e>" + R.format("x+1") + "</m:e></m:rad>", "<msqrt><mrow><mi>x</mi><mo>+</mo><mn>1</mn></mrow></msqrt>"),
         ("<m:d><m:e>" + R.format("y") + "</m:e></m:d>", "<mo>(</mo><mi>y</mi><mo>)</mo>"),
+        (R.format("E = mc"), "<mi>E</mi><mo>=</mo><mi>mc</mi>"),
+        ("<m:sSub><m:e>" + R.format("a") + "</m:e><m:sub>" + R.format("i") + "</m:sub></m:sSub>", "<msub><mrow><mi>a</mi></mrow><mrow><mi>i</mi></mrow></msub>"),
+        ('<m:nary><m:naryPr><m:chr m:val="∑"/></m:naryPr><m:sub>' + R.format("i") + "</m:sub><m:sup>" + R.format("n") + "</m:sup><m:e>" + R.format("x") + "</m:e></m:nary>", "<munderover><mo>∑</mo>"),
         ("<m:nary><m:sub>" + R.format("0") + "</m:sub><m:sup/><m:e>" + R.format("f") + "</m:e></m:nary>", "<munderover><mo>∫</mo><mrow><mn>0</mn></mrow><mrow></mrow></munderover><mi>f</mi>"),
     ],
 )
@@ -182,11 +185,47 @@ def test_docx_files(spark, tmp_path):
     (tmp_path / "a.docx").write_bytes(docx_bytes([("Title", "T"), ("", "x" * 20 + "y" + "x" * 20 + "y")]))
     (tmp_path / "bad.docx").write_bytes(b"no zip")
     got = docx.read(spark, str(tmp_path)).orderBy("line_no").collect()
-    assert [(r.style, r.size, r.text) for r in got] == [("Title", 18.0, "T"), ("", 11.0, "x" * 20 + "y")]
+    assert [(r.style, r.size, r.text) for r in got] == [("Title", 17.0, "T"), ("", 10.5, "x" * 20 + "y")]
     sizes = spark.createDataFrame([("a.docx", 1), ("b.txt", 1), ("c.PDF", 10**9)], "path string, length long")
     assert [r.fault for r in docx.accepted(sizes).orderBy("path").collect()] == [None, "type", "size"]
 
 
+def test_styles_by_runs_and_switched_off_properties():
+    run = lambda props, text: f"<w:r><w:rPr>{props}</w:rPr><w:t>{text}</w:t></w:r>"
+    cases = [
+        (run('<w:b w:val="0"/>', "long text here") + run("<w:b/>", "x"), False),
+        (run("<w:b/>", "x") + run('<w:b w:val="true"/>', "y") + run("", "a much longer run of text"), True),
+        (run('<w:b w:val="off"/>', "x"), False),
+    ]
+    for runs, bold in cases:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="{docx.W[1:-1]}"><w:body><w:p><w:pPr><w:pStyle w:val="HEADING1"/></w:pPr>{runs}</w:p></w:body></w:document>')
+        line = docx.read_lines("p", out.getvalue())[0]
+        assert line[3] == 13.5 and line[4] is bold
+
+
+def test_limiters_agree_with_a_plain_fold(spark):
+    rows = [(i, f"ip{i % 2}", f"m{i % 3}", datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=37 * i), i % 11 == 7) for i in range(120)]
+    df = spark.createDataFrame(rows, "n int, ip string, email string, at timestamp, ok boolean")
+
+    def plain(key, clears):
+        state, out = {}, {}
+        for n, ip, email, at, ok in rows:
+            k = (ip, email)[key]
+            kept = [f for f in state.get(k, []) if (at - f).total_seconds() < 900]
+            out[n] = len(kept) >= 5
+            state[k] = kept if out[n] or (ok and not clears) else [] if ok else [*kept, at]
+        return out
+
+    by_mail = plain(1, True)
+    got = {r.n: r.blocked for r in folds.rate_limit(df, "email", "at", "n", F.col("ok"), 5, 900).collect()}
+    assert got == by_mail and any(got.values()) and not all(got.values())
+    both = {r.n: r.blocked for r in folds.login_limit(df, "ip", "email", "at", "n", F.col("ok"), 5, 900).collect()}
+    by_ip = plain(0, False)
+    assert both == {n: by_ip[n] or by_mail[n] for n in by_ip}
+
+
 def stream(spark, tmp_path, rows, schema, name):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name))
     return spark.readStream.schema(schema).parquet(str(tmp_path / name))
