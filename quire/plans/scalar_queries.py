@@ -14,6 +14,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df over all tasks where it has fewer partitions than these (a small file is one): for steps that cost far more than
+    moving their rows. Larger inputs stay as they are."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
@@ -101,7 +108,8 @@ SELECT doc_id, lang AS declared, CASE WHEN n >= 3 AND a.score >= 0.08 AND a.scor
 
 @query(_LANGUAGE)
 def language_detect(spark, sf_dir):
-    found = _table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("declared"), text.language(F.col("text")).alias("x"))
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    found = docs.select("doc_id", F.col("lang").alias("declared"), text.language(F.col("text")).alias("x"))
     return found.select("doc_id", "declared", F.col("x.lang").alias("detected"), F.col("x.confidence").alias("confidence"))
 
 
