@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 Step = Callable[..., tuple]
 
@@ -18,9 +19,7 @@ Step = Callable[..., tuple]
 def sorted_fold(rows: DataFrame, keys: list[str], order: list[str], make: Callable[[], Step], added: str) -> DataFrame:
     """rows with the columns added (as DDL): for each key a step from make() is called with the columns of order and then
     all others, as keyword arguments, in order; it returns the values of the added columns."""
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    new = _parse_datatype_string(added)
+    new = StructType.fromDDL(added)
     schema = StructType([*rows.schema.fields, *new.fields])
     names = rows.columns
 
