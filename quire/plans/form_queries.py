@@ -270,7 +270,7 @@ def best_grids(spark, sf_dir):
     return forms.best_grid(_table(spark, sf_dir, "part").select(F.col("p_size").alias("place"), k.alias("grid_no"), (k % 5).alias("rows"), (k % 4).alias("cols")), ["place"])
 
 
-@query("SELECT l_orderkey AS doc_id, l_linenumber AS line_no, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY round_even(l_quantity / 2, 0), l_extendedprice, l_linenumber) AS INTEGER) AS place, array_to_string(list_distinct_in_order, ',') AS kinds FROM lineitem JOIN (SELECT l_orderkey AS o, list(f ORDER BY first) AS list_distinct_in_order FROM (SELECT l_orderkey, l_returnflag AS f, min(l_linenumber * 1000000 + l_partkey) AS first FROM lineitem GROUP BY ALL) GROUP BY l_orderkey) ON o = l_orderkey")
+@query("SELECT l_orderkey AS doc_id, l_linenumber AS line_no, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY round_even(l_quantity / 2, 0), l_extendedprice, l_linenumber) AS INTEGER) AS place, array_to_string(list_distinct_in_order, ',') AS kinds FROM lineitem JOIN (SELECT l_orderkey AS o, list(f ORDER BY first, f) AS list_distinct_in_order FROM (SELECT l_orderkey, l_returnflag AS f, min(l_linenumber * 1000000 + l_partkey) AS first FROM lineitem GROUP BY ALL) GROUP BY l_orderkey) ON o = l_orderkey")
 def reading_order(spark, sf_dir):
     i = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line_no"), F.col("l_quantity").alias("y0"), F.col("l_extendedprice").alias("x0"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("seq"), F.col("l_returnflag").alias("flag"))
     kinds = i.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "flag"))), lambda s: s["flag"]).alias("flags")).select("doc_id", F.array_join(forms.distinct_in_order(F.col("flags")), ",").alias("kinds"))
