@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, chat, crf, decontaminate, htmltext, neardup, packing, pieces, pii, shards
+from . import bitslice, chat, collocations, crf, decontaminate, htmltext, neardup, packing, pieces, pii, quality, resample, shards
 from .common import table
 
 
@@ -69,6 +69,19 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_rows(chat.format_chats(rows.unionByName(extra)))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest_rows(quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_sharding": op2_sharding,
@@ -80,4 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_decontamination": op9_decontamination,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_collocations": op11_collocations,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_quality_rules": op13_quality_rules,
 }
