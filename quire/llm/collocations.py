@@ -74,7 +74,7 @@ class Phrases:
         out = hashes * _MIX
         for k in range(1, n):
             out = (out ^ (out >> np.uint64(29))) * _MIX
-            out[: len(out) - k] += hashes[k:]
+            out[: max(len(out) - k, 0)] += hashes[k:]
         return out ^ (out >> np.uint64(32))
 
 
@@ -116,7 +116,7 @@ def _rows(docs: DataFrame, n: int, bitmap: np.ndarray | None) -> DataFrame:
                     if n == 1:
                         keys.append(None)
                         numbers.append(sum(numbers))
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys, pa.binary()).cast(pa.string()), pa.array(numbers, pa.int64())], names)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.binary()).cast(pa.string()), pa.array(numbers, pa.int64())], names)
 
     return docs.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 

@@ -73,14 +73,15 @@ WITH docs AS (
 ), grams AS (
   SELECT lang, n AS size, array_to_string(w[i : i + n - 1], ' ') AS phrase
   FROM (SELECT lang, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM pieces, range(1, 5) AS sizes(n) WHERE len(w) >= n)
-), f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL
+), f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL
 ), total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang
-), candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size >= 2 AND f >= 30
+), candidates AS MATERIALIZED (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size >= 2 AND f >= 30
+), halves AS MATERIALIZED (
+  SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 :], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)
 ), cuts AS (
   SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, CAST(floor(CAST(2000000 AS HUGEINT) * a // (CAST(l.f AS HUGEINT) + r.f)) AS BIGINT) AS score
-  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
-  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1 : k], ' ')
-  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1 :], ' ')
+  FROM halves c JOIN f l ON l.lang = c.lang AND l.phrase = head JOIN f r ON r.lang = c.lang AND r.phrase = tail
 ), weakest AS (
   SELECT lang, phrase, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
 ), inner_phrases AS (

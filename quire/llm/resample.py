@@ -104,7 +104,7 @@ class Features:
         flat = [w for p in parts for w in p]
         own = np.fromiter(map(self.known.__getitem__, flat), dtype=np.uint32, count=len(flat))
         owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        yield own % self.n_buckets, owner
+        yield own.astype(np.int64) % self.n_buckets, owner
         if self.max_n == 1:
             return
         lengths = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat))
@@ -116,7 +116,7 @@ class Features:
             spaced = self.shift(crcs[: len(flat) - n + 1], np.ones(len(flat) - n + 1, dtype=np.int64)) ^ self.space
             crcs = self.shift(spaced, lengths[last]) ^ own[last]
             inside = owner[: len(flat) - n + 1] == owner[last]
-            yield crcs[inside] % self.n_buckets, owner[last][inside]
+            yield crcs[inside].astype(np.int64) % self.n_buckets, owner[last][inside]
 
 
 def bucket_counts(rows: DataFrame, text_col: str = "text", max_n: int = MAX_N, n_buckets: int = N_BUCKETS) -> DataFrame:
