@@ -90,7 +90,7 @@ class Features:
 
     def __init__(self, max_n: int = MAX_N, n_buckets: int = N_BUCKETS):
         self.max_n, self.n_buckets = max_n, n_buckets
-        self.known, self.shift = _Known(), Shifter()
+        self.known, self.shift = _Known(), Shifter() if max_n > 1 else None
         self.space = np.uint32(zlib.crc32(b" "))
 
     def __call__(self, texts: list[str | None]) -> tuple[list[int], Iterator[tuple[np.ndarray, np.ndarray]]]:

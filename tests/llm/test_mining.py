@@ -89,7 +89,8 @@ def test_resampling_equals_plain_version(spark, max_n):
     df = made(spark, rows, "doc_id long, text string, _part int")
     got = resample.resample(df, made(spark, [(b,) for b in bench], "text string"), max_n=max_n, n_buckets=50, part_rows=9)
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(FOLD))
-    buckets = lambda t: [zlib.crc32(" ".join(words(t)[k : k + n]).encode()) % 50 for n in range(1, max_n + 1) for k in range(len(words(t)) - n + 1)]
+    runs = lambda w: [zlib.crc32(" ".join(w[k : k + n]).encode()) % 50 for n in range(1, max_n + 1) for k in range(len(w) - n + 1)]
+    buckets = lambda t: runs(words(t))
     s, t = Counter(b for _, x, _ in rows for b in buckets(x)), Counter(b for x in bench for b in buckets(x))
     gain = [math.floor(1000 * math.log((t[b] + 1) * (s.total() + 50) / ((s[b] + 1) * (t.total() + 50)))) for b in range(50)]
     want = []
