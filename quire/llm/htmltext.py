@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from .common import free_name
 
 _TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: One attribute: its name and, in quotes or bare, its value. Attributes are read one after the other from the start.
+_ATTRIBUTE = re.compile(r"""([^\s"'/=>][^\s/=>]*)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>]+))?|"[^"]*"?|'[^']*'?|[\s/=>]+""")
 _PARTS = re.compile(r"[^a-z0-9]+")
 _HUMPS = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: Elements whose content is no text.
@@ -39,7 +40,7 @@ AREAS = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "fieldset"}
 #: Parts of names in class, id and role that mark areas of boilerplate.
 MARKS = set("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social newsletter subscribe signup login search form comment comments disqus replies pagination pager copyright toolbar dialog alert complementary contentinfo".split())
 #: Parts that may stand beside them.
-BESIDE = set("a the and main site page global top bottom left right primary secondary inner outer list lists item items box bar block blocks container content wrapper wrap section area slot unit group row col column link links button buttons icon icons post posts article articles stories thread user users reader js l r text title media fixed sticky mobile desktop skip to us".split())
+BESIDE = set("a the and main site page global top bottom left right primary secondary inner outer list lists item items box bar block blocks container content wrapper wrap section area slot unit group row col column label labels link links button buttons icon icons post posts article articles stories thread user users reader js l r text title media fixed sticky mobile desktop skip to us".split())
 #: Marks of what may also head an article's own text.
 HEADS = {"header", "masthead"}
 
@@ -60,13 +61,17 @@ def _named(value: str, in_article: bool) -> bool:
     return bool(marks) and parts <= MARKS | BESIDE
 
 
+def _attributes(text: str) -> list[tuple[str, str]]:
+    """Names, in lower case, and values of a tag's attributes."""
+    return [(key.lower(), value[1:].removesuffix(value[0]) if value[:1] in ('"', "'") else value) for key, value in _ATTRIBUTE.findall(text) if key]
+
+
 def _marked(name: str, attributes: str, in_article: bool) -> bool:
     if name in AREAS:
         return True
     if not attributes:
         return False
-    for key, value in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'")
+    for key, value in _attributes(attributes):
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.lower().replace(" ", ""):
             return True
         if key in ("class", "id", "role") and any(_named(_HUMPS.sub("-", x).lower(), in_article) for x in value.split()):
@@ -140,7 +145,7 @@ def blocks(page: str) -> list[Block]:
         if stack and name in ("li", "dt", "dd", "td", "th", "tr", "option") and stack[-1][0] in (name, "dt", "dd", "td", "th") and (name != "tr" or stack[-1][0] in ("td", "th", "tr")) and name in ("tr", stack[-1][0]):
             stack.pop()
         _, article, area = stack[-1] if stack else ("", False, False)
-        own = name in ("article", "main") or bool(m[3]) and 'role="main"' in m[3]
+        own = name in ("article", "main") or "role" in m[3].lower() and ("role", "main") in _attributes(m[3])
         stack.append((name, article or own, area or name == "header" and not article or name not in ("body", "html", "article", "main") and _marked(name, m[3], article)))
     flush()
     return out
@@ -157,12 +162,23 @@ LABELLED = (
     "-x15 -x4/4 +h4@ +p1@ +p25/8@ +p12/12@ +x2@ +x1@ +x45@ -p30@! -p22 -p3/1",
     "+h3@ +p3@ +x4@",
     "-x1/1! +p9@ +x40@ +x2@",
+    # pages that end with their article
+    "-x1/1! -x2/2! +h4@ +p20@ +p20@",
+    "+h6@ +p48@ +p7@",
+    "-x2/2! +h3@ +p90/2@ +p33@ +p110@",
+    "-x3/3 -x1/1 +h8@ +p15@ +x4@ +p5@",
+    "+h2@ +p17@ +p70@ +x25@",
+    "-x1/1! +p30@ +p3@ +p60@ +p12@",
     "-p12 -h6 +p50@ +x7/3@ +p5/5@ +h3@ +x14@ -p55 -x2/2",
     # pages without one: the text stands in plain paragraphs and divisions
     "-x1/1 -x1/1 -x1/1 -x2/2 +h6 +p55 +p40/3 +h2 +p9 +p70 -x3/3 -x2/2 -x5",
     "+h2 +p1",
     "+h4 +p2 +p3 +p1 +p30",
     "+p18 +p4 +p6/2 +p28/4",
+    "+h5 +p20 +p20",
+    "-x1/1 -x2/2 +h4 +p40 +p65 +p18",
+    "+p24 +p9 +p80 +x30",
+    "-x2/2 -x3/3 +h3 +p16 +p5",
     "-x2/2 -x2/2 -x3/3 -h2 -x2/2 -x4/4 +h8 +p35 +x12 +x9 +p20 -h1 -x5/5 -x6/6 -x4/4",
     "+x60 +x45/3 +x80 +x22 -x2/2 -x1/1",
     "-x3 -x1/1 -x1/1 +x50/2 +x8 +x65 -x6",
@@ -198,6 +214,10 @@ class Split(NamedTuple):
     no: Leaf | Split
 
 
+#: Blocks that either side of a split has at least.
+LEAST_BLOCKS = 3
+
+
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Leaf | Split:
     """A CART tree by Gini impurity; equal gains go to the first feature and the lowest threshold."""
     label = Leaf(int(2 * y.sum() > len(y)))
@@ -209,6 +229,8 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Leaf | Split:
         values = np.unique(x[:, feature])
         for most in (values[1:] + values[:-1]) / 2:
             left = x[:, feature] <= most
+            if min(left.sum(), (~left).sum()) < LEAST_BLOCKS:
+                continue
             cost = gini(y[left]) + gini(y[~left])
             if best is None or cost < best[0] - 1e-12:
                 best = (cost, feature, float(most))

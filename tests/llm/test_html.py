@@ -1,5 +1,7 @@
 """Main-text extraction: the tree on held-out pages, cases of boilerplate and article text, and odd tables."""
 
+import random
+
 import pytest
 
 from quire.llm import htmltext
@@ -49,12 +51,28 @@ def test_tree_uses_the_neighbours():
         ('<article><p>Our text.</p><div id="AdSlot-3"><p>Buy more things today.</p></div><form><p>Name</p></form></article>', "Our text."),
         ('<article><header class="article-header"><h2>Head &amp; more</h2></header><p>a\n b<br>c</p></article>', "Head & more\na b c"),
         ('<div class="cookie-notice">We use cookies on all of our pages.</div><article><p>Our text.</p></article><div hidden>gone</div>', "Our text."),
+        ('<article><p>Our text.</p><div class="ad__label">Advert</div></article>', "Our text."),
+        *[(f"<article><p>Our text.</p><p {a}>Goes on here.</p></article>", "Our text.\nGoes on here.") for a in ('data-id="menu"', 'title="the hidden truth"', "data-note='not hidden'", 'data-hidden="false"', 'data-testid="header"', 'alt="class=menu"', "x=\"id='nav'\"", "data-role=navigation")],
+        *[(f"<article><p>Our text.</p><p {a}>Goes on here.</p></article>", "Our text.") for a in ("hidden", "HIDDEN=''", 'x="a>b" hidden', "class=menu", "data-x='1' ID = \"main-menu\"", 'style="display : none"')],
+        ('<div role="main"><p>Our own text stands here.</p></div><p>Outside of it</p>', "Our own text stands here."),
+        ("<article><h1>A title of it</h1><p>" + "word " * 20 + "</p><p>" + "word " * 20 + "</p></article>", "A title of it\n" + "word " * 19 + "word\n" + "word " * 19 + "word"),
     ],
 )
 def test_main_text_cases(page, text):
     assert htmltext.main_text(page, htmltext.trained()) == text
 
 
+def test_pages_that_end_with_their_article_lose_nothing():
+    rng, tree = random.Random(3), htmltext.trained()
+    words = lambda n: " ".join(rng.choice(["one", "two", "three", "four"]) for _ in range(n))
+    for _ in range(400):
+        paragraphs = [words(rng.randrange(5, 120)) for _ in range(rng.randrange(1, 9))]
+        title, wrap = words(rng.randrange(2, 9)), rng.choice(["article", "main", "div"])
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        page = f'<nav><a href="x">Home</a> <a href="y">About us</a></nav><{wrap}><h1>{title}</h1>{body}</{wrap}>'
+        assert htmltext.main_text(page, tree) == "\n".join([title, *paragraphs])
+
+
 def test_extract_defined_results(spark):
     schema = "page_id long, html string, HTML_size int, url string"
     rows = [(1, None, 1, "a"), (2, "", None, None), (3, "<article><p>" + "long text " * 200_000 + "</p></article>", 3, "c"), (None, "<p>Some words of a page that stand here</p>", 4, "d"), (None, "<p>Some words of a page that stand here</p>", 4, "d")]
