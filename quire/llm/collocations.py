@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,9 @@ MOST_BITS = 28
 SALTS = 32
 #: Code points of text whose phrases a worker counts together, and words whose hashes it remembers at most.
 BATCH_CHARS, CACHE = 2_000_000, 500_000
-#: What ends a piece becomes a word of its own, \n; blanks part words; A-Z become a-z.
-_FOLD = bytes(10 if chr(c) in ".,;:!?\n\v\f\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_END = b"\n"
+#: What ends a piece becomes a word of its own, which no other word can be; A-Z become a-z.
+_END = b"."
+_FOLD = bytes(_END[0] if chr(c) in ".,;:!?\n\v\f\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,16 +58,19 @@ class Phrases:
     def __init__(self) -> None:
         self.known = _Known()
 
-    def read(self, lang: str, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The words of all texts, with an end after each piece; their hashes; how many words follow in the piece."""
+    @staticmethod
+    def words(texts: list[str]) -> list[bytes]:
+        """The words of all texts, with _END after each piece. Only space and tab are left as blanks for split()."""
+        return "\n".join([*texts, ""]).encode("utf-8", "surrogatepass").translate(_FOLD).replace(_END, b" . ").split()
+
+    def read(self, lang: str, flat: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' hashes, and how many words follow in the piece from each on."""
         if len(self.known) > CACHE:
             self.known = _Known()
-        data = "\n".join([*texts, ""]).encode("utf-8", "surrogatepass").translate(_FOLD).replace(_END, b" \n ")
-        flat = [w for w in data.split(b" ") if w]
         hashes = np.fromiter(map(self.known.__getitem__, flat), dtype=np.uint64, count=len(flat))
         ends = np.flatnonzero(hashes == np.uint64(self.known[_END]))
-        run = ends[np.searchsorted(ends, np.arange(len(flat)))] - np.arange(len(flat)) if len(flat) else np.zeros(0, dtype=np.int64)
-        return flat, hashes ^ np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 1)), run
+        run = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(flat))
+        return hashes ^ np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 1)), run
 
     @staticmethod
     def hashed(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -88,18 +92,16 @@ def _rows(docs: DataFrame, n: int, bitmap: np.ndarray | None) -> DataFrame:
     names = ["lang", "phrase", "f"]
 
     def count(phrases: Phrases, lang: str, texts: list[str]) -> Counter:
-        flat, hashes, run = phrases.read(lang, texts)
-        if n == 1:
+        flat = phrases.words(texts)
+        if shared is None:
             found = Counter(flat)
             del found[_END]
             return found
-        at = np.flatnonzero(run >= n)
-        if shared is not None:
-            bits = int(shared.value.size * 8).bit_length() - 1
-            place = _bits(phrases.hashed(hashes, n - 1), bits)
-            frequent = (shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-            at = at[frequent[at] & frequent[at + 1]]
-        return Counter(b" ".join(flat[i : i + n]) for i in at.tolist())
+        hashes, run = phrases.read(lang, flat)
+        place = _bits(phrases.hashed(hashes, n - 1), int(shared.value.size * 8).bit_length() - 1)
+        frequent = (shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+        taken = (run >= n) & frequent & np.append(frequent[1:], False)
+        return Counter(map(b" ".join, compress(zip(*[flat[k:] for k in range(n)]), taken.tolist())))  # noqa: B905
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases()
@@ -131,7 +133,7 @@ def _bitmap(frequent: DataFrame, n: int, bits: int) -> np.ndarray:
             for lang, phrase in zip(*batch.to_pydict().values(), strict=True):
                 by.setdefault(lang, []).append(phrase)
             for lang, found in by.items():
-                flat, hashes, left = phrases.read(lang, found)
+                hashes, left = phrases.read(lang, phrases.words(found))
                 place = _bits(phrases.hashed(hashes, n)[left == n], bits)
                 yield pa.RecordBatch.from_arrays([pa.array(place >> 6, pa.int64()), pa.array((np.uint64(1) << (place & 63).astype(np.uint64)).view(np.int64), pa.int64())], ["block", "bits"])
 
@@ -149,6 +151,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     for n in range(1, max_n + 1):
         made = cut(_rows(rows, n, bitmap).where((F.col("f") >= least) | F.col("phrase").isNull()))
         found.append(made.withColumn("size", F.lit(n)))
+        rows.sparkSession.sparkContext._jvm.System.gc()  # this round's shuffle files go before the next one's come
         frequent = made.where("phrase is not null")
         if n < max_n:
             bits = min(MOST_BITS, max(10, (16 * frequent.count()).bit_length()))
