@@ -43,17 +43,34 @@ def _got(x: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(x, pattern, group), F.lit(""))
 
 
+#: What stands at the end of a name and isn't the name's.
+MARKS = "0123456789*†‡§"
+_APART = " \t,;"
+
+
+def _marked(x: Column) -> Column:
+    """A line up to the marks at its end."""
+    return F.rtrim(x, F.lit(MARKS + _APART))
+
+
 def markers(x: Column) -> Column:
-    """Author markers of a line: runs of superscripts as digits, else digits or asterisks at its end; each once."""
+    """Author markers of a line: runs of superscripts as digits, else digits, asterisks or daggers at its end; each once."""
     raised = F.transform(F.regexp_extract_all(x, F.lit(f"[{SUPERSCRIPTS}]+"), F.lit(0)), lambda r: F.translate(r, SUPERSCRIPTS, "1234567890"))
-    tail = F.regexp_extract_all(F.regexp_extract(x, r"((?:[\s,;]*(?:\d{1,2}|\*{1,4}|[†‡§]))+)\s*$", 1), F.lit(r"\d{1,2}|\*{1,4}|[†‡§]"), F.lit(0))
-    return F.array_distinct(F.when(F.size(raised) > 0, raised).otherwise(tail))
+    tail = F.substring(x, F.length(_marked(x)) + 1, F.length(x))
+    # each kind of mark has a place of its own: numbers, runs of asterisks, single signs
+    spread = reduce(lambda t, sign: F.replace(t, F.lit(sign), F.lit(f" {sign} ")), "†‡§", F.regexp_replace(F.regexp_replace(tail, "([0-9]+)", " $1 "), r"(\*+)", " $1 "))
+    found = F.filter(F.split(F.translate(spread, _APART, "    "), " +"), lambda m: F.length(m).between(1, F.when(F.startswith(m, F.lit("*")), 4).otherwise(2)))
+    return F.array_distinct(F.when(F.size(raised) > 0, raised).otherwise(found))
 
 
 def without_markers(x: Column) -> Column:
     """A name without its markers."""
-    bare = F.regexp_replace(F.regexp_replace(x, f"[{SUPERSCRIPTS}]+", " "), r"[\s,]*(?:\d{1,2}|\*{1,4}|[†‡§])(?:[,;\s]*(?:\d{1,2}|\*{1,4}|[†‡§]))*\s*$", "")
-    return F.btrim(F.regexp_replace(bare, r"^\s*(?:\*{1,4}|\d{1,2})\s+", ""), F.lit(" ,;."))
+    name = _marked(F.translate(x, SUPERSCRIPTS, " " * len(SUPERSCRIPTS)))
+    t = F.ltrim(F.regexp_replace(name, r"\s+", " "))
+    first = F.substring_index(t, " ", 1)
+    only = lambda signs: F.btrim(first, F.lit(signs)) == ""
+    leading = (first != "") & (F.length(first) < F.length(t)) & ((only("*") & (F.length(first) <= 4)) | (only("0123456789") & (F.length(first) <= 2)))
+    return F.btrim(F.when(leading, F.substring(t, F.length(first) + 1, F.length(t))).otherwise(t), F.lit(" ,;."))
 
 
 def without_quotes(lines: Column) -> Column:
@@ -214,6 +231,42 @@ def sidebar_emails(authors: DataFrame, lines: DataFrame, reach: int = 5) -> Data
     return near.groupBy("doc_id", "author").agg(F.min_by("email", "line_no").alias("email"))
 
 
+# Small words that lead from a division to its institution, and those within names of places.
+LEADING = ("da", "do", "de", "la", "del", "the", "of", "at")
+LEADING_PAIRS = ("de la", "of the")
+WITHIN_NAMES = ("de", "da", "do", "das", "dos")
+
+
+def _starts(x: Column, words) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.startswith(x, w))
+
+
+def _place(text: Column) -> Column:
+    """struct(city, state): the first part of two capitals, and the capitalised words that end the part before it."""
+    parts = F.transform(F.split(text, r"[-–/(),]"), lambda p: F.trim(p))
+    lead = lambda p: F.regexp_extract(p, r"^\p{L}+", 0)
+    capital = lambda w: w.rlike(r"^\p{Lu}\p{L}+$")
+
+    def city(part: Column) -> Column:
+        # backwards over the words: up to four capitalised ones, small ones only between them
+        def step(acc: Column, w: Column) -> Column:
+            more = F.struct(F.concat(F.array(w), acc["pending"], acc["taken"]).alias("taken"), F.expr("cast(array() as array<string>)").alias("pending"), (acc["n"] + 1).alias("n"), F.lit(True).alias("open"))
+            between = F.struct(acc["taken"].alias("taken"), F.array(w).alias("pending"), acc["n"].alias("n"), F.lit(True).alias("open"))
+            shut = F.struct(acc["taken"].alias("taken"), acc["pending"].alias("pending"), acc["n"].alias("n"), F.lit(False).alias("open"))
+            return F.when(~acc["open"], acc).when(capital(w) & (acc["n"] < 4), more).when(w.isin(*WITHIN_NAMES) & (acc["n"] > 0) & (F.size(acc["pending"]) == 0), between).otherwise(shut)
+
+        none = F.expr("cast(array() as array<string>)")
+        start = F.struct(none.alias("taken"), none.alias("pending"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+        return F.array_join(F.aggregate(F.reverse(F.split(part, r"\s+")), start, step)["taken"], " ")
+
+    def read(p: Column) -> Column:
+        states = lambda i: (F.length(lead(F.get(p, i))) == 2) & lead(F.get(p, i)).rlike("^[A-Z]{2}$") & (city(F.get(p, i - 1)) != "")
+        at = F.when(F.size(p) > 1, F.get(F.filter(F.sequence(F.lit(1), F.size(p) - 1), states), F.lit(0)))
+        return F.struct(F.when(at.isNotNull(), city(F.get(p, at - 1))).alias("city"), F.when(at.isNotNull(), lead(F.get(p, at))).alias("state"))
+
+    return F.transform(F.array(parts), read)[0]
+
+
 def affiliation(text: Column, structured: Column) -> Column:
     """struct(institution, division, city, state, country): structured lines by their commas, prose by its words."""
     iso = last_country(text)["iso"]
@@ -227,15 +280,18 @@ def affiliation(text: Column, structured: Column) -> Column:
     where = F.regexp_instr(flat, F.lit(rf"(?i)(?<!\p{{L}})(?:{'|'.join(INSTITUTIONS)})"))
     named = F.regexp_extract(F.when(where > 0, F.substring(text, where, F.length(text))), r"^([^.;(),]*)", 1)
     named = F.btrim(F.regexp_replace(named, r"\s(?:e|and|y)\s(?=\p{Ll}).*$", ""), F.lit(" -–"))
-    split = rf"(?i)^((?:{'|'.join(DIVISIONS)})\S*(?:\s.*?)?)\s+(?:da|do|de|de la|del|of the|of|at)\s+((?:{'|'.join(w for w in INSTITUTIONS[:18])}).*)$"
-    inner = fold(named)
-    division = F.when(inner.rlike(split), F.substring(named, F.lit(1), F.length(F.regexp_extract(inner, split, 1))))
-    whole = F.when(inner.rlike(split), F.substring(named, F.length(named) - F.length(F.regexp_extract(inner, split, 2)) + 1, F.length(named))).otherwise(named)
-    place = r"(\p{Lu}[\p{L}]+(?:\s+(?:(?:de|da|do|das|dos)\s+)?\p{Lu}[\p{L}]+){0,3})\s*(?:[-–/(]|,)\s*\(?\s*([A-Z]{2})(?!\p{L})"
+    # a division's name ends before the small word that leads to an institution's
+    words, flat_words = F.split(named, r"\s+"), F.split(F.lower(fold(named)), r"\s+")
+    led = lambda i: F.get(flat_words, i - 1).isin(*LEADING) & _starts(F.array_join(F.slice(flat_words, i + 1, F.size(flat_words)), " "), INSTITUTIONS[:18])
+    at = F.when(_starts(F.lower(fold(named)), DIVISIONS) & (F.size(words) > 2), F.get(F.filter(F.sequence(F.lit(2), F.size(words) - 1), led), F.lit(0)))
+    two = F.array_join(F.slice(flat_words, F.greatest(at - 1, F.lit(1)), F.lit(2)), " ").isin(*LEADING_PAIRS) & (at > 2)
+    division = F.array_join(F.slice(words, F.lit(1), F.greatest(at - F.when(two, 2).otherwise(1), F.lit(0))), " ")
+    whole = F.when(at.isNotNull(), F.array_join(F.slice(words, F.coalesce(at, F.lit(0)) + 1, F.size(words)), " ")).otherwise(named)
+    place = _place(text)
     none = F.lit(None).cast("string")
     some = lambda x: F.nullif(x, F.lit(""))
     return F.when(by_comma, F.struct(F.btrim(parts[0], F.lit(" .,;:-–")).alias("institution"), none.alias("division"), city.alias("city"), state.alias("state"), iso.alias("country"))).otherwise(
-        F.struct(some(F.btrim(whole, F.lit(" .,;:-–"))).alias("institution"), division.alias("division"), _got(text, place, 1).alias("city"), _got(text, place, 2).alias("state"), iso.alias("country"))
+        F.struct(some(F.btrim(whole, F.lit(" .,;:-–"))).alias("institution"), F.when(at.isNotNull(), division).alias("division"), place["city"].alias("city"), place["state"].alias("state"), iso.alias("country"))
     )
 
 
