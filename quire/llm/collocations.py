@@ -17,6 +17,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
 from itertools import compress
@@ -151,7 +152,9 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     for n in range(1, max_n + 1):
         made = cut(_rows(rows, n, bitmap).where((F.col("f") >= least) | F.col("phrase").isNull()))
         found.append(made.withColumn("size", F.lit(n)))
-        rows.sparkSession.sparkContext._jvm.System.gc()  # this round's shuffle files go before the next one's come
+        # this round's shuffle files go before the next one's come: Spark drops them once nothing refers to their plan
+        gc.collect()
+        rows.sparkSession.sparkContext._jvm.System.gc()
         frequent = made.where("phrase is not null")
         if n < max_n:
             bits = min(MOST_BITS, max(10, (16 * frequent.count()).bit_length()))
