@@ -281,17 +281,26 @@ def affiliation(text: Column, structured: Column) -> Column:
     named = F.regexp_extract(F.when(where > 0, F.substring(text, where, F.length(text))), r"^([^.;(),]*)", 1)
     named = F.btrim(F.regexp_replace(named, r"\s(?:e|and|y)\s(?=\p{Ll}).*$", ""), F.lit(" -–"))
     # a division's name ends before the small word that leads to an institution's
-    words, flat_words = F.split(named, r"\s+"), F.split(F.lower(fold(named)), r"\s+")
-    led = lambda i: F.get(flat_words, i - 1).isin(*LEADING) & _starts(F.array_join(F.slice(flat_words, i + 1, F.size(flat_words)), " "), INSTITUTIONS[:18])
-    at = F.when(_starts(F.lower(fold(named)), DIVISIONS) & (F.size(words) > 2), F.get(F.filter(F.sequence(F.lit(2), F.size(words) - 1), led), F.lit(0)))
-    two = F.array_join(F.slice(flat_words, F.greatest(at - 1, F.lit(1)), F.lit(2)), " ").isin(*LEADING_PAIRS) & (at > 2)
-    division = F.array_join(F.slice(words, F.lit(1), F.greatest(at - F.when(two, 2).otherwise(1), F.lit(0))), " ")
-    whole = F.when(at.isNotNull(), F.array_join(F.slice(words, F.coalesce(at, F.lit(0)) + 1, F.size(words)), " ")).otherwise(named)
+    # (read once, as a struct of its words)
+    def parted(s: Column) -> Column:
+        words, flat_words = s["words"], s["flat"]
+        led = lambda i: F.get(flat_words, i - 1).isin(*LEADING) & _starts(F.array_join(F.slice(flat_words, i + 1, F.size(flat_words)), " "), INSTITUTIONS[:18])
+        first = F.when(_starts(F.array_join(flat_words, " "), DIVISIONS) & (F.size(words) > 2), F.get(F.filter(F.sequence(F.lit(2), F.size(words) - 1), led), F.lit(0)))
+        return F.transform(F.array(first), lambda at: cut_at(words, flat_words, at))[0]
+
+    def cut_at(words: Column, flat_words: Column, at: Column) -> Column:
+        two = F.array_join(F.slice(flat_words, F.greatest(at - 1, F.lit(1)), F.lit(2)), " ").isin(*LEADING_PAIRS) & (at > 2)
+        division = F.array_join(F.slice(words, F.lit(1), F.greatest(at - F.when(two, 2).otherwise(1), F.lit(0))), " ")
+        return F.when(at.isNotNull(), F.struct(division.alias("division"), F.array_join(F.slice(words, at + 1, F.size(words)), " ").alias("whole")))
+
+    named_words = F.struct(F.split(named, r"\s+").alias("words"), F.split(F.lower(fold(named)), r"\s+").alias("flat"))
+    both = F.transform(F.array(named_words), parted)[0]
+    whole = F.coalesce(both["whole"], named)
     place = _place(text)
     none = F.lit(None).cast("string")
     some = lambda x: F.nullif(x, F.lit(""))
     return F.when(by_comma, F.struct(F.btrim(parts[0], F.lit(" .,;:-–")).alias("institution"), none.alias("division"), city.alias("city"), state.alias("state"), iso.alias("country"))).otherwise(
-        F.struct(some(F.btrim(whole, F.lit(" .,;:-–"))).alias("institution"), F.when(at.isNotNull(), division).alias("division"), place["city"].alias("city"), place["state"].alias("state"), iso.alias("country"))
+        F.struct(some(F.btrim(whole, F.lit(" .,;:-–"))).alias("institution"), both["division"].alias("division"), place["city"].alias("city"), place["state"].alias("state"), iso.alias("country"))
     )
 
 
