@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import shared
 from quire.streaming import queues
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -29,8 +29,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared.folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _whole(df: DataFrame) -> DataFrame:
