@@ -14,7 +14,8 @@ def link_citations(citations: DataFrame, references: DataFrame) -> DataFrame:
     year agrees without its letter and one of whose surnames is the cited one, holds it as a word or starts with it. A
     reference without authors goes by its text up to the first comma or full stop, if references has a text.
 
-    An equi-join on document, year and the surname's first letters does the bulk; the rest is a residual predicate.
+    An equi-join on document, year and the first letters of the name or of a word of it (three, or all of a shorter cited
+    name) does the bulk; the rest is a residual predicate.
     """
     year = lambda c: F.regexp_replace(c, "[a-f]+$", "")
     cited = F.trim(normal_key(F.regexp_replace(F.regexp_replace(F.col("author"), r" (?:e|and|y) .*$|&.*$", ""), " et al", "")))
@@ -24,7 +25,9 @@ def link_citations(citations: DataFrame, references: DataFrame) -> DataFrame:
         surnames = F.when(F.exists(surnames, lambda s: s != ""), surnames).otherwise(F.array(normal_key(F.regexp_extract("text", "^([^,.]*)", 1))))
     names = references.select(F.col("doc_id").alias("_doc"), "ref_no", F.explode(surnames).alias("_name"), year(F.col("year")).alias("_ref_year")).where("_name <> ''")
     same = (F.col("_cited") == F.col("_name")) | F.array_contains(F.split("_name", " "), F.col("_cited")) | F.col("_name").startswith(F.col("_cited"))
-    hits = c.where("_cited <> ''").join(names, (F.col("doc_id") == F.col("_doc")) & (F.col("_year") == F.col("_ref_year")) & same).groupBy("doc_id", "cit_no").agg(F.min("ref_no").alias("ref_no"))
+    starts = lambda w: F.array(*[F.substring(w, 1, n) for n in (1, 2, 3)])
+    names = names.withColumn("_start", F.explode(F.array_distinct(F.concat(starts(F.col("_name")), F.flatten(F.transform(F.split("_name", " "), starts))))))
+    hits = c.where("_cited <> ''").join(names, (F.substring("_cited", 1, 3) == F.col("_start")) & (F.col("doc_id") == F.col("_doc")) & (F.col("_year") == F.col("_ref_year")) & same).groupBy("doc_id", "cit_no").agg(F.min("ref_no").alias("ref_no"))
     return citations.join(hits, ["doc_id", "cit_no"], "left")
 
 
@@ -38,10 +41,17 @@ def resolve_journals(docs: DataFrame, journals: DataFrame) -> DataFrame:
     return docs.join(found, "doc_id", "left").select("doc_id", F.coalesce("code", "_found").alias("journal"))
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], within: Column, distance: Column, right_id: str) -> DataFrame:
-    """Every left row with right_id of the right row of least distance among those that fit (smaller id on ties)."""
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], within: Column, distance: Column, right_id: str, reach: tuple[str, str, float, float]) -> DataFrame:
+    """Every left row with right_id of the right row of least distance among those that fit (smaller id on ties).
+
+    reach: a left and a right column of places, and from where to where the right place less the left one may lie; rows meet
+    only in buckets of that width, each left row in two or three. A row with a null place fits nothing.
+    """
     ids = [c for c in left.columns]
-    pairs = left.join(right, keys).where(within)
+    here, there, low, high = reach
+    bucket = lambda at: F.floor(at / max(high - low, 1.0))
+    spread = left.where(F.col(here).isNotNull()).withColumn("_bucket", F.explode(F.sequence(bucket(F.col(here) + low), bucket(F.col(here) + high))))
+    pairs = spread.join(right.withColumn("_bucket", bucket(F.col(there))), [*keys, "_bucket"]).where(within)
     best = pairs.groupBy(*ids).agg(F.min_by(right_id, F.struct(distance.alias("d"), F.col(right_id))).alias(right_id))
     return left.join(best, ids, "left")
 
