@@ -3,8 +3,8 @@
 Words are runs of ASCII digits, ASCII letters (lower-cased) and any non-ASCII characters. A window is WINDOW
 consecutive words of a benchmark item; an item of fewer words, but not none, is one window.
 
-Defined results: a null or wordless text has no words and no hits; a null or wordless item has no windows; a null item id is listed as the empty string; repeated
-items and repeated rows each count by themselves; an empty benchmark contaminates nothing; very long texts are
+Defined results: a null or wordless text has no words and no hits; a null or wordless item has no windows; a null item id is listed as the empty string;
+items that share an id are one item, repeated documents each have a row; an empty benchmark contaminates nothing; very long texts are
 scanned whole; an empty table gives no rows; other columns of the input are kept as they are, and one with the name
 of the new column, in whatever case, is an error.
 """
