@@ -1,7 +1,7 @@
-"""DOCX scan: files to lines and tables, with equations as MathML.
+"""DOCX scan: files to lines and tables, with equations as MathML, and to the elements of their parts.
 
 A document is one zip of XML parts, so a row of Spark's binaryFile source is the unit of work; only the standard library
-is used. A damaged file gives no lines.
+is used. A damaged file gives no lines; among the elements it gives one that names the error.
 """
 
 from __future__ import annotations
@@ -9,19 +9,28 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 M = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
+A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+RELATIONS = "{http://schemas.openxmlformats.org/package/2006/relationships}"
+DC = "{http://purl.org/dc/elements/1.1/}"
 # The point size that stands for a paragraph style, by its name in small letters.
 SIZES = {"title": 17.0, "subtitle": 13.0, "heading1": 13.5, "heading2": 12.5, "heading3": 11.5, "heading4": 11.0, "heading5": 11.0, "heading6": 11.0, "quote": 9.5, "footnotetext": 8.5}
 BODY_SIZE = 10.5
 LINES = "path string, line_no int, style string, size double, bold boolean, italic boolean, text string, table_no int, row_no int, col_no int, header boolean, mathml string"
+ELEMENTS = "path string, seq int, kind string, line_no int, text string, style string, level int, bold boolean, italic boolean, cells array<array<string>>, header_rows int, mathml string, rel_id string, target string, length long"
+_ARROW = pa.schema([("path", pa.string()), ("seq", pa.int32()), ("kind", pa.string()), ("line_no", pa.int32()), ("text", pa.string()), ("style", pa.string()), ("level", pa.int32()), ("bold", pa.bool_()), ("italic", pa.bool_()), ("cells", pa.list_(pa.list_(pa.string()))), ("header_rows", pa.int32()), ("mathml", pa.string()), ("rel_id", pa.string()), ("target", pa.string()), ("length", pa.int64())])
+_DAMAGE = (zipfile.BadZipFile, KeyError, ElementTree.ParseError, RuntimeError, zlib.error, EOFError, OSError)
 _TOKEN = re.compile(r"(\d+\.?\d*)|([A-Za-zΑ-Ωα-ω]+)|(\S)")
 
 
@@ -163,6 +172,81 @@ def parse(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, LINES)
 
 
+def _part_of(z: zipfile.ZipFile, name: str, out: list[dict]) -> ElementTree.Element | None:
+    """A part that a file may lack; a damaged one is told as an error."""
+    if name not in z.namelist():
+        return None
+    try:
+        return ElementTree.fromstring(z.read(name))
+    except _DAMAGE as fault:
+        out.append({"kind": "error", "text": f"{name}: {type(fault).__name__}"})
+        return None
+
+
+def _level(style: str) -> int | None:
+    """0 for a title, the digit of a heading, None for other styles."""
+    name = style.lower().replace(" ", "")
+    found = re.fullmatch(r"heading(\d)", name)
+    return 0 if name == "title" else int(found[1]) if found else None
+
+
+def _body_elements(body: ElementTree.Element) -> Iterator[dict]:
+    line = 0
+    for node in body:
+        if node.tag == W + "tbl":
+            rows, heads = _table(node)
+            if rows:
+                yield {"kind": "table", "line_no": line, "cells": rows, "header_rows": heads}
+        elif node.tag == W + "p":
+            yield from ({"kind": "formula", "line_no": line, "mathml": x} for x in map(mathml, node.iter(M + "oMath")) if x)
+            yield from ({"kind": "image", "line_no": line, "rel_id": x.get(R + "embed")} for x in node.iter(A + "blip"))
+            text = paragraph_text(node)
+            if text:
+                style, _, bold, italic = _style(node)
+                level = _level(style)
+                yield {"kind": "line", "line_no": line, "text": text, "style": style, "level": level, "bold": bold or bool(level), "italic": italic}
+                line += 1
+
+
+def read_elements(content: bytes) -> list[dict]:
+    """The elements of a file in its order: line, table, formula and image (with the number of the line that comes next),
+    note, relation (of an id to a target within the file), medium, property and error."""
+    out: list[dict] = []
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            body = ElementTree.fromstring(z.read("word/document.xml")).find(W + "body")
+            out += _body_elements(body) if body is not None else []
+            lines = sum(x["kind"] == "line" for x in out)
+            notes = _part_of(z, "word/footnotes.xml", out)
+            for note in notes.findall(W + "footnote") if notes is not None else []:
+                text = " ".join(filter(None, map(paragraph_text, note.findall(W + "p"))))
+                if text and not (note.get(W + "type") or "").startswith(("separator", "continuation")):
+                    out.append({"kind": "note", "line_no": lines, "text": f"{note.get(W + 'id')} {text}"})
+                    lines += 1
+            relations = _part_of(z, "word/_rels/document.xml.rels", out)
+            out += [{"kind": "relation", "rel_id": x.get("Id"), "target": x.get("Target")} for x in (relations if relations is not None else []) if x.tag == RELATIONS + "Relationship" and x.get("TargetMode") != "External"]
+            out += [{"kind": "medium", "target": x.filename, "length": x.file_size} for x in z.infolist() if x.filename.startswith("word/media/")]
+            core = _part_of(z, "docProps/core.xml", out)
+            for name in ("creator", "title") if core is not None else ():
+                text = " ".join((core.findtext(DC + name) or "").split())
+                out += [{"kind": "property", "style": name, "text": text}] if text else []
+    except _DAMAGE as fault:
+        return [{"kind": "error", "text": type(fault).__name__}]
+    return out
+
+
+def elements(files: DataFrame) -> DataFrame:
+    """ELEMENTS of files (path, content), parsed once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                found = read_elements(content.as_py() or b"")
+                yield pa.RecordBatch.from_pylist([{"path": path, "seq": i, **x} for i, x in enumerate(found)], _ARROW)
+
+    return files.select("path", "content").mapInArrow(run, ELEMENTS)
+
+
 def running_heads(lines: DataFrame) -> DataFrame:
     """Texts that a file's body repeats three times or more."""
     return lines.where(F.col("table_no").isNull() & (F.col("text") != "")).groupBy("path", "text").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
