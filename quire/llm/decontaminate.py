@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, slices
+from .common import cut, free_name, slices
 
 WINDOW = 10
 #: Bytes of benchmark text whose windows are broadcast at once; a larger benchmark is scanned in several passes.
@@ -115,7 +116,7 @@ def _passes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
         yield [(r.item, r.text) for r in group]
 
 
-def _scan(docs: DataFrame, text_col: str, windows: WindowSet, name: str) -> DataFrame:
+def _scan(docs: DataFrame, text_col: str, windows: WindowSet, name: str) -> tuple[DataFrame, Broadcast]:
     from pyspark.sql import types as T
 
     shared = docs.sparkSession.sparkContext.broadcast(windows)
@@ -129,26 +130,30 @@ def _scan(docs: DataFrame, text_col: str, windows: WindowSet, name: str) -> Data
             made = [{"n_words": n, "spans": [list(s) for s in spans], "items": sorted(items)} for group in slices((x.as_py() for x in texts), lambda t: len(t or "") + 16) for n, spans, items in shared.value.scan(group)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, arrow)], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema), shared
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, hits_col: str = "hits") -> DataFrame:
     """docs with hits_col: struct(n_words, spans of hit words as [start, end), sorted item ids).
 
-    A benchmark over BROADCAST_BYTES is scanned in passes of that size, whose hits are merged; so what is broadcast
-    stays bounded whatever the benchmark's size.
+    A benchmark over BROADCAST_BYTES is scanned in passes of that size, whose hits are merged. Each pass but the last is
+    checkpointed and its broadcast destroyed before the next one, so one set of windows is alive at a time whatever the
+    benchmark's size; the documents are written once per pass but the last.
     """
     if free_name(docs, hits_col) != hits_col:
         raise ValueError(f"column {hits_col} exists")
-    out, first = docs, True
+    out, first, held = docs, True, None
     for items in _passes(benchmark, item_col, item_text_col):
+        if held is not None:
+            out = cut(out)
+            held.destroy()
         name = hits_col if first else free_name(out, "_more")
-        out = _scan(out, text_col, WindowSet(items, window), name)
+        out, held = _scan(out, text_col, WindowSet(items, window), name)
         if not first:
             merged = F.struct(F.col(hits_col)["n_words"].alias("n_words"), _union(F.concat(F.col(hits_col)["spans"], F.col(name)["spans"])).alias("spans"), F.array_sort(F.array_distinct(F.concat(F.col(hits_col)["items"], F.col(name)["items"]))).alias("items"))
             out = out.withColumn(hits_col, merged).drop(name)
         first = False
-    return _scan(out, text_col, WindowSet([], window), hits_col) if first else out
+    return _scan(out, text_col, WindowSet([], window), hits_col)[0] if first else out
 
 
 def _union(spans):
