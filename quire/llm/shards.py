@@ -4,7 +4,7 @@ Rows of each source are ranked in a seeded shuffle; row r (from 0) of a source o
 rows in that order are cut into shards whose counts are at most one apart, so each shard has the mixture of the whole.
 
 Defined results: null sources form a source of their own; rows that tie, repeated ones included, are told apart by the
-shuffle key, the id and a hash of all columns, and only equal rows may swap places; null ids tie; a null text has the size
+shuffle key, the id and a hash of all columns, and only equal rows may swap places; null ids are shuffled by all columns; a null text has the size
 1 and the checksum of an empty text; an empty table gives no rows; other columns are kept, and helper columns avoid
 their names; a column named shard or slot, in whatever case, is an error.
 """
@@ -36,9 +36,11 @@ def interleave(df: DataFrame, n_shards: int = SHARDS, seed: int = SEED, id_col:
     cols = [f"_c{i}" for i in range(len(df.columns))]
     source, row_id = (cols[df.columns.index(c)] for c in (source_col, id_col))
     rows = df.toDF(*cols)
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(row_id).cast("string"), F.lit(""))).cast("binary"))
-    # rows that tie are told apart by all their columns, so that a stage that is run again gives the same ranks
-    rows = rows.withColumn("_all", F.xxhash64(*cols)).withColumn("_key", key).withColumn("_bucket", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(2**32)).cast("int"))
+    # rows that tie are told apart by all their columns, so that a stage that is run again gives the same ranks; rows
+    # without an id are shuffled by all their columns, so that they don't meet in one bucket
+    rows = rows.withColumn("_all", F.xxhash64(*cols))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(row_id).cast("string"), F.hex("_all"))).cast("binary"))
+    rows = rows.withColumn("_key", key).withColumn("_bucket", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(2**32)).cast("int"))
     rows = global_rank(rows, [source], "_bucket", buckets, ["_key", row_id, "_all"], "_rank")
     sizes = rows.groupBy(source).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(source, "_source")
     rows = rows.join(sizes, rows[source].eqNullSafe(sizes["_source"])).drop("_source")
