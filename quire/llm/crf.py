@@ -268,13 +268,14 @@ def train(samples: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 5, d
 
 
 def sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs: int = FIT_DOCS, chars: int = FIT_CHARS) -> list[tuple[str, str]]:
-    """At most docs whole texts of each language, those of least hash, among texts of at most chars code points."""
+    """At most docs different whole texts of each language, those of least hash, among texts of at most chars code points."""
     good = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= chars)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = good.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGUAGES).collect()
+    good = good.withColumn("key", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
+    # copies of a text count once, so that what comes to the driver is bounded by texts, however common one is
+    sizes = good.groupBy("lang").agg(F.count_distinct("key").alias("count")).orderBy(F.desc("count"), "lang").limit(FIT_LANGUAGES).collect()
     shares = [F.lit(x) for row in sizes for x in (row["lang"], min(1.0, 1.5 * docs / row["count"] + 30 / row["count"]))]
     share = F.coalesce(F.create_map(*shares)[F.col("lang")], F.lit(0.0)) if shares else F.lit(0.0)
-    key = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
-    rows = good.withColumn("key", key).where(F.col("key") < share * (1 << 40)).collect()
+    rows = good.where(F.col("key") < share * (1 << 40)).distinct().collect()
     out: list[tuple[str, str]] = []
     for lang in sorted(r["lang"] for r in sizes):
         out += [(lang, r.text) for r in sorted((r for r in rows if r.lang == lang), key=lambda r: (r.key, r.text))[:docs]]
