@@ -24,6 +24,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END_ID = 50_256
 LENGTH = 2048
 GROUP_DOCS = 1500
+#: Equal rows that one task unfolds.
+COPIES = 1000
 #: Fixed value: the vocabulary's splitting pattern.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _ENCODINGS: dict = {}
@@ -100,6 +102,20 @@ def _row(pieces: list[tuple[int | None, int, np.ndarray]], length: int) -> tuple
     return ids.tobytes(), ends, ends[:-1], [p[0] for p in pieces], [p[1] for p in pieces]
 
 
+def _spread_copies(rows: DataFrame, most: int) -> DataFrame:
+    """rows (doc_id, known, text) with copy: 0, or a number of its own for each equal row where more than most are equal.
+
+    Equal rows are counted first by their hashes alone. Where some are too many, all are counted as rows and unfolded
+    again, COPIES at a time, so that a task that runs again deals the same copies.
+    """
+    same = ["doc_id", "known", "text"]
+    if rows.groupBy(F.xxhash64(*same).alias("h")).count().where(F.col("count") > most).isEmpty():
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    counted = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("n"))
+    blocks = counted.withColumn("block", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES})"))).repartition(*same, "block")
+    return blocks.select(*same, F.explode(F.expr(f"sequence(block * {COPIES}, least(n, (block + 1) * {COPIES}) - 1)")).alias("copy"))
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, path: str = VOCABULARY, group_docs: int = GROUP_DOCS) -> DataFrame:
     """Packed rows: pack_group, row_no, ids (little-endian uint16 of length ids), cu_seqlens, position_resets, and for
     each segment doc_ids and pieces (the piece's number within its document).
@@ -108,7 +124,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     """
     groups = max(1, -(-docs.count() // group_docs))
     dealt = docs.where(F.length(text_col) > 0).select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), F.col(id_col).isNotNull().alias("known"), F.col(text_col).alias("text"))
-    dealt = dealt.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "known", "text"), F.lit(groups)))
+    dealt = _spread_copies(dealt, max(1, group_docs // 10)).withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "known", "text", "copy"), F.lit(groups))).drop("copy")
 
     def run(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made = encoding(path)
