@@ -4,6 +4,7 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import chat, crf, decontaminate, packing, pii, queries, shards
@@ -24,6 +25,25 @@ def test_shards_ties_nulls_and_clashes(spark):
         shards.interleave(made(spark, rows, schema).withColumnRenamed("payload", "SLOT"))
 
 
+def test_shards_many_null_ids(spark):
+    rows = [(None if i % 2 else i, "s" if i % 3 else None, f"p{i}") for i in range(4000)]
+    df = made(spark, rows, "doc_id long, source string, payload string")
+    one, other = (sorted(map(tuple, shards.interleave(d, 16).collect()), key=str) for d in (df.repartition(1), df.repartition(7)))
+    assert one == other and len(one) == 4000
+    ends = [sum(r[-2] == s for r in one) for s in range(16)]
+    assert max(ends) - min(ends) <= 1
+    mixture = [sum(r[-2] == s and r[0] is None for r in one) for s in range(16)]
+    assert min(mixture) > 80 and max(mixture) < 170
+
+
+def test_language_sample_takes_copies_once(spark):
+    rows = [("the very common text", "en")] * 3000 + [(f"text {i} of many", "en") for i in range(900)] + [("un texto", "es")] * 5 + [(None, "es"), ("no language", None)]
+    got = crf.sample(made(spark, rows, "text string, lang string"), docs=100)
+    assert len(set(got)) == len(got) == 101 and ("es", "un texto") in got
+    every = crf.sample(made(spark, rows, "text string, lang string"), docs=5000)
+    assert set(every) == {r[::-1] for r in rows if all(r)} and len(every) == 902
+
+
 def test_language_edges(spark):
     rows = [(1, "the house and the garden of that man. " * 30, "en"), (2, "la casa y el jardín de los hombres. " * 30, "es"), (3, None, "en"), (4, "123 !!", None), (None, "the house and the man", None), (None, "the house and the man", None), (6, "the man and the house " * 40_000, "en")]
     df = made(spark, rows, "doc_id long, text string, lang string")
@@ -91,6 +111,15 @@ def test_packing_nulls_and_repeats(spark):
     assert packing.pack(df.where("false")).count() == 0
 
 
+def test_packing_spreads_equal_rows(spark):
+    rows = [(None, "a common text")] * 2500 + [(7, "another one")] * 1200 + [(i, f"text {i}") for i in range(300)]
+    packed = packing.pack(made(spark, rows, "doc_id long, text string"), length=32, group_docs=200).cache()
+    sizes = [r.n for r in packed.groupBy("pack_group").agg(F.sum(F.size("doc_ids")).alias("n")).collect()]
+    assert len(sizes) == 20 and max(sizes) < 400
+    ids = [r.doc_id for r in packing.unpack(packed).collect()]
+    assert (ids.count(None), ids.count(7), len(ids)) == (2500, 1201, 4000)
+
+
 def test_decontamination_edges(spark):
     item = "one two three four five six seven eight nine ten"
     bench = made(spark, [(None, item), (7, None), (8, "!!")], "item_id long, text string")

@@ -398,6 +398,17 @@ def test_passes_over_a_large_benchmark_agree(spark, monkeypatch):
     assert sorted(decontaminate.digest_rows(decontaminate.find_hits(docs, bench)).collect()) == whole
 
 
+def test_one_pass_over_the_benchmark_is_alive_at_a_time(spark, monkeypatch):
+    docs = docs_of(spark, [(1, "one two three four five six seven eight nine ten"), (2, "other words")])
+    bench = docs_of(spark, [(i, f"one two three four five six seven eight nine {x}") for i, x in enumerate(("ten", "eleven", "twelve"))], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 100)
+    assert len(list(decontaminate._passes(bench, "item_id", "text"))) == 3
+    found = decontaminate.find_hits(docs, bench)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert sorted((r.doc_id, r.hits["items"]) for r in found.collect()) == [(1, ["0"]), (2, [])]
+
+
 def test_decontaminate_cuts_or_drops(spark):
     bench = docs_of(spark, [(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
     df = docs_of(spark, [(1, "Before. One two three four five six seven eight nine TEN! After"), (2, "clean"), (3, None)])
