@@ -34,10 +34,18 @@ def link_citations(citations: DataFrame, references: DataFrame) -> DataFrame:
 def resolve_journals(docs: DataFrame, journals: DataFrame) -> DataFrame:
     """docs (doc_id, issns, doi, code) with the journal's acronym: the explicit code, else the first journal that shares an
     ISSN, else the first whose DOI prefix starts the DOI. journals: rank, acronym, issn_epub, issn_ppub, doi_prefix.
+
+    Only the first journal of each ISSN and of each prefix takes part, so a document meets one row for each of its ISSNs and
+    for each length that prefixes have.
     """
-    by_issn = docs.select("doc_id", F.explode("issns").alias("issn")).join(journals.select("rank", "acronym", F.explode(F.array("issn_epub", "issn_ppub")).alias("issn")), "issn").select("doc_id", F.lit(1).alias("how"), "rank", "acronym")
-    by_doi = docs.select("doc_id", F.regexp_extract("doi", r"^(10\.\d+/)", 1).alias("_registrant"), "doi").join(journals.where("doi_prefix is not null").select("rank", "acronym", "doi_prefix", F.regexp_extract("doi_prefix", r"^(10\.\d+/)", 1).alias("_registrant")), "_registrant").where(F.col("doi").startswith(F.col("doi_prefix"))).select("doc_id", F.lit(2).alias("how"), "rank", "acronym")
-    found = by_issn.unionByName(by_doi).groupBy("doc_id").agg(F.min_by("acronym", F.struct("how", "rank")).alias("_found"))
+    first = lambda rows, key: rows.groupBy(key).agg(F.min(F.struct("rank", "acronym")).alias("_first"))
+    numbers = first(journals.select("rank", "acronym", F.explode(F.array("issn_epub", "issn_ppub")).alias("issn")).where("issn is not null"), "issn")
+    prefixes = first(journals.where("doi_prefix is not null"), "doi_prefix")
+    lengths = prefixes.agg(F.collect_set(F.length("doi_prefix")).alias("_lengths"))
+    starts = F.transform(F.filter("_lengths", lambda n: n <= F.length("doi")), lambda n: F.substring(F.col("doi"), F.lit(1), n))
+    by_issn = docs.select("doc_id", F.explode("issns").alias("issn")).join(numbers, "issn").select("doc_id", F.lit(1).alias("how"), "_first")
+    by_doi = docs.crossJoin(lengths).select("doc_id", F.explode(starts).alias("doi_prefix")).join(prefixes, "doi_prefix").select("doc_id", F.lit(2).alias("how"), "_first")
+    found = by_issn.unionByName(by_doi).groupBy("doc_id").agg(F.min(F.struct("how", "_first"))["_first"]["acronym"].alias("_found"))
     return docs.join(found, "doc_id", "left").select("doc_id", F.coalesce("code", "_found").alias("journal"))
 
 
