@@ -1,4 +1,4 @@
-"""The folder that all executors share, and lineage cut by checkpoints in it."""
+"""The folder that all executors share, lineage cut by checkpoints in it, and joins of rows that are many."""
 
 from __future__ import annotations
 
@@ -23,3 +23,9 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint()
+
+
+def many(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is sorted and merged. Spark takes exploded rows to be as few as those that they come from,
+    so it would broadcast the lines of a million documents by way of the driver."""
+    return df.hint("merge")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.functions.shared import many
+
 from .layout import body_size, weighted_mode
 
 # Names of tags that a box of labels prints.
@@ -51,11 +53,11 @@ def sidebars(lines: DataFrame, width: float, least: int = 5) -> DataFrame:
     c = F.col
     main = weighted_mode(lines.where(c("size") >= c("body_size") * 0.9).withColumn("_x", F.bround("x0")), PAGE, "_x", F.lit(1), "line_no", "_main")
     edges = lines.groupBy(*PAGE).agg(F.min("x0").alias("_least"))
-    rows = lines.join(edges, PAGE).join(main, PAGE, "left").withColumn("_main", F.coalesce("_main", "_least"))
+    rows = lines.join(many(edges), PAGE).join(many(main), PAGE, "left").withColumn("_main", F.coalesce("_main", "_least"))
     small = rows.where((c("size") <= c("body_size") * 0.85) & (c("x1") - c("x0") < 0.32 * width) & (c("x1") < 0.45 * width) & (F.abs(c("x0") - c("_main")) > 3))
     other = lines.select(*PAGE, c("line_no").alias("_other"), c("x0").alias("_x0"), c("y0").alias("_y0"), c("y1").alias("_y1"))
     beside = (c("_other") != c("line_no")) & (c("_x0") >= c("x1") + 5) & (F.least(c("y1") + 2 * c("size"), "_y1") > F.greatest(c("y0") - 2 * c("size"), "_y0"))
-    found = small.join(other, PAGE).where(beside).select(*PAGE, "line_no", "x0").distinct()
+    found = small.join(many(other), PAGE).where(beside).select(*PAGE, "line_no", "x0").distinct()
     order = Window.partitionBy(*PAGE).orderBy("x0", "line_no")
     groups = found.withColumn("_new", F.coalesce((c("x0") - F.lag("x0").over(order) > 3), F.lit(True)).cast("int")).withColumn("_group", F.sum("_new").over(order))
     return groups.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*PAGE, "_group"))).where(c("_n") >= least).select("doc_id", "line_no")
@@ -66,11 +68,11 @@ def indented_block(lines: DataFrame) -> DataFrame:
     height. lines: with body_size."""
     c = F.col
     main = weighted_mode(lines.where(c("size") >= c("body_size") * 0.9).withColumn("_x", F.bround("x0")), PAGE, "_x", F.lit(1), "line_no", "_main")
-    rows = lines.join(main, PAGE, "left").withColumn("_far", F.coalesce(c("x0") > c("_main") + 2 * c("body_size"), F.lit(False)))
+    rows = lines.join(many(main), PAGE, "left").withColumn("_far", F.coalesce(c("x0") > c("_main") + 2 * c("body_size"), F.lit(False)))
     other = lines.select(*PAGE, c("line_no").alias("_other"), c("x1").alias("_x1"), c("y0").alias("_y0"), c("y1").alias("_y1"))
-    left = rows.where("_far").join(other, PAGE).where((c("_other") != c("line_no")) & (c("_x1") <= c("x0")) & (F.least("y1", "_y1") > F.greatest("y0", "_y0")))
+    left = rows.where("_far").join(many(other), PAGE).where((c("_other") != c("line_no")) & (c("_x1") <= c("x0")) & (F.least("y1", "_y1") > F.greatest("y0", "_y0")))
     kept = left.select("doc_id", "line_no").distinct().withColumn("_left", F.lit(True))
-    return rows.join(kept, ["doc_id", "line_no"], "left").withColumn("block_indent", c("_far") & c("_left").isNull()).drop("_main", "_far", "_left")
+    return rows.join(many(kept), ["doc_id", "line_no"], "left").withColumn("block_indent", c("_far") & c("_left").isNull()).drop("_main", "_far", "_left")
 
 
 def footnotes(lines: DataFrame, height: float) -> DataFrame:
@@ -81,8 +83,8 @@ def footnotes(lines: DataFrame, height: float) -> DataFrame:
     count. The state is a fold over one page's lines.
     """
     c = F.col
-    rows = lines.join(body_size(lines), "doc_id")
-    rows = indented_block(rows.join(note_size(rows), "doc_id", "left"))
+    rows = lines.join(many(body_size(lines)), "doc_id")
+    rows = indented_block(rows.join(many(note_size(rows)), "doc_id", "left"))
     small = (c("size") <= c("body_size") * 0.93 + 0.05) | c("text").startswith("©")
     order = Window.partitionBy(*PAGE).orderBy("y0", "x0", "line_no")
     rest = F.coalesce(F.bool_and(small).over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(True))
@@ -131,5 +133,5 @@ def page_number(lines: DataFrame, height: float) -> DataFrame:
     other = lines.select(*PAGE, c("line_no").alias("_other"), c("size").alias("_size"), c("x0").alias("_x0"), c("y0").alias("_y0"), c("y1").alias("_y1"))
     tiny = bare.where(c("size") <= c("body_size") * 0.7)
     beside = (c("_other") != c("line_no")) & (c("_x0") >= c("x1") - 1) & (c("_x0") <= c("x1") + 3 * c("body_size")) & (c("_size") <= c("body_size") * 0.93 + 0.05) & (F.least("y1", "_y1") > F.greatest("y0", "_y0"))
-    labels = tiny.join(other, PAGE).where(beside).select("doc_id", "line_no").distinct()
-    return bare.select("doc_id", "line_no").join(labels, ["doc_id", "line_no"], "left_anti")
+    labels = tiny.join(many(other), PAGE).where(beside).select("doc_id", "line_no").distinct()
+    return bare.select("doc_id", "line_no").join(many(labels), ["doc_id", "line_no"], "left_anti")
