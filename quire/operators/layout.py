@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.functions.shared import many
 from quire.functions.text import join_lines, repetition_key
 
 
@@ -22,7 +23,7 @@ def weighted_mode(df: DataFrame, keys: list[str], value: str, weight: Column, se
 def body_size(lines: DataFrame) -> DataFrame:
     """Each document's body size: that with most characters among lines of 6 points or more; 10.0 if there are none."""
     found = weighted_mode(lines.where("size >= 6"), ["doc_id"], "size", F.length("text"), "line_no", "body_size")
-    return lines.select("doc_id").distinct().join(found, "doc_id", "left").fillna(10.0, ["body_size"])
+    return lines.select("doc_id").distinct().join(many(found), "doc_id", "left").fillna(10.0, ["body_size"])
 
 
 def repeated_lines(lines: DataFrame, share: float = 0.4) -> DataFrame:
@@ -31,7 +32,7 @@ def repeated_lines(lines: DataFrame, share: float = 0.4) -> DataFrame:
     keyed = lines.select("doc_id", "page", "line_no", "text", repetition_key(F.col("text")).alias("key")).where(F.length("key") >= 4)
     found = keyed.groupBy("doc_id", "key").agg(F.countDistinct("page").alias("pages"), F.min_by("text", F.struct("page", "line_no")).alias("example"))
     enough = F.col("pages") >= F.greatest(F.lit(2), F.bround(F.col("n_pages") * F.lit(share)))
-    return found.join(pages, "doc_id").where(enough).select("doc_id", "key", "pages", "example")
+    return found.join(many(pages), "doc_id").where(enough).select("doc_id", "key", "pages", "example")
 
 
 def main_margin(lines: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def main_margin(lines: DataFrame) -> DataFrame:
 
 def two_columns(lines: DataFrame, width: float) -> DataFrame:
     """Whether more than a fifth of the body-size lines after page 1 are narrow and on the right."""
-    sized = lines.join(body_size(lines), "doc_id").where((F.col("page") != 1) & (F.abs(F.col("size") - F.col("body_size")) <= 1))
+    sized = lines.join(many(body_size(lines)), "doc_id").where((F.col("page") != 1) & (F.abs(F.col("size") - F.col("body_size")) <= 1))
     narrow = (F.col("x1") - F.col("x0") < 0.5 * width) & (F.col("x0") > 0.45 * width)
     return sized.groupBy("doc_id").agg((F.avg(narrow.cast("int")) > 0.2).alias("two_columns"))
 
@@ -50,7 +51,7 @@ def zones(lines: DataFrame, height: float) -> DataFrame:
     """zone of each line by ordered rules: rotated text is margin; repeated text at an edge or in small type is header or
     footer by half of the page; a page number at the very edge is footer; the rest is body."""
     repeated = repeated_lines(lines).select("doc_id", F.col("key").alias("_key"), F.lit(True).alias("_repeated"))
-    all_ = lines.withColumn("_key", repetition_key(F.col("text"))).join(repeated, ["doc_id", "_key"], "left").join(body_size(lines), "doc_id")
+    all_ = lines.withColumn("_key", repetition_key(F.col("text"))).join(many(repeated), ["doc_id", "_key"], "left").join(many(body_size(lines)), "doc_id")
     edge = (F.col("y0") < 0.15 * height) | (F.col("y1") > 0.85 * height) | (F.col("size") < F.col("body_size") * 0.85)
     number = F.col("text").rlike(r"^(\d{1,4}|\d{1,4}\s*[|•·]\s*.{0,70}|.{0,70}\s*[|•·]\s*\d{1,4})$") & ((F.col("y0") < 0.12 * height) | (F.col("y1") > 0.88 * height))
     zone = F.when(F.col("rotated"), "margin").when(F.col("_repeated") & edge, F.when(F.col("y0") < height / 2, "header").otherwise("footer")).when(number, "footer").otherwise("body")
