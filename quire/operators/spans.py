@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.shared import many
+
 LINE = ["doc_id", "page", "block", "line"]
 #: Raised text of so many characters is a mark, not text.
 MARK_LENGTH = 4
@@ -38,7 +40,7 @@ def lines_from_spans(spans: DataFrame, boxes: DataFrame) -> DataFrame:
     marked = squeeze(F.array_join(F.transform("_s", lambda s: F.when(~s["up"], s["text"]).when(is_call(s), call(s["t"])).otherwise("")), ""))
     texts = listed.select(*LINE, text.alias("text"), F.regexp_replace(marked, r"\s+(\[\^[^\]]+\])", "$1").alias("marked"), F.transform(F.filter("_s", lambda s: s["up"]), lambda s: s["t"]).alias("marks"), F.when(first["up"], first["t"]).otherwise("").alias("mark_first"), F.when(last["up"] & (F.size(visible) > 1), last["t"]).otherwise("").alias("mark_last"), "_plain")
     # what counts for style: plain spans, or all where there are none
-    counted = rows.join(texts.select(*LINE, "_plain"), LINE).where((c("_n") > 0) & ((c("_plain") == 0) | ~(c("raised") & (c("_n") <= MARK_LENGTH))))
+    counted = rows.join(many(texts.select(*LINE, "_plain")), LINE).where((c("_n") > 0) & ((c("_plain") == 0) | ~(c("raised") & (c("_n") <= MARK_LENGTH))))
 
     def most(value: Column, name: str) -> DataFrame:
         sums = counted.withColumn("_v", value).groupBy(*LINE, "_v").agg(F.sum("_n").alias("_w"), F.min("span_no").alias("_at"))
@@ -46,7 +48,7 @@ def lines_from_spans(spans: DataFrame, boxes: DataFrame) -> DataFrame:
 
     share = lambda x: (F.sum(F.when(c(x), c("_n")).otherwise(0)) / F.sum("_n") > 0.6).alias(x)
     style = counted.groupBy(*LINE).agg(share("bold"), share("italic"))
-    out = texts.drop("_plain").where("text <> ''").join(most(F.round("size", 1), "size"), LINE).join(most(c("font"), "font"), LINE).join(style, LINE).join(boxes, LINE)
+    out = texts.drop("_plain").where("text <> ''").join(many(most(F.round("size", 1), "size")), LINE).join(many(most(c("font"), "font")), LINE).join(many(style), LINE).join(many(boxes), LINE)
     return out.withColumn("rotated", (F.abs(c("dx") - 1) > 0.01) | (F.abs(c("dy")) > 0.01)).drop("dx", "dy")
 
 
