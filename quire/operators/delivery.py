@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions.naming import file_name_fault, folder_name_fault
+from quire.functions.shared import many
 from quire.functions.text import fold
 
 MOST_XML, MOST_FILES, MOST_BYTES = 5, 20, 50 * 1024 * 1024
@@ -139,13 +140,14 @@ def declarations(blocks: DataFrame, filled: DataFrame | None = None) -> DataFram
     """doc_id, kind, block_no, text of the declarations among back-matter blocks (doc_id, block_no, title, text): a block
     gives the first kind, in order, that its title tells and that no earlier block (nor filled: doc_id, kind) has given. A
     fold over the few blocks of one document."""
-    flat = F.lower(fold(F.coalesce("title", F.lit(""))))
-    tells = lambda words: reduce(lambda a, b: a | b, [flat.contains(w) for w in words])
-    kinds = F.array_compact(F.array(*[F.when(tells(words) & (~tells(NO_DECLARATION[k]) if k in NO_DECLARATION else F.lit(True)), F.lit(k)) for k, words in DECLARATION_CUES.items()]))
+    tells = lambda flat, words: reduce(lambda a, b: a | b, [flat.contains(w) for w in words])
+    told = lambda flat: F.array_compact(F.array(*[F.when(tells(flat, words) & (~tells(flat, NO_DECLARATION[k]) if k in NO_DECLARATION else F.lit(True)), F.lit(k)) for k, words in DECLARATION_CUES.items()]))
+    # a variable of a lambda, so that a title is folded once, not for each cue
+    kinds = F.transform(F.array(F.lower(fold(F.coalesce("title", F.lit(""))))), told)[0]
     said = F.trim(F.coalesce("text", F.lit("")))
     listed = blocks.where(said != "").select("doc_id", F.struct("block_no", kinds.alias("kinds"), said.alias("text")).alias("b")).groupBy("doc_id").agg(F.sort_array(F.collect_list("b")).alias("_b"))
     if filled is not None:
-        listed = listed.join(filled.groupBy("doc_id").agg(F.collect_set("kind").alias("_done")), "doc_id", "left")
+        listed = listed.join(many(filled.groupBy("doc_id").agg(F.collect_set("kind").alias("_done"))), "doc_id", "left")
     done = F.coalesce(F.col("_done"), F.expr("cast(array() as array<string>)")) if filled is not None else F.expr("cast(array() as array<string>)")
     start = F.struct(done.alias("done"), F.expr("cast(array() as array<struct<kind:string,block_no:bigint,text:string>>)").alias("out"))
 
