@@ -1,14 +1,15 @@
 """Spans of a page's text made lines, images kept or dropped, and equations found among lines.
 
 Spans are rows of doc_id, page, block, line, span_no, text, size, font, raised, bold, italic; their lines have boxes and a
-direction. Equations are merged by a fold over the boxes of one document.
+direction. Equations are merged by a fold over the boxes of one page.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,9 +143,16 @@ def merged_equations(boxes: DataFrame, wide: float = 140.0, high: float = 12.0)
     their height shared) or stacked (high points, three tenths of their width), in three passes at most. Numbers without a
     formula, and bits without number or operator, are left out."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        given = sorted(rows.astype(object).where(rows.notna(), None).to_dict("records"), key=lambda r: (r["page"], r["y0"], r["block"]))
-        made = _merged([_Box(r) for r in given], wide, high)
-        return pd.DataFrame([(key[0], b.page, b.number, b.text, *b.low, *b.high) for b in made], columns=["doc_id", "page", "number", "text", "x0", "y0", "x1", "y1"])
+    names = ["block", "number", "text", "only_number", "x0", "y0", "x1", "y1"]
 
-    return boxes.groupBy("doc_id").applyInPandas(run, "doc_id long, page int, number string, text string, x0 double, y0 double, x1 double, y1 double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, page, rows in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "page", "_rows")), strict=True):
+                given = sorted(({**r, "page": page} for r in rows), key=lambda r: (r["y0"], r["block"]))
+                out += [(doc, b.page, b.number, b.text, *b.low, *b.high) for b in _merged([_Box(r) for r in given], wide, high)]
+            yield pa.RecordBatch.from_pylist([dict(zip(made.names, r, strict=True)) for r in out], schema=made)
+
+    made = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("number", pa.string()), ("text", pa.string()), *[(n, pa.float64()) for n in ("x0", "y0", "x1", "y1")]])
+    listed = boxes.groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page")).agg(F.collect_list(F.struct(*names)).alias("_rows"))
+    return listed.mapInArrow(run, "doc_id long, page int, number string, text string, x0 double, y0 double, x1 double, y1 double")
