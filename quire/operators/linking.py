@@ -49,19 +49,25 @@ def resolve_journals(docs: DataFrame, journals: DataFrame) -> DataFrame:
     return docs.join(found, "doc_id", "left").select("doc_id", F.coalesce("code", "_found").alias("journal"))
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], within: Column, distance: Column, right_id: str, reach: tuple[str, str, float, float]) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], within: Column, distance: Column, right_id: str, reach: tuple[str, str, float, float], left_id: str | None = None) -> DataFrame:
     """Every left row with right_id of the right row of least distance among those that fit (smaller id on ties).
 
+    within and distance don't look at right_id nor left_id: of right rows that are alike but for right_id only the least
+    takes part, and left rows that are alike but for left_id are paired once.
+
     reach: a left and a right column of places, and from where to where the right place less the left one may lie; rows meet
     only in buckets of that width, each left row in two or three. A row with a null place fits nothing.
     """
-    ids = [c for c in left.columns]
     here, there, low, high = reach
     bucket = lambda at: F.floor(at / max(high - low, 1.0))
-    spread = left.where(F.col(here).isNotNull()).withColumn("_bucket", F.explode(F.sequence(bucket(F.col(here) + low), bucket(F.col(here) + high))))
+    places = [c for c in right.columns if c != right_id]
+    right = right.groupBy(*places).agg(F.min(right_id).alias(right_id))
+    seen = [c for c in left.columns if c != left_id]
+    kinds = left.where(F.col(here).isNotNull()).select(*seen).distinct()
+    spread = kinds.withColumn("_bucket", F.explode(F.sequence(bucket(F.col(here) + low), bucket(F.col(here) + high))))
     pairs = spread.join(right.withColumn("_bucket", bucket(F.col(there))), [*keys, "_bucket"]).where(within)
-    best = pairs.groupBy(*ids).agg(F.min_by(right_id, F.struct(distance.alias("d"), F.col(right_id))).alias(right_id))
-    return left.join(best, ids, "left")
+    best = pairs.groupBy(*seen).agg(F.min_by(right_id, F.struct(distance.alias("d"), F.col(right_id))).alias(right_id))
+    return left.join(best, seen, "left")
 
 
 def anchor(points: DataFrame, anchors: DataFrame, key: str, at: str, name: str) -> DataFrame:

@@ -197,7 +197,7 @@ def caption_grid_nearest(spark, sf_dir):
     grids = p.select(k.alias("grid"), (k % 40).alias("page"), (F.col("p_size") * 10.0).alias("gy"), (F.col("p_retailprice") / 10).alias("gx"))
     captions = p.select(k.alias("caption"), (k % 40).alias("page"), (F.col("p_size") * 11.0).alias("y"), (F.col("p_retailprice") / 9).alias("x"))
     fits = (F.col("gy") - F.col("y")).between(-60, 90) & (F.abs(F.col("gx") - F.col("x")) < 60)
-    return linking.nearest(captions, grids, ["page"], fits, F.abs(F.col("gy") - F.col("y")), "grid", ("y", "gy", -60.0, 90.0)).select("caption", "page", "y", "x", "grid")
+    return linking.nearest(captions, grids, ["page"], fits, F.abs(F.col("gy") - F.col("y")), "grid", ("y", "gy", -60.0, 90.0), "caption").select("caption", "page", "y", "x", "grid")
 
 
 @query("""
