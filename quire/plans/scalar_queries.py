@@ -21,6 +21,17 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
+#: Rows of a task in steps that take a millisecond or more for a row.
+TASK_ROWS = 20_000
+
+
+def _dealt(df: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """df by key over tasks whose number grows with the rows of a table (which its files tell), for costly steps: Spark
+    deals by bytes, which put all of a small table, or ever more rows of a large one, in one task."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-table.count() // TASK_ROWS))
+    return df.repartition(tasks, key)
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
