@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from quire.operators import jats, references, xml
 from quire.sources import docx, responses
 
-from .scalar_queries import _spread, _table
+from .scalar_queries import _dealt, _table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -49,8 +49,9 @@ SELECT o_orderkey, ['journal','book','journal','legal-doc','thesis'][o_orderkey
  CASE WHEN o_orderkey % 5 = 2 THEN '10.1590/x.' || o_orderkey END AS doi, CASE WHEN o_orderkey % 5 = 0 THEN 'https://ex.org/' || o_orderkey END AS url FROM orders
 """)
 def reference_fields(spark, sf_dir):
-    t = _table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_ENTRY.replace("VARCHAR", "STRING")).alias("t"))
-    f = _spread(t).select("o_orderkey", references.fields(F.col("t")).alias("f"))
+    orders = _table(spark, sf_dir, "orders")
+    t = _dealt(orders, "o_orderkey", orders).select("o_orderkey", F.expr(_ENTRY.replace("VARCHAR", "STRING")).alias("t"))
+    f = t.select("o_orderkey", references.fields(F.col("t")).alias("f"))
     one = lambda c: F.nullif(F.array_join(c, ";"), F.lit(""))
     return f.select("o_orderkey", "f.kind", "f.year", F.array_join("f.authors", ";").alias("authors"), "f.parts.article_title", "f.parts.source", "f.parts.volume", "f.parts.issue", "f.parts.fpage", "f.parts.lpage", "f.edition", one("f.parts.publisher_loc").alias("place"), one("f.parts.publisher_name").alias("publisher"), "f.parts.confidence", "f.parts.access_date", "f.parts.comment", "f.doi", "f.url")
 
