@@ -22,10 +22,11 @@ LOGIN_FORM = r"^[a-z0-9._-]{3,}$"
 
 def failed(rows: DataFrame, keys: list[str], rules: list[tuple[str, str, Column]]) -> DataFrame:
     """One row (keys, field, reason) for each rule (field, reason, condition) that holds, the first of each field."""
-    each = [F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(field).alias("field"), F.lit(reason).alias("reason"))) for field, reason, test in rules]
-    hits = F.array_compact(F.array(*each))
-    first = F.filter(hits, lambda h, i: ~F.exists(F.slice(hits, F.lit(1), i), lambda before: before["field"] == h["field"]))
-    return rows.select(*keys, F.explode(first).alias("hit")).select(*keys, "hit.field", "hit.reason")
+    first: dict[str, Column] = {}
+    for field, reason, test in rules:
+        said = F.struct(F.lit(field).alias("field"), F.lit(reason).alias("reason"))
+        first[field] = first[field].when(test, said) if field in first else F.when(test, said)
+    return rows.select(*keys, F.explode(F.array_compact(F.array(*first.values()))).alias("hit")).select(*keys, "hit.field", "hit.reason")
 
 
 def taken(rows: DataFrame, key: str, name: Column, existing: DataFrame, other_key: str, other_name: Column) -> DataFrame:

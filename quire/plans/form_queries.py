@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import records
 from quire.operators import forms
 
-from .scalar_queries import _table
+from .scalar_queries import _dealt, _table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -108,7 +108,8 @@ def journal_form_errors(spark, sf_dir):
     k = F.col("c_custkey")
     acronym = F.when(k % 5 == 0, F.concat(F.lit("J"), k % 7)).when(k % 5 == 1, F.concat(F.lit("new"), k)).when(k % 5 == 2, "9x").when(k % 5 == 3, "j3").otherwise(" RDP ")
     by = lambda n, bad, good: F.when(k % n == 0, bad).otherwise(good)
-    form = _table(spark, sf_dir, "customer").select(
+    customers = _table(spark, sf_dir, "customer")
+    form = _dealt(customers, "c_custkey", customers).select(
         k.alias("form_id"), acronym.alias("acronym"), F.when(k % 5 == 3, "j3").alias("current"), by(4, " ", "T").alias("title"), F.lit("T").alias("short_title"), by(2, None, "P").alias("publisher"),
         _pick("c_custkey", "", "2179-8966", "2179-8967", "x", "0034-8910").alias("issn_epub"), F.lit(None).cast("string").alias("issn_ppub"), F.when(k % 3 == 1, "11.1234").when(k % 3 == 2, "10.1234/a").alias("doi_prefix"),
         by(6, "x", "http://l").alias("licence_url"), by(7, "Other", "Law").alias("area"), F.lit(None).cast("string").alias("style"), by(8, "www.x", "https://x").alias("site"), F.lit("http://lattes.cnpq.br/1").alias("editor_lattes"),
