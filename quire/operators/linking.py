@@ -27,6 +27,8 @@ def link_citations(citations: DataFrame, references: DataFrame) -> DataFrame:
     same = (F.col("_cited") == F.col("_name")) | F.array_contains(F.split("_name", " "), F.col("_cited")) | F.col("_name").startswith(F.col("_cited"))
     starts = lambda w: F.array(*[F.substring(w, 1, n) for n in (1, 2, 3)])
     names = names.withColumn("_start", F.explode(F.array_distinct(F.concat(starts(F.col("_name")), F.flatten(F.transform(F.split("_name", " "), starts))))))
+    # of references alike in name and year only the first takes part
+    names = names.groupBy("_doc", "_name", "_ref_year", "_start").agg(F.min("ref_no").alias("ref_no"))
     hits = c.where("_cited <> ''").join(names, (F.substring("_cited", 1, 3) == F.col("_start")) & (F.col("doc_id") == F.col("_doc")) & (F.col("_year") == F.col("_ref_year")) & same).groupBy("doc_id", "cit_no").agg(F.min("ref_no").alias("ref_no"))
     return citations.join(hits, ["doc_id", "cit_no"], "left")
 
