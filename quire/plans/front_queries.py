@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import front
 
-from .scalar_queries import _table
+from .scalar_queries import _dealt, _table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -32,7 +32,14 @@ def C():
 def _lines(spark, sf_dir, *texts):
     """doc_id, seq (from 1), text of each order: texts are columns; null ones give no line."""
     each = F.posexplode(F.array(*[t.cast("string") if not isinstance(t, str) else F.lit(t) for t in texts])).alias("seq", "text")
-    return _table(spark, sf_dir, "orders").select(K().alias("doc_id"), C().alias("cust"), each).where("text is not null").withColumn("seq", F.col("seq") + 1)
+    return _orders(spark, sf_dir).select(K().alias("doc_id"), C().alias("cust"), each).where("text is not null").withColumn("seq", F.col("seq") + 1)
+
+
+def _orders(spark, sf_dir):
+    """The orders, dealt by key before lines are made of them: rows alike shrink so much in a shuffle that Spark, which deals
+    by bytes, gives a task ever more of them. What follows by document needs no other shuffle."""
+    orders = _table(spark, sf_dir, "orders")
+    return _dealt(orders, "o_orderkey", orders)
 
 
 def _rows(names: str, *rows):
@@ -80,7 +87,7 @@ SELECT o_orderkey AS doc_id, CAST(n AS INTEGER) AS title_no, ['Um título que é
 def title_groups(spark, sf_dir):
     rows = F.array(*[F.struct(F.lit(n).alias("line_no"), F.lit(t).alias("text"), F.lit(s).alias("size"), F.lit(b).alias("bold"), F.lit(False).alias("italic")) for n, t, s, b in (
         (1, "Um título que é de duas linhas", 14.0, True), (2, "e mais¹", 14.5, True), (3, "“A title that is of the law and the land”", 12.0, True), (4, "doi: 10.1590/x", 12.0, True), (5, "Resumo", 14.0, True), (6, "plain text of the front", 10.0, False))])
-    lines = _table(spark, sf_dir, "orders").select(K().alias("doc_id"), F.explode(rows).alias("x")).select("doc_id", "x.*")
+    lines = _orders(spark, sf_dir).select(K().alias("doc_id"), F.explode(rows).alias("x")).select("doc_id", "x.*")
     fits = front.title_candidate(F.col("text"), F.col("size"), F.lit(10.0), F.col("bold") | F.col("italic"))
     return front.title_groups(lines.where(fits))
 
@@ -94,10 +101,10 @@ def support_lines(spark, sf_dir):
     below = K() % 3 == 0
     last = F.when(below, 215.0).when(K() % 3 == 1, 195.0).otherwise(190.0)
     rows = _rows("line_no text y0", (1, "ORCID 0000-0002-1825-0097", F.when(below, 110.0).otherwise(90.0)), (2, "Universidade X, Rio", 130.0), (3, "a@b.org", last), (4, "no support", 140.0))
-    docs = _table(spark, sf_dir, "orders").select(K().alias("doc_id"), F.explode(rows).alias("x")).select("doc_id", "x.*", F.lit(1).alias("page"))
+    docs = _orders(spark, sf_dir).select(K().alias("doc_id"), F.explode(rows).alias("x")).select("doc_id", "x.*", F.lit(1).alias("page"))
     support = docs.withColumn("kind", front.support_kind(F.col("text"))).where("kind is not null")
     names = F.explode(_rows("author y0", ("A", 100.0), ("B", 200.0))).alias("x")
-    return front.assign_support(support, _table(spark, sf_dir, "orders").select(K().alias("doc_id"), names).select("doc_id", "x.*", F.lit(1).alias("page")))
+    return front.assign_support(support, _orders(spark, sf_dir).select(K().alias("doc_id"), names).select("doc_id", "x.*", F.lit(1).alias("page")))
 
 
 @query("""
