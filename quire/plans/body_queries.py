@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import body
 
-from .front_queries import C, K, _rows
+from .front_queries import C, K, _orders, _rows
 from .scalar_queries import _table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -26,6 +26,10 @@ def _each(spark, sf_dir, rows):
     return _table(spark, sf_dir, "orders").select(K().alias("doc_id"), F.explode(rows).alias("x")).select("doc_id", "x.*")
 
 
+def _dealt_each(spark, sf_dir, rows):
+    return _orders(spark, sf_dir).select(K().alias("doc_id"), F.explode(rows).alias("x")).select("doc_id", "x.*")
+
+
 @query("""
 SELECT o_orderkey AS doc_id, ['table', NULL, 'fig', 'fig', NULL, 'table', NULL][o_orderkey % 7 + 1] AS kind, ['Tabela 1', NULL, 'Figura 2', 'Gráfico 3', NULL, 'Quadro 4', NULL][o_orderkey % 7 + 1] AS label, ['Dados gerais', NULL, 'mapa', '', NULL, 'Casos', NULL][o_orderkey % 7 + 1] AS caption, CASE WHEN o_orderkey % 7 = 6 THEN 'IBGE, 2020.' END AS source, o_orderkey % 7 = 4 AS title FROM orders
 """)
@@ -42,7 +46,7 @@ SELECT o_orderkey AS doc_id, CAST(n AS BIGINT) AS block_no, ['Agradecimentos', '
 """)
 def back_matter_blocks(spark, sf_dir):
     rows = _rows("para_no first_line text", (1, "Notas", "Notas"), (2, "Referências", "Referências"), (3, "SILVA", "SILVA, A."), (4, "Agradecimentos", "Agradecimentos A todos."), (5, "E mais", F.concat(F.lit("E mais "), C())), (6, F.when(K() % 2 == 0, "How to cite this").otherwise(""), F.when(K() % 2 == 0, "How to cite this").otherwise("")))
-    return body.back_matter(_each(spark, sf_dir, rows), _table(spark, sf_dir, "orders").select(K().alias("doc_id"), F.lit(2).alias("para_no")))
+    return body.back_matter(_dealt_each(spark, sf_dir, rows), _orders(spark, sf_dir).select(K().alias("doc_id"), F.lit(2).alias("para_no")))
 
 
 @query("""
