@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.functions.shared import many
 from quire.functions.text import DOI, EMAIL, ISSN, ORCID, fold, issn_valid, join_lines, language, last_country, normal_key, trim_doi
 
 # Labels of abstracts with their languages, and of keywords, accents folded.
@@ -189,13 +190,18 @@ def assign_support(support: DataFrame, authors: DataFrame) -> DataFrame:
     """doc_id, line_no, author of each support line (doc_id, line_no, page, y0, kind) that has one: the nearest author line
     (doc_id, author, page, y0) of its page, above or below. The side is the same for all lines of a kind in a document: that
     of the smaller total distance, where a line without an author counts 1000; equal totals take the one above."""
-    both = support.join(authors.select("doc_id", "page", F.col("y0").alias("_y"), "author"), ["doc_id", "page"], "left")
-    gap = F.abs(F.col("y0") - F.col("_y"))
-    sides = [F.struct(F.lit(i).alias("side"), F.when(test, F.struct(gap.alias("gap"), "author")).alias("hit")) for i, test in ((0, F.col("_y") <= F.col("y0") + 1), (1, F.col("_y") > F.col("y0") + 1))]
-    near = both.select("doc_id", "line_no", "kind", F.explode(F.array(*sides)).alias("s")).groupBy("doc_id", "kind", "line_no", F.col("s.side").alias("side")).agg(F.min("s.hit").alias("hit"))
-    totals = near.groupBy("doc_id", "kind", "side").agg(F.sum(F.coalesce("hit.gap", F.lit(1000.0))).alias("total"))
-    chosen = totals.groupBy("doc_id", "kind").agg(F.min(F.struct("total", "side"))["side"].alias("side"))
-    return near.join(chosen, ["doc_id", "kind", "side"]).where("hit is not null").select("doc_id", "line_no", "kind", F.col("hit.author").alias("author"))
+    c = F.col
+    listed = authors.groupBy("doc_id").agg(F.collect_list(F.struct("page", "y0", "author")).alias("_authors"))
+
+    def nearest(side) -> Column:
+        mine = F.filter("_authors", lambda a: (a["page"] == c("page")) & side(a["y0"], c("y0") + 1))
+        return F.array_min(F.transform(mine, lambda a: F.struct(F.abs(c("y0") - a["y0"]).alias("gap"), a["author"].alias("author"))))
+
+    hits = support.join(many(listed), "doc_id", "left").select("doc_id", "line_no", "kind", nearest(lambda y, at: y <= at).alias("_above"), nearest(lambda y, at: y > at).alias("_below"))
+    near = hits.groupBy("doc_id", "kind", "line_no").agg(F.min("_above").alias("_above"), F.min("_below").alias("_below"))
+    total = lambda hit: F.sum(F.coalesce(c(hit)["gap"], F.lit(1000.0))).over(Window.partitionBy("doc_id", "kind"))
+    near = near.withColumn("_hit", F.when(total("_above") <= total("_below"), c("_above")).otherwise(c("_below")))
+    return near.where("_hit is not null").select("doc_id", "line_no", "kind", c("_hit.author").alias("author"))
 
 
 def author_notes(authors: DataFrame, notes: DataFrame) -> DataFrame:
