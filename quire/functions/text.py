@@ -90,22 +90,31 @@ def language(x: Column) -> Column:
     weights = {code: Counter(set(words.split())) for code, words in tables.STOP_WORDS.items()}
     for code, words in tables.OWN_WORDS.items():
         weights[code].update({w: 2 for w in set(words.split())})
+    by_word: dict[str, list[tuple[str, int]]] = {}
+    for code, own in weights.items():
+        for w, n in own.items():
+            by_word.setdefault(w, []).append((code, n))
+
+    def decided(text: str | None) -> tuple[str | None, float]:
+        words = _LETTERS.findall((text or "").lower())
+        if len(words) < 3:
+            return None, 0.0
+        points = dict.fromkeys(weights, 0)
+        for w in words:
+            for code, n in by_word.get(w, ()):
+                points[code] += n
+        (second, _), (first, code) = sorted((n / len(words), code) for code, n in points.items())[-2:]
+        return code if first >= 0.08 and first - second >= 0.04 else None, first
 
     @F.arrow_udf("lang string, confidence double")
     def decide(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in texts.to_pylist():
-            counts = Counter(_LETTERS.findall((text or "").lower()))
-            total = counts.total()
-            if total < 3:
-                out.append({"lang": None, "confidence": 0.0})
-                continue
-            scores = sorted((sum(n * counts[w] for w, n in own.items() if w in counts) / total, code) for code, own in weights.items())
-            (second, _), (first, code) = scores[-2:]
-            out.append({"lang": code if first >= 0.08 and first - second >= 0.04 else None, "confidence": first})
-        return pa.array(out, pa.struct([("lang", pa.string()), ("confidence", pa.float64())]))
-
-    # one pass over a text's words; the languages' lists are looked up by word, not the words by list
+        # a batch's copies of a text, as headings and labels have many, are read once
+        coded = texts.dictionary_encode("encode")
+        langs, sure = zip(*map(decided, coded.dictionary.to_pylist()), strict=True) if len(texts) else ((), ())
+        found = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(sure, pa.float64())], ["lang", "confidence"])
+        return found.take(coded.indices)
+
+    # one pass over a text's words, each looked up in the languages' lists at once
     found = decide(x)
     return F.struct(found["lang"].alias("lang"), F.round(found["confidence"], 3).alias("confidence"))
 

@@ -159,7 +159,7 @@ def title_candidate(text: Column, size: Column, body: Column, emphasised: Column
     label = F.lower(fold(F.regexp_extract(t, r"^([^:.\-–]+)", 1)))
     labels = F.trim(label).isin(*ABSTRACT_LABELS, *KEYWORD_LABELS, *HEADINGS, *HEADING_LABELS)
     lone = (F.size(F.split(t, r"\s+")) < 2) & (size < body * 1.3)
-    return (F.length(t) > 3) & (size >= body * 0.9) & ~noise & ~labels & ~lone & ~t.rlike(r"^\d+\s+\S+\.\s+\d+\s+\S+") & (emphasised | (size >= body * 1.15))
+    return (F.length(t) > 3) & (size >= body * 0.9) & (emphasised | (size >= body * 1.15)) & ~noise & ~labels & ~lone & ~t.rlike(r"^\d+\s+\S+\.\s+\d+\s+\S+")
 
 
 def title_groups(candidates: DataFrame) -> DataFrame:
@@ -177,7 +177,10 @@ def title_groups(candidates: DataFrame) -> DataFrame:
     text = F.when(one_pair, F.trim(F.expr("substring(_t, 2, length(_t) - 2)"))).otherwise(F.col("_t"))
     text = F.trim(F.regexp_replace(text, f"[{SUPERSCRIPTS}]+$", ""))
     unquoted = F.array_join(F.transform(without_quotes(F.col("_lines")), lambda s: s["text"]), " ")
-    return made.select("doc_id", "title_no", text.alias("text"), F.coalesce(language(F.lower(unquoted))["lang"], language(F.lower(F.col("_t")))["lang"]).alias("language"))
+    # the whole is read where it isn't the same as the part without quotes
+    made = made.select("doc_id", "title_no", text.alias("text"), F.lower(unquoted).alias("_plain"), F.lower("_t").alias("_whole"))
+    whole = F.when(~F.col("_whole").eqNullSafe(F.col("_plain")), F.col("_whole"))
+    return made.select("doc_id", "title_no", "text", F.coalesce(language(F.col("_plain"))["lang"], language(whole)["lang"]).alias("language"))
 
 
 def support_kind(text: Column) -> Column:
