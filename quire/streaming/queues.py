@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.operators.folds import limited
 
+#: Attempts of a part that the limiter gives out at once.
+PART = 50_000
+
 
 def job_states(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """The latest state of each job of a stream (job, at, state), for update or complete mode."""
@@ -32,14 +36,18 @@ def limiter(attempts: DataFrame, limit: int = 10, seconds: int = 900, late: str
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["at"], kind="stable")
-        out = []
-        for at, ok in zip(rows["at"], rows["ok"], strict=True):
-            now = at.value // 1000
-            failures, _, blocked, _ = limited(failures, now, bool(ok), limit, seconds * 1_000_000)
-            out.append((key[0], at, blocked))
+        # a key's attempts are held as arrays of times and outcomes, nine bytes each, and given out in parts
+        at, ok = map(np.concatenate, zip(*((b["at"].to_numpy("datetime64[us]"), b["ok"].to_numpy(bool)) for b in batches), strict=True))
+        order = np.argsort(at, kind="stable")
+        at, ok = at[order], ok[order]
+        for start in range(0, len(at), PART):
+            now, good = at[start : start + PART], ok[start : start + PART]
+            told = []
+            for micros, fine in zip(now.astype("int64").tolist(), good.tolist(), strict=True):
+                failures, _, blocked, _ = limited(failures, micros, fine, limit, seconds * 1_000_000)
+                told.append(blocked)
+            yield pd.DataFrame({"key": key[0], "at": now.astype("datetime64[ns]"), "blocked": told})
         state.update((failures,))
-        state.setTimeoutTimestamp(max(int(rows["at"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + seconds * 1000)
-        yield pd.DataFrame(out, columns=["key", "at", "blocked"])
+        state.setTimeoutTimestamp(max(int(pd.Series(at).max().timestamp() * 1000), state.getCurrentWatermarkMs()) + seconds * 1000)
 
     return attempts.withWatermark("at", late).groupBy("key").applyInPandasWithState(step, "key string, at timestamp, blocked boolean", "failures array<long>", "append", GroupStateTimeout.EventTimeTimeout)
