@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+from html import escape as escaped
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.functions.shared import many
+
 DOCTYPE = '<!DOCTYPE article PUBLIC "-//NLM//DTD JATS (Z39.96) Journal Publishing DTD v1.1 20151215//EN" "JATS-journalpublishing1.dtd">'
 
 
@@ -96,36 +103,69 @@ def marked_paragraphs(paragraphs: DataFrame, citations: DataFrame, floats: DataF
     """
     called = paragraphs.select("doc_id", "para_no", F.posexplode(F.regexp_extract_all("text", F.lit(CALL), F.lit(1))).alias("k", "label"))
     turn = lambda *by: F.row_number().over(Window.partitionBy("doc_id", "label").orderBy(*by))
-    linked = called.withColumn("_turn", turn("para_no", "k")).join(notes.withColumn("_turn", turn("note_no")).select("doc_id", "label", "_turn", "id"), ["doc_id", "label", "_turn"], "left")
+    linked = called.withColumn("_turn", turn("para_no", "k")).join(many(notes.withColumn("_turn", turn("note_no")).select("doc_id", "label", "_turn", "id")), ["doc_id", "label", "_turn"], "left")
     calls = linked.groupBy("doc_id", "para_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "id"))), lambda s: F.coalesce(s["id"], F.lit(""))).alias("_calls"))
     cites = citations.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("cit_no", "text", "rid"))).alias("_cites"))
     things = floats.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("kind", "number", "rid"))).alias("_floats"))
-    rows = paragraphs.join(calls, ["doc_id", "para_no"], "left").join(cites, "doc_id", "left").join(things, "doc_id", "left")
-    rows = rows.join(n_refs.select("doc_id", F.col("n").alias("_n")), "doc_id", "left") if n_refs is not None else rows.withColumn("_n", F.lit(0))
+    rows = paragraphs.join(many(cites), "doc_id", "left").join(many(things), "doc_id", "left")
+    rows = rows.join(many(n_refs.select("doc_id", F.col("n").alias("_n"))), "doc_id", "left") if n_refs is not None else rows.withColumn("_n", F.lit(0))
+    rows = rows.join(many(calls), ["doc_id", "para_no"], "left")
 
     @F.arrow_udf("string")
     def mark(texts: pa.Array, calls: pa.Array, cites: pa.Array, things: pa.Array, n: pa.Array) -> pa.Array:
-        rows = zip(*(x.to_pylist() for x in (texts, calls, cites, things, n)), strict=True)
-        return pa.array([None if t is None else linked_text(t, c or [], q or [], f or [], k or 0) for t, c, q, f, k in rows], pa.string())
+        rows = zip(_values(texts), listed(calls), listed(cites), listed(things), n.to_pylist(), strict=True)
+        return pa.array([None if t is None else linked_text(t, c, q, f, k or 0) for t, c, q, f, k in rows], pa.string())
 
     return rows.select("doc_id", "para_no", mark("text", "_calls", "_cites", "_floats", F.col("_n").cast("int")).alias("marked"))
 
 
 CALL = r"\[\^([^\]]{1,16})\]"
+_CALL, _SPECIAL = re.compile(CALL), re.compile("[&<>\"']")
 # Words before the number of each kind of float.
 FLOAT_WORDS = {"fig": r"(?:Fig(?:ura|\.)|Figure)\s*", "table": r"(?i:(?:Tabela|Table|Quadro|Cuadro)s?)\.?\s*", "equation": r"(?i:equa[çc][ãa]o|equation|eq\.?|f[óo]rmula)\s*\(?"}
+_FLOAT_WORDS = {kind: re.compile(rf"\b{words}") for kind, words in FLOAT_WORDS.items()}
 FLOAT_TYPES = {"fig": "fig", "table": "table", "equation": "disp-formula"}
 
 
+def _values(texts: pa.Array) -> list[str | None]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
+def listed(lists: pa.Array) -> list[list]:
+    """The lists of an array of texts, or of structs as dicts of their texts; none for null. Values are taken column by
+    column, which is many times faster than list by list."""
+    flat, out, at = lists.flatten(), [], 0
+    names = [f.name for f in flat.type if pa.types.is_string(f.type)] if pa.types.is_struct(flat.type) else []
+    items = [dict(zip(names, v, strict=True)) for v in zip(*(_values(flat.field(n)) for n in names), strict=True)] if names else _values(flat)
+    for n in lists.value_lengths().fill_null(0).to_numpy().tolist():
+        out.append(items[at : at + n])
+        at += n
+    return out
+
+
+@lru_cache(maxsize=10_000)
+def _mention(kind: str, number: str) -> re.Pattern:
+    close = r"\)?" if kind == "equation" else ""
+    return re.compile(rf"\b{FLOAT_WORDS[kind]}{re.escape(number)}{close}(?!\d)")
+
+
+def plain(text: str) -> str:
+    return escaped(text) if _SPECIAL.search(text) else text
+
+
+def _places(text: str, part: str) -> Iterator[tuple[int, int]]:
+    at = text.find(part)
+    while at >= 0:
+        yield at, at + len(part)
+        at = text.find(part, at + len(part))
+
+
 def linked_text(text: str, calls: list[str], citations: list[dict], floats: list[dict], n_refs: int) -> str:
     """One paragraph as XML; see marked_paragraphs()."""
-    import re
-    from html import escape as plain
-
     put: list[tuple[int, int, str]] = []
     free = lambda a, b: all(b <= x or y <= a for x, y, _ in put)
     link = lambda kind, rid, inner: f'<xref ref-type="{kind}" rid="{plain(rid)}">{inner}</xref>'
-    for k, m in enumerate(re.finditer(CALL, text)):
+    for k, m in enumerate(_CALL.finditer(text)):
         label, rid = m[1], calls[k] if k < len(calls) else ""
         if rid:
             made = link("fn", rid, f"<sup>{plain(label)}</sup>")
@@ -137,15 +177,15 @@ def linked_text(text: str, calls: list[str], citations: list[dict], floats: list
             made = f"<sup>{plain(label)}</sup>"
         put.append((*m.span(), made))
     for c in citations:
-        places = (m.span() for m in re.finditer(re.escape(c["text"]), text)) if c["text"] and c["rid"] else ()
+        places = _places(text, c["text"]) if c["text"] and c["rid"] else ()
         spot = next((p for p in places if free(*p)), None)
         if spot:
             put.append((*spot, link("bibr", c["rid"], plain(text[slice(*spot)]))))
-    for kind, words in FLOAT_WORDS.items():
-        for f in floats:
-            if f["kind"] == kind and f["number"]:
-                close = r"\)?" if kind == "equation" else ""
-                for m in re.finditer(rf"\b{words}{re.escape(f['number'])}{close}(?!\d)", text):
+    for kind, words in _FLOAT_WORDS.items():
+        # most paragraphs lack the number, or the word of the kind
+        for f in [f for f in floats if f["kind"] == kind and f["number"] and f["number"] in text]:
+            if words.search(text):
+                for m in _mention(kind, f["number"]).finditer(text):
                     if free(*m.span()):
                         put.append((*m.span(), link(FLOAT_TYPES[kind], f["rid"], plain(m[0]))))
     out, at = [], 0

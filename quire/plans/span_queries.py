@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import overlay, spans, xml
 
-from .front_queries import C, K, _rows
+from .front_queries import C, K, _orders, _rows
 from .scalar_queries import _table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -70,10 +70,11 @@ SELECT o_orderkey AS doc_id, CAST(n AS INTEGER) AS para_no, CASE n WHEN 1 THEN '
  ELSE CASE WHEN o_orderkey % 2 = 0 THEN '{_SUP.format(1, 1)},{_SUP.format(3, 3)} x{_SUP.format(2, 2)}{_SUP.format(3, 3)}' ELSE '<sup>1,3</sup> x<sup>2-3</sup>' END || ' <xref ref-type="table" rid="t2">tabela 2</xref>, <xref ref-type="disp-formula" rid="e1">Eq. (4)</xref><sup>a</sup>' END AS marked FROM orders, (SELECT unnest([1, 2]) AS n)
 """)
 def linked_paragraphs(spark, sf_dir):
-    o = _table(spark, sf_dir, "orders")
-    paras = _each(spark, sf_dir, _rows("para_no text", (1, "See Silva (2010) & Silva (2010), Figura 1 and Figura 12[^a]."), (2, "[^1,3] x[^2-3] tabela 2, Eq. (4)[^a]")))
-    cites = _each(spark, sf_dir, _rows("cit_no text rid", (1, "Silva (2010)", "B1"), (2, "Nobody (1999)", "B2")))
-    things = _each(spark, sf_dir, _rows("kind number rid", ("fig", "1", "f1"), ("table", "2", "t2"), ("equation", "4", "e1")))
+    o = _orders(spark, sf_dir)
+    each = lambda rows: o.select(K().alias("doc_id"), F.explode(rows).alias("x")).select("doc_id", "x.*")
+    paras = each(_rows("para_no text", (1, "See Silva (2010) & Silva (2010), Figura 1 and Figura 12[^a]."), (2, "[^1,3] x[^2-3] tabela 2, Eq. (4)[^a]")))
+    cites = each(_rows("cit_no text rid", (1, "Silva (2010)", "B1"), (2, "Nobody (1999)", "B2")))
+    things = each(_rows("kind number rid", ("fig", "1", "f1"), ("table", "2", "t2"), ("equation", "4", "e1")))
     notes = o.select(K().alias("doc_id"), F.lit("a").alias("label"), F.lit(1).alias("note_no"), F.lit("fn1").alias("id"))
     numeric = o.where("o_orderkey % 2 = 0").select(K().alias("doc_id"), F.lit(3).alias("n"))
     return xml.marked_paragraphs(paras, cites, things, notes, numeric)
