@@ -11,6 +11,8 @@ their number; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,10 +34,9 @@ AHEAD, BACK, SOURCE = 4, 3, 3
 SHORT_TITLE = 15
 
 
-def _begins(text: Column, words: tuple[str, ...], then: str = "") -> Column:
-    """Whether a text begins with one of some whole words (and then with what a pattern says)."""
-    low = F.lower(fold(text))
-    return F.reduce(F.array(*[F.lit(w) for w in words]), F.lit(False), lambda seen, w: seen | (low.startswith(w) & F.substring(low, F.length(w) + 1, F.length(low)).rlike("^(?![a-z0-9_])" + then)))
+def _begins(low: Column, words: tuple[str, ...], then: str = "") -> Column:
+    """Whether a folded text begins with one of some whole words (and then with what a pattern says)."""
+    return low.rlike(f"^(?:{'|'.join(map(re.escape, words))})(?![a-z0-9_])" + then)
 
 
 def labelled(text: Column) -> Column:
@@ -46,7 +47,8 @@ def labelled(text: Column) -> Column:
     low = F.lower(fold(word))
     kind = F.when(low.isin(*TABLE_WORDS), "table").when(low.isin(*FIGURE_WORDS), "figure")
     label = F.concat(F.upper(F.left(word, F.lit(1))), F.lower(F.substring(word, F.lit(2), F.length(word))), F.lit(" "), number)
-    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), number.alias("number"), label.alias("label"), F.trim(rest).alias("caption")))
+    # few lines do, and the rest is dear
+    return F.when(text.rlike(parts) & kind.isNotNull(), F.struct(kind.alias("kind"), number.alias("number"), label.alias("label"), F.trim(rest).alias("caption")))
 
 
 def numbered_title(title: Column) -> tuple[Column, Column]:
@@ -84,8 +86,10 @@ def _with_sections(rows: DataFrame) -> DataFrame:
     times = F.sum((F.col("kind") == "line").cast("int")).over(Window.partitionBy("path", "text"))
     rows = rows.withColumn("in_body", (F.col("kind") == "line") & ~((times >= HEAD_TIMES) & F.length("text").between(4, 129)))
     heading = is_line & (F.col("level") >= 1)
-    is_end, is_abstract = heading & _begins(F.col("text"), REFERENCE_WORDS), heading & _begins(F.col("text"), ABSTRACT_WORDS)
-    labelled_abstract = F.col("in_body") & _begins(F.col("text"), ABSTRACT_WORDS, r"\s*[:.]")
+    # columns of their own: what they say is asked for by several windows
+    rows = rows.withColumn("_low", F.when(is_line, F.lower(fold(F.col("text")))))
+    rows = rows.withColumns({"_is_end": heading & _begins(F.col("_low"), REFERENCE_WORDS), "_is_abstract": heading & _begins(F.col("_low"), ABSTRACT_WORDS), "_says_abstract": F.col("in_body") & _begins(F.col("_low"), ABSTRACT_WORDS, r"\s*[:.]")})
+    is_end, is_abstract, labelled_abstract = (F.col(n) for n in ("_is_end", "_is_abstract", "_says_abstract"))
     least = lambda which: F.min(F.when(which, F.col("line_no"))).over(doc)
     rows = rows.withColumn("_end", least(is_end)).withColumn("_abstract", F.coalesce(least(heading & is_abstract), least(labelled_abstract)))
     open_ = heading & ~is_end & ~is_abstract & (F.col("_end").isNull() | (F.col("line_no") < F.col("_end")))
@@ -97,7 +101,7 @@ def _with_sections(rows: DataFrame) -> DataFrame:
     through = F.when(F.col("is_section"), F.col("_before") + F.col("in_body").cast("int"))
     rows = rows.withColumn("para_pos", F.when(F.col("section_no").isNull(), 0).otherwise(F.greatest(F.col("_before") - F.max(through).over(upto), F.lit(0))))
     in_section = F.col("in_body") & ~F.col("is_section") & F.col("section_no").isNotNull() & (F.col("_end").isNull() | (F.col("line_no") < F.col("_end")))
-    return rows.withColumn("in_section", in_section).drop("_before", "_end", "_abstract")
+    return rows.withColumn("in_section", in_section).drop("_before", "_end", "_abstract", "_low", "_is_end", "_is_abstract", "_says_abstract")
 
 
 def _with_captions(rows: DataFrame) -> DataFrame:
@@ -131,7 +135,9 @@ def declared(elements: DataFrame) -> DataFrame:
     """path, kind (title, section, paragraph, table, formula, figure, loose image), no (from 1 within the kind), section_no,
     para_pos, level, number, label, text (title, paragraph or caption), source, called, file, medium, mathml, n_rows, n_cols,
     header_rows. elements: as of sources.docx.elements. An image without a caption is loose and gets no file name."""
-    rows = _with_media(elements.repartition("path"))
+    spark = elements.sparkSession
+    # by number: elements are small, so Spark would merge them into few tasks
+    rows = _with_media(elements.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path"))
     rows = rows.where(F.col("kind").isin("line", "note", "table", "formula") | F.col("medium").isNotNull())
     rows = _with_mentions(_with_captions(_with_sections(rows)))
     kind = (

@@ -52,9 +52,13 @@ def _files(spark, sf_dir):
     """A file of each document, whose sentences become headings, lines, captions, tables, images, formulas and notes by hashes."""
     told = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", r"[.\n]").alias("a"))
 
-    def part(sentence, k):
+    def drawn(sentence, k):
         d = F.instr(F.lit("0123456789abcdef"), F.left(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), k.cast("string"))), F.lit(1))) - 1
-        piece = F.coalesce(F.nullif(F.trim(F.regexp_replace(sentence, "[^A-Za-z]+", " ")), F.lit("")), F.lit("x"))
+        return F.struct(d.alias("d"), F.trim(F.regexp_replace(sentence, "[^A-Za-z]+", " ")).alias("said"), k.alias("k"))
+
+    def part(drawn):
+        d, k = drawn["d"], drawn["k"]
+        piece = F.when(drawn["said"] != "", drawn["said"]).otherwise("x")
         n, label = k.cast("string"), (k % 5 + 1).cast("string")
         made = lambda kind, style, *text: F.struct(F.lit(kind).alias("kind"), F.lit(style).alias("style"), F.concat(*[F.lit(t) if isinstance(t, str) else t for t in text], F.lit("")).alias("text"))
         word = F.when(k % 3 == 0, "Tabela ").when(k % 3 == 1, "Figura ").otherwise("Quadro ")
@@ -72,11 +76,11 @@ def _files(spark, sf_dir):
         for batch in batches:
             content = []
             for parts in batch["parts"]:
-                rows = [(p["kind"].as_py(), p["style"].as_py(), p["text"].as_py()) for p in parts.values or []]
+                rows = [(p["kind"], p["style"], p["text"]) for p in parts.as_py() or []]
                 content.append(docx_file(rows, {t: f"i{t}.png" for kind, _, t in rows if kind == "image" and int(t[1:]) % 7}))
             yield pa.RecordBatch.from_arrays([batch["path"], pa.array(content, pa.binary())], ["path", "content"])
 
-    parts = _spread(told).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.transform("a", part).alias("parts"))
+    parts = _spread(told).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.transform(F.transform("a", drawn), part).alias("parts"))
     return parts.mapInArrow(made, "path string, content binary")
 
 
