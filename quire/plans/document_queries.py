@@ -116,14 +116,15 @@ FROM (SELECT *, strftime(o_orderdate, '%Y') AS y, '<day>' || strftime(o_orderdat
 """)
 def jats_articles(spark, sf_dir):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    o = _table(spark, sf_dir, "orders")
+    # orders and items are dealt by document before anything is made of them, the items once for all relations
+    o = _table(spark, sf_dir, "orders").repartition("o_orderkey")
     text = lambda **cols: [(F.lit(v) if isinstance(v, str) or v is None else v).cast("string").alias(n) for n, v in cols.items()]
     docs = o.select(k.alias("doc_id"), *text(
         journal="rdp", journal_title="R & P", journal_short=None, issn_epub="2179-8966", issn_ppub=None, publisher=None, article_type=None, language="en", doi=F.concat(F.lit("10.1/"), k), order_no=None, heading="Artigos", volume=c % 50 + 1, issue="02", elocation=F.when(k % 2 == 0, "e7"), fpage="10", lpage="25",
         page_count=None, year=F.year("o_orderdate"), published=F.date_format("o_orderdate", "yyyy-MM-dd"), received="1990-01-02", revised=None, accepted=None, licence_url="https://creativecommons.org/licenses/by/4.0/", funding_text=None, data_status=None,
     ))
-    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
-    i = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), nth.alias("pos"), F.col("l_partkey").alias("p")).where("pos <= 5")
+    i = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", F.col("l_partkey").alias("p")).where("doc_id is not null").repartition("doc_id")
+    i = i.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("l_linenumber", "p"))).where("pos <= 5").select("doc_id", "pos", "p")
     p, pos = F.col("p"), F.col("pos")
     aff = F.concat(F.lit("a"), pos)
     people = i.where("pos <= 2")
