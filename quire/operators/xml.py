@@ -28,7 +28,7 @@ def element(name: str, content: Column, **attributes: Column) -> Column:
     named = {"xml_lang": "xml:lang"}
     given = [F.coalesce(F.concat(F.lit(f' {named.get(k, k.rstrip("_").replace("_", "-"))}="'), escape(v.cast("string")), F.lit('"')), F.lit("")) for k, v in attributes.items()]
     # the content stands in the expression once only, so that nested elements don't multiply it
-    inner = F.get(F.filter(F.array(content), lambda x: x != ""), F.lit(0))
+    inner = F.get(F.array_remove(F.array(content), ""), F.lit(0))
     return F.coalesce(F.concat(F.lit(f"<{name}"), *given, F.lit(">"), inner, F.lit(f"</{name}>")), F.lit(""))
 
 
@@ -36,10 +36,11 @@ def text_element(name: str, x: Column, **attributes: Column) -> Column:
     return element(name, escape(x.cast("string")), **attributes)
 
 
-def joined(rows: DataFrame, key: str, order: str, content: Column, name: str) -> DataFrame:
-    """The contents of a document's rows in order, as one string."""
-    each = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), content.alias("x"))))
-    return rows.groupBy(key).agg(F.array_join(F.transform(each, lambda s: s["x"]), "").alias(name))
+def joined(rows: DataFrame, key: str, order: str, content: Column, name: str, *more: Column) -> DataFrame:
+    """The contents of a document's rows in order, as one string, and more aggregates."""
+    # the contents are columns first, since what stands inside collect_list isn't compiled
+    rows = rows.select(key, F.struct(F.col(order).alias("o"), content.alias("x")).alias("_each"))
+    return rows.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list("_each")), lambda s: s["x"]), "").alias(name), *more)
 
 
 def date_parts(name: str, iso: Column) -> Column:
@@ -54,9 +55,9 @@ def articles(docs: DataFrame, authors: DataFrame, sections: DataFrame, reference
     c = F.col
     contribs = joined(authors, "doc_id", "pos", element("contrib", F.concat(text_element("contrib-id", c("orcid"), contrib_id_type=F.lit("orcid")), element("name", F.concat(text_element("surname", c("surname")), text_element("given-names", c("given"))))), contrib_type=F.lit("author")), "_authors")
     secs = joined(sections, "doc_id", "pos", element("sec", F.concat(text_element("title", c("title")), text_element("p", c("body"))), sec_type=c("kind")), "_secs")
-    refs = joined(references, "doc_id", "pos", element("ref", F.concat(text_element("mixed-citation", c("text")), text_element("year", c("year"))), id=F.concat(F.lit("B"), c("pos"))), "_refs")
-    counts = references.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n_refs"))
-    all_ = docs.join(contribs, "doc_id", "left").join(secs, "doc_id", "left").join(refs, "doc_id", "left").join(counts, "doc_id", "left")
+    ref = element("ref", F.concat(text_element("mixed-citation", c("text")), text_element("year", c("year"))), id=F.concat(F.lit("B"), c("pos")))
+    refs = joined(references, "doc_id", "pos", ref, "_refs", F.count(F.lit(1)).alias("_n_refs"))
+    all_ = docs.join(contribs, "doc_id", "left").join(secs, "doc_id", "left").join(refs, "doc_id", "left")
     pages = F.when(c("lpage").rlike(r"^\d+$") & c("fpage").rlike(r"^\d+$"), c("lpage").cast("int") - c("fpage").cast("int") + 1)
     count = lambda name, n: F.when(F.coalesce(n, F.lit(0)) > 0, F.concat(F.lit(f'<{name} count="'), n.cast("string"), F.lit('"/>'))).otherwise("")
     front = element("front", F.concat(

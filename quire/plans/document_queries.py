@@ -91,7 +91,9 @@ SELECT o_orderkey AS doc_id, '<?xml version="1.0" encoding="utf-8"?>' || chr(10)
 FROM orders LEFT JOIN a ON a.d = o_orderkey LEFT JOIN r ON r.d = o_orderkey
 """)
 def article_xml(spark, sf_dir):
-    o, li = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
+    # dealt by document before anything is made of them, in as many tasks as articles take
+    orders = _table(spark, sf_dir, "orders")
+    o, li = _dealt(orders, "o_orderkey", orders), _dealt(_table(spark, sf_dir, "lineitem").where("l_orderkey is not null"), "l_orderkey", orders)
     docs = o.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("j"), F.col("o_custkey") % 7).alias("journal"), F.when(F.col("o_orderkey") < 0, "").alias("issn"), F.concat(F.lit("10.1/"), "o_orderkey").alias("doi"), F.concat(F.lit("A <b> "), "o_orderpriority").alias("title"), F.lit("pt").alias("lang"), (F.col("o_custkey") % 50).cast("string").alias("volume"), F.lit("10").alias("fpage"), F.lit("25").alias("lpage"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("published"))
     authors = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("S"), "l_partkey").alias("surname"), F.lit("G").alias("given"), F.when(F.col("l_orderkey") < 0, "").alias("orcid"))
     sections = o.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("pos"), F.lit("Introdução").alias("title"), F.col("o_orderstatus").alias("body"), F.lit("intro").alias("kind"))
